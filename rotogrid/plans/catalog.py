@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from rotogrid.plans import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ingest.QUERIES}
+SQL: dict[str, str] = {**ingest.SQL}
