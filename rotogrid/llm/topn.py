@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Groups of more rows than this are sorted in salted ranges.
 HEAVY_ROWS = 200_000
+#: At most so many groups can be heavy: the threshold is at least the row count over this, whatever ``heavy_rows`` is.
+HEAVY_GROUPS = 10_000
 
 
 def finite(column: Column) -> Column:
@@ -34,7 +37,8 @@ def top_n_per_group(
     sorts after every number and before null; a null id sorts last; groups with fewer items give all of them;
     ``n`` < 1 and empty input give no rows; further columns of ``items`` are ignored, whatever their names.
 
-    Plan: exact counts per group split the rows. Light groups take an ordinary window, which Spark
+    Plan: exact counts per group, taken by a job of their own, split the rows; the heavy groups, of which there can
+    be ``HEAVY_GROUPS`` at most, are a local table that is broadcast. Light groups take an ordinary window, which Spark
     precedes with a per-task group limit, so that a task sends at most ``n`` ranks a group. Rows of a heavy group
     are salted by count / ``heavy_rows``, range-partitioned by (group, salt) and limited there; the at most
     ``n`` x salts survivors of a group are ranked once more. No task ever holds a heavy group.
@@ -55,10 +59,15 @@ def top_n_per_group(
     def limited(df: DataFrame, *keys: str) -> DataFrame:
         return df.withColumn("__r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
 
-    # at most total / heavy_rows groups are heavy
-    heavy = (
-        rows.groupBy("__g").count().where(F.col("count") > heavy_rows)
-        .select(F.col("__g"), F.ceil(F.col("count") / F.lit(heavy_rows)).cast("int").alias("__salts"))
+    keys = items.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"))
+    heavy_rows = max(heavy_rows, keys.count() // HEAVY_GROUPS)
+    counts = keys.groupBy("__g").count().where(F.col("count") > heavy_rows).collect()  # HEAVY_GROUPS rows at most
+    if not counts:
+        return limited(rows, "__g").select("__g", "__id").distinct().select(F.col("__g").alias(group), F.col("__id").alias(item_id))
+    heavy = F.broadcast(
+        items.sparkSession.createDataFrame(
+            [(r["__g"], -(-r["count"] // heavy_rows)) for r in counts], T.StructType([keys.schema["__g"], T.StructField("__salts", T.IntegerType())])
+        )
     )
     light = limited(rows.join(heavy, "__g", "left_anti"), "__g")
     salted = (
