@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotogrid.llm.bpe import encode_corpus
 from rotogrid.llm.cutoff import cutoffs, kept_items
+from rotogrid.llm.packing import pack, space_left
 from rotogrid.llm.topn import top_n_per_group
 
 TOP = 10
@@ -35,6 +37,23 @@ def p3_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return _cutoffs(spark, sf)
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(_table(spark, sf, "documents"), "byte_bpe_50k")
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents"), _table(spark, sf, "pack_limits"))
+
+
+def p7_space(spark: SparkSession, sf: str) -> DataFrame:
+    return space_left(p7_packed(spark, sf), _table(spark, sf, "pack_limits"))
+
+
+def p7_space_of_single_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    limits = _table(spark, sf, "pack_limits")
+    return space_left(pack(_table(spark, sf, "documents"), limits, mixed=False), limits)
+
+
 _PICKS = """
 WITH picks AS (
   SELECT DISTINCT tomo_id, pick_id, score + 0.0 AS score, x + 0.0 AS x, y + 0.0 AS y, z + 0.0 AS z
@@ -59,6 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_cutoffs": p3_cutoffs,
+    "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
+    "p7_space": p7_space,
+    "p7_space_of_single_buckets": p7_space_of_single_buckets,
 }
 
 SQL: dict[str, str] = {
