@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rotogrid.llm.bpe import encode_corpus
 from rotogrid.llm.cutoff import cutoffs, kept_items
 from rotogrid.llm.packing import pack, space_left
+from rotogrid.llm.sentences import sentences
 from rotogrid.llm.topn import top_n_per_group
 
 TOP = 10
@@ -41,6 +42,10 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_table(spark, sf, "documents"), "byte_bpe_50k")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(_table(spark, sf, "documents"))
+
+
 def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), _table(spark, sf, "pack_limits"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_packed": p7_packed,
     "p7_space": p7_space,
     "p7_space_of_single_buckets": p7_space_of_single_buckets,
+    "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {
