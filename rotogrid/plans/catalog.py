@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotogrid.plans import ingest
+from rotogrid.plans import ingest, matching
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ingest.QUERIES}
-SQL: dict[str, str] = {**ingest.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+for _module in (ingest, matching):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
