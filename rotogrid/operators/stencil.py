@@ -226,6 +226,6 @@ def threshold_mask(voxels: DataFrame, bounds: Bounds, deviations: float = 5.0, i
     """Voxels at least so many population deviations from the mean of the whole volume, on either side."""
     total = math.prod(b - a + 1 for a, b in bounds)
     x = voxels.agg(F.struct((F.sum("v") / total).alias("m"), F.sqrt(F.sum(F.col("v") ** 2) / total - (F.sum("v") / total) ** 2).alias("d")).alias("x")).scalar()
-    rows = densify(voxels, bounds).withColumn("x", x)
-    far = F.abs(F.col("v") - F.col("x.m")) >= deviations * F.col("x.d")
+    rows = densify(voxels, bounds).withColumn("__x", x)
+    far = F.abs(F.col("v") - F.col("__x.m")) >= deviations * F.col("__x.d")
     return rows.where(~far if invert else far).select(*AXES, F.lit(1.0).alias("v"))

@@ -58,8 +58,13 @@ def atoms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def literal(v) -> str:
+    """A SQL literal; floats in scientific form, which makes them doubles instead of decimals."""
+    return f"'{v}'" if isinstance(v, str) else repr(v) if isinstance(v, int) or "e" in repr(v) else f"{v!r}e0"
+
+
 def values(rows, names: str) -> str:
-    body = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     return f"(VALUES {body}) AS t({names})"
 
 
