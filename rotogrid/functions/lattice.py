@@ -47,7 +47,7 @@ def matrix_to_euler(matrix: np.ndarray) -> np.ndarray:
     m[: len(matrix), : len(matrix)] = matrix
     beta = math.acos(max(-1.0, min(1.0, m[2, 2])))
     if abs(math.sin(beta)) < 1e-7:
-        return np.degrees([math.atan2(m[1, 0], m[0, 0]) if m[2, 2] > 0 else math.atan2(-m[1, 0], -m[0, 0]), beta, 0.0])
+        return np.degrees([math.atan2(m[1, 0], m[0, 0]) if m[2, 2] > 0 else math.atan2(m[1, 0], -m[0, 0]), beta, 0.0])
     return np.degrees([math.atan2(m[2, 1], -m[2, 0]), beta, math.atan2(m[1, 2], m[0, 2])])
 
 
