@@ -11,6 +11,8 @@ from pyarrow import csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rotogrid.operators.skew import join_small
+
 RECORD = r'^"?(ATOM|HETATM)'
 #: Fields an atom needs, by the names each kind of file gives them.
 NEEDED = {
@@ -153,7 +155,8 @@ def parse_atom_lines(lines: DataFrame, loops: DataFrame) -> DataFrame:
     Plan: records are filtered and joined to their layout in the JVM, where the layout shrinks to a kind, a
     width and five positions, so no name lists travel with the lines. The Arrow stage rejects broken quoting by
     a linear regular expression, lets the CSV reader's invalid-row callback reject wrong widths, reads all fields as
-    strings and labels failing cells by vectorised matches. Rows are independent; a large structure is no hot spot there.
+    strings and labels failing cells by vectorised matches. Rows are independent, and the join broadcasts
+    the layouts or salts the lines, so a large structure is no hot spot.
     """
     def position(i: int):
         return F.when(F.col("file_kind") == "csv", F.array_position("column_names", NEEDED["csv"][i])).when(
@@ -165,7 +168,7 @@ def parse_atom_lines(lines: DataFrame, loops: DataFrame) -> DataFrame:
     ).dropDuplicates(["structure_id"])
     records = lines.where(F.col("raw").rlike(RECORD)).select("line_id", "structure_id", "raw")
     return (
-        records.join(layouts, "structure_id", "left")
+        join_small(records, layouts, ["structure_id"], "left")
         .select("line_id", "raw", "kind", "width", *[f"p{i}" for i in range(5)])
         .mapInArrow(_parse, "line_id bigint, atom_name string, residue_name string, x double, y double, z double, failure string")
     )
