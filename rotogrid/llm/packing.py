@@ -78,6 +78,7 @@ class Plan:
     per: np.ndarray
     first: np.ndarray
     containers: int
+    items: int
 
     def container(self, bucket: np.ndarray, rank: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.bucket * (1 << 45) + self.rank_from, bucket * (1 << 45) + rank, "right") - 1
@@ -138,7 +139,7 @@ def plan_batches(bounds: np.ndarray, counts: np.ndarray, capacity: int, mixed: b
     zero = [(b, 0, 1 << 44, 0) for b in range(len(bounds)) if bounds[b] == 0]
     array = np.array(zero + out, np.int64).reshape(-1, 4)
     empty = int(first[-1] == 0 and len(zero) > 0)
-    return Plan(np.asarray(bounds, np.int64), array[:, 0], array[:, 1], array[:, 2], array[:, 3], int(first[-1]) + empty)
+    return Plan(np.asarray(bounds, np.int64), array[:, 0], array[:, 1], array[:, 2], array[:, 3], int(first[-1]) + empty, int(np.sum(counts)))
 
 
 def token_sizes(docs: DataFrame, tokenizers: Sequence[str], folder: str = TOKENIZERS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,8 +216,7 @@ def pack(
     items = _items(docs, rows, folder, id_column, text_column)
     plans = make_plans(items, rows, most, mixed)
     shared = spark.sparkContext.broadcast(plans)
-    total = sum(int(p.containers) for p in plans.values())
-    shards = max(1, -(-total // max(1, shard_items)))
+    shards = max(1, -(-sum(p.items for p in plans.values()) // max(1, shard_items)))
     sizes = spark.createDataFrame(
         [(k, int(s), int(b)) for k, p in plans.items() for b, (low, s0) in enumerate(zip(np.concatenate([[-1], p.bounds[:-1]]), p.bounds)) for s in range(int(low) + 1, int(s0) + 1)],
         "limit_id int, n_tokens bigint, bucket int",
