@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotogrid.plans import ingest, matching, structures, volumes
+from rotogrid.plans import ingest, matching, streams, structures, volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (ingest, matching, volumes, structures):
+for _module in (ingest, matching, volumes, structures, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
