@@ -15,7 +15,7 @@ from rotogrid.llm.bpe import TOKENIZERS, count_column, load_vocabulary
 from rotogrid.session import cut
 
 #: Buckets of a capacity at most; the plan made on the driver is bounded by them.
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 2048
 #: Items ranked together within a bucket.
 SHARD_ITEMS = 200_000
 

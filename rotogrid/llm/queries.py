@@ -56,7 +56,7 @@ def p7_space(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_space_of_single_buckets(spark: SparkSession, sf: str) -> DataFrame:
     limits = _table(spark, sf, "pack_limits")
-    return space_left(pack(_table(spark, sf, "documents"), limits, mixed=False), limits)
+    return space_left(pack(_table(spark, sf, "documents"), limits, most=64, mixed=False), limits)  # 64 leave the least of 4 to 8192
 
 
 _PICKS = """
