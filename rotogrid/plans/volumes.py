@@ -182,13 +182,13 @@ def _fft(score: str):
         blocks = G.to_blocks(t.volume(s, d), 16, 4)
         rotations = np.array(t.ROTATIONS, float).reshape(-1, 3, 3)
         out = D.match_blocks(blocks, g, m, rotations, 4, score, -1e9)
-        return out.where(G.inside(t.V3_BOUNDS, ("tx", "ty", "tz"))).select("tx", "ty", "tz", (F.round("s", 4) + 0.0).alias("s"))
+        return out.where(G.inside(t.V3_BOUNDS, ("tx", "ty", "tz"))).select("tx", "ty", "tz", (F.round("s", 4) + 0.0).alias("s")).where("s <> 0")  # the sparse form has no rows without a contribution
 
     return query
 
 
 _cc = f"WITH {t.V3}, {t.expansion_sql(t.TEMPLATE, t.ROTATIONS)}, {t.placed_sql('v3', t.V3_BOUNDS)}"
-add("fft_score", _fft("CC"), _cc + ", cc AS (SELECT tx, ty, tz, r, sum(v * g) AS s FROM placed GROUP BY ALL) SELECT tx, ty, tz, round(max(s), 4) AS s FROM cc GROUP BY ALL")
+add("fft_score", _fft("CC"), _cc + ", cc AS (SELECT tx, ty, tz, r, sum(v * g) AS s FROM placed GROUP BY ALL) SELECT tx, ty, tz, round(max(s), 4) AS s FROM cc GROUP BY ALL HAVING round(max(s), 4) <> 0")
 add("fft_flc", _fft("FLC"))
 add("bandpass_apply", lambda s, d: six(G.from_blocks(D.filter_blocks(G.to_blocks(t.volume(s, d), 16), fourier.band_pass((16, 16, 16), 3.0))), "v"))
 add("bandpass_energy", lambda s, d: G.from_blocks(D.filter_blocks(G.to_blocks(t.volume(s, d), 64), fourier.band_pass((64, 64, 64), 3.0))).agg(F.round(F.sum("v"), 3).alias("total")), f"WITH {t.V3} SELECT round(sum(v), 3) AS total FROM v3")
