@@ -227,3 +227,63 @@ def back_project(slices: np.ndarray, angles: Sequence[float], depth: int, kind:
             ok = (k >= 0) & (k < n)
             out += np.where(ok, w, 0.0)[:, :, None] * image[np.clip(k, 0, n - 1)]
     return out / max(len(angles), 1)
+
+
+def shift(data: np.ndarray, half: bool = False) -> np.ndarray:
+    """Move the zero frequency to the centre (or back, for even axes); the last axis of a half spectrum stays."""
+    axes = range(data.ndim - 1) if half else range(data.ndim)
+    return np.roll(data, [data.shape[a] // 2 for a in axes], list(axes))
+
+
+def pad_to_length(values, n: int) -> np.ndarray:
+    """Repeat one value to n; n values stay."""
+    values = np.atleast_1d(values)
+    if len(values) not in (1, n):
+        raise ValueError(f"one value or {n}, not {len(values)}")
+    return np.repeat(values, n) if len(values) == 1 else values
+
+
+def tilted_frequencies(shape: Sequence[int], angle: float, rate: float = 1.0, opening_axis: int = 0, tilt_axis: int = 2) -> np.ndarray:
+    """Norm of the frequency on the plane of a tilt, over the axes other than the opening one."""
+    plane = [n for i, n in enumerate(shape) if i != opening_axis]
+    names = [i for i in range(len(shape)) if i != opening_axis]
+    axes = [np.fft.fftfreq(n, rate) * (1.0 if i == tilt_axis or angle == 0 else 1 / math.cos(math.radians(angle)) if abs(angle) < 90 else np.inf) for i, n in zip(names, plane)]
+    return np.sqrt(sum(np.square(a) for a in np.meshgrid(*axes, indexing="ij")))
+
+
+def ctf_stack(shape: Sequence[int], defocus: Sequence[float], angles: Sequence[float], gradient: bool = False, opening_axis: int = 0, tilt_axis: int = 2, rate: float = 1.0, **options) -> np.ndarray:
+    """One CTF plane per tilt. With ``gradient`` each is the mean over the strips of the tilted specimen, whose heights differ."""
+    plane = [n for i, n in enumerate(shape) if i != opening_axis]
+    side = [i for i in range(len(shape)) if i != opening_axis].index(next(i for i in range(len(shape)) if i not in (opening_axis, tilt_axis)))
+    out = []
+    for d, a in zip(pad_to_length(defocus, len(angles)), angles):
+        if not gradient or a == 0:
+            out.append(ctf(plane, float(d), rate=rate, **options))
+            continue
+        heights = (np.arange(plane[side]) - plane[side] // 2) * rate * math.tan(math.radians(a))
+        out.append(np.mean([ctf(plane, float(d + h), rate=rate, **options) for h in heights], 0))
+    return np.stack(out)
+
+
+def insert_tilts(stack: np.ndarray, angles: Sequence[float], depth: int) -> np.ndarray:
+    """Put Fourier planes (tilt, side, tilt axis; centred) into a centred volume (depth, side, tilt axis), the mean where several meet."""
+    n = stack.shape[1]
+    total, count = np.zeros((depth, n, stack.shape[2])), np.zeros((depth, n, 1))
+    side = np.arange(n) - n // 2
+    for plane, a in zip(stack, np.radians(angles)):
+        x, z = np.rint(side * math.cos(a)).astype(int) + n // 2, np.rint(side * math.sin(a) * depth / n).astype(int) + depth // 2
+        ok = (x >= 0) & (x < n) & (z >= 0) & (z < depth)
+        np.add.at(total, (z[ok], x[ok]), plane[ok])
+        np.add.at(count, (z[ok], x[ok]), 1.0)
+    return total / np.maximum(count, 1)
+
+
+def tilt_filters(shape, angles: Sequence[float], rate: float = 1.0, doses: Sequence[float] | None = None, weight: str = "none", defocus: float | None = None, low: float | None = None, high: float | None = None) -> np.ndarray:
+    """The filter of a tilt series over a volume: wedge, dose weights and CTF per tilt, put together and band-passed. Axis 0 opens, axis 2 tilts."""
+    plane = (shape[1], shape[2])
+    stack = tilt_weights(weight, plane, angles, doses, rate)
+    if defocus is not None:
+        stack = stack * ctf_stack(shape, [defocus], angles, rate=rate)
+    centred = np.stack([np.fft.fftshift(p) for p in stack])
+    whole = np.fft.ifftshift(insert_tilts(centred, angles, shape[0]))
+    return whole * band_pass(shape, low, high, rate) if low or high else whole

@@ -176,7 +176,8 @@ def ingest(files: DataFrame) -> DataFrame:
     Defined cases: null and empty bodies give a file without fields and records; byte-order marks, CRLF, padded
     headers and comments are taken off; lines that aren't JSON objects are no records; cells beyond the header
     are rescued under the empty name; of a header name given twice the first column counts; missing marks are
-    null; an unknown ``file_kind`` is read as tab-separated text; further columns are ignored. Narrow: no shuffle.
+    null; an unknown ``file_kind`` is read as tab-separated text; a null or unknown ``record_kind`` has no key, so its
+    records have none and no rename is found between its files; further columns are ignored. Narrow: no shuffle.
     """
     return files.select("file_id", "stream_id", "record_kind", "file_kind", "tomo_id", "written_at", "body").mapInArrow(_ingest, INGESTED)
 

@@ -66,3 +66,17 @@ def create_mask(spark, kind: str, **arguments) -> DataFrame:
     if kind not in MASKS:
         raise ValueError(f"no mask {kind}; there are {', '.join(MASKS)}")
     return MASKS[kind](spark, **arguments)
+
+
+def polygon(spark, shape, corners: Sequence[tuple[float, float]], axis: int = 2) -> DataFrame:
+    """Voxels inside a polygon of the two other axes (even-odd rule), extruded along ``axis``."""
+    u, v = (F.col(a).cast("double") for i, a in enumerate(AXES) if i != axis)
+    crossings = F.lit(0)
+    for (a, b), (c, d) in zip(corners, [*corners[1:], corners[0]]):
+        if b != d:
+            at = (v - float(b)) / float(d - b) * float(c - a) + float(a)
+            crossings = crossings + F.when(((v >= min(b, d)) & (v < max(b, d))) & (u < at), 1).otherwise(0)
+    return _grid(spark, shape).where(crossings % 2 == 1).withColumn("v", F.lit(1.0))
+
+
+MASKS["polygon"] = polygon

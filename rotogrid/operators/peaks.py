@@ -175,3 +175,17 @@ def oversample_peaks(peaks: DataFrame, scores: DataFrame, half: int = 3, factor:
         return pd.DataFrame([[*key, *[k + shift.get(t, 0.0) for k, t in zip(key, T)], value]], columns=[*T, "fx", "fy", "fz", "fs"])
 
     return joined.groupBy(*names).applyInPandas(refine, "tx int, ty int, tz int, fx double, fy double, fz double, fs double")
+
+
+def merge(*parts: DataFrame, distance: float, n: int) -> DataFrame:
+    """Peaks of several tiles or runs together: suppressed in score order, then the best n. Equal positions keep their best score."""
+    rows = parts[0].select(*T, "s")
+    for p in parts[1:]:
+        rows = rows.unionByName(p.select(*T, "s"))
+    return top(suppress(rows.groupBy(*T).agg(F.max("s").alias("s")), distance), n)
+
+
+def local_maxima(scores: DataFrame, distance: int, bounds: Bounds, n: int, low: float | None = None) -> DataFrame:
+    """Maxima of boxes of 2 distance + 1, not nearer to a face than the distance, suppressed by it, best n."""
+    inner = admissible(maximum_filter(scores, 2 * distance + 1, bounds), bounds, distance, low)
+    return top(suppress(inner, distance + 1e-9, box=True), n)

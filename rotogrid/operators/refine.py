@@ -174,3 +174,65 @@ def to_patches(extracted: DataFrame, box: Sequence[int]) -> DataFrame:
         return pd.DataFrame([(key[0], data.tobytes(), list(box))], columns=["pick_id", "data", "shape"])
 
     return extracted.groupBy("pick_id").applyInPandas(build, "pick_id bigint, data binary, shape array<int>")
+
+
+def laplacian(data: np.ndarray) -> np.ndarray:
+    """2 d + 1 point Laplacian with wrapping borders."""
+    live = [a for a in range(data.ndim) if data.shape[a] > 1]
+    return sum(np.roll(data, 1, a) + np.roll(data, -1, a) - 2 * data for a in live)
+
+
+def gradient(data: np.ndarray, points: np.ndarray, weights: np.ndarray, normalised: bool = True) -> np.ndarray:
+    """Derivative of the (normalised) cross-correlation by translation and by turning about the points' mean, six values."""
+    slopes = np.stack([interpolate(g, points) for g in np.gradient(data)], 1)
+    values = interpolate(data, points)
+    turns = np.cross(points - points.mean(0), slopes)
+    step = np.concatenate([slopes, turns], 1)
+    if not normalised:
+        return weights @ step
+    size = np.linalg.norm(values)
+    if size == 0:
+        return np.zeros(6)
+    return (weights @ step) / (np.linalg.norm(weights) * size) - (weights @ values) * (values @ step) / (np.linalg.norm(weights) * size**3)
+
+
+def local_score(data: np.ndarray, template: np.ndarray, mask: np.ndarray, at: Sequence[int]) -> float:
+    """FLC of one placement: the template's index size // 2 lies on ``at``; beyond the volume is 0."""
+    low = [p - n // 2 for p, n in zip(at, template.shape)]
+    patch = np.zeros(template.shape)
+    src = tuple(slice(max(0, a), max(0, min(s, a + n))) for a, n, s in zip(low, template.shape, data.shape))
+    dst = tuple(slice(s.start - a, s.stop - a) for s, a in zip(src, low))
+    patch[dst] = data[src]
+    n = mask.sum()
+    mean, local = (template * mask).sum() / n, (patch * mask).sum() / n
+    std = np.sqrt(max(0.0, (template**2 * mask).sum() / n - mean**2)) or 1.0
+    spread = np.sqrt(max(0.0, (patch**2 * mask).sum() / n - local**2)) or 1.0
+    return float((patch * (template - mean) / std * mask).sum() / (n * spread))
+
+
+def match_volumes(target: DataFrame, template: DataFrame, cutoff_target: float = 0.0, cutoff_template: float = 0.0, score: str = "NormalizedCrossCorrelation", margin: int = 4) -> tuple[np.ndarray, float]:
+    """Fit one volume's voxels into another: centres of mass first, then the pattern search. Translation and zyz angles, and the score.
+
+    Both are cut to the voxels above their cutoff; the target's surroundings of the template's size reach the driver.
+    """
+    from rotogrid.operators.aggregate import center_of_mass
+
+    points = template.where(F.col("v") > cutoff_template).toPandas()
+    if points.empty:
+        raise ValueError("no template voxels above the cutoff")
+    xyz, w = points[list(AXES)].to_numpy(float), points["v"].to_numpy(float)
+    c = center_of_mass(target, cutoff_target).first()
+    if c.x is None:
+        raise ValueError("no target voxels above the cutoff")
+    coarse = np.array([c.x, c.y, c.z]) - (xyz * w[:, None]).sum(0) / w.sum()
+    reach = int(np.ceil(np.abs(xyz - xyz.mean(0)).max())) + margin
+    low = np.floor(xyz.mean(0) + coarse).astype(int) - reach
+    near = target.where(F.col("v") > cutoff_target)
+    for a, k in zip(AXES, low):
+        near = near.where(F.col(a).between(int(k), int(k) + 2 * reach))
+    data = np.zeros((2 * reach + 1,) * 3)
+    got = near.select(*AXES, "v").toPandas()
+    data[tuple(got[a].to_numpy() - k for a, k in zip(AXES, low))] = got["v"].to_numpy()
+    start = np.concatenate([coarse, np.zeros(3)])
+    x, best = optimise(data, xyz - low, w, start, score)
+    return x, best

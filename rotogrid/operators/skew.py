@@ -16,11 +16,12 @@ def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Join a side with hot keys to one of few rows per key, such as one of aggregates.
 
     The right side is counted first (it should be cheap to compute, or written): up to ``rows`` rows it is
-    broadcast. Beyond, it is repeated ``salts`` times and the left side's rows take a salt in turn, so a key that holds a third
-    of all rows is spread over ``salts`` tasks. ``how``: inner, left, left_semi or left_anti.
+    broadcast. Beyond, it is repeated ``salts`` times and the left side's rows take a salt by their hash, which a task that is
+    run again repeats, so a key that holds a third of all rows is spread over ``salts`` tasks. ``how``: inner, left, left_semi or left_anti.
     """
     keys = list(keys)
     if right.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(right), keys, how)
+    own = [f.name for f in left.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(right.withColumn("__salt", salt), [*keys, "__salt"], how).drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")).join(right.withColumn("__salt", salt), [*keys, "__salt"], how).drop("__salt")

@@ -229,3 +229,27 @@ def threshold_mask(voxels: DataFrame, bounds: Bounds, deviations: float = 5.0, i
     rows = densify(voxels, bounds).withColumn("__x", x)
     far = F.abs(F.col("v") - F.col("__x.m")) >= deviations * F.col("__x.d")
     return rows.where(~far if invert else far).select(*AXES, F.lit(1.0).alias("v"))
+
+
+def lowpass_mask(voxels: DataFrame, bounds: Bounds, sigma: float = 1.0) -> DataFrame:
+    """Voxels over exp(-2) of the maximum, blurred, and again over exp(-2)."""
+    level = math.exp(-2)
+    most = voxels.agg(F.max("v").alias("m")).scalar()
+    hard = voxels.withColumn("__m", most).where(F.col("v") / F.col("__m") > level).select(*AXES, F.lit(1.0).alias("v"))
+    return gaussian(hard, sigma, bounds).where(F.col("v") > level).select(*AXES, F.lit(1.0).alias("v"))
+
+
+def resample(voxels: DataFrame, bounds: Bounds, factor: float) -> DataFrame:
+    """Linear interpolation onto a grid whose voxels are ``factor`` times as large: each voxel is scattered to the at most
+    (2 / factor + 1)**3 new positions it weighs in, one aggregation in all."""
+    out = voxels
+    for a, (low, high) in zip(AXES, bounds):
+        if high == low:
+            continue
+        n = int((high - low) / factor) + 1
+        at = (F.col(a) - low) / factor
+        first, last = F.greatest(F.lit(0), F.ceil(at - 1 / factor).cast("int")), F.least(F.lit(n - 1), F.floor(at + 1 / factor).cast("int"))
+        out = out.where(first <= last).withColumn("__k", F.explode(F.sequence(first, last)))
+        weight = 1 - F.abs(F.col("__k") * factor + low - F.col(a))
+        out = out.withColumn("v", F.col("v") * F.greatest(F.lit(0.0), weight)).withColumn(a, F.col("__k").cast("int")).drop("__k").where(F.col("v") != 0)
+    return out.groupBy(*AXES).agg(F.sum("v").alias("v"))

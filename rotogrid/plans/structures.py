@@ -52,7 +52,7 @@ def _sites(s, d):
 
 add("rmsd", lambda s, d: six(At.rmsd(_sites(s, d), _sites(s, d).withColumn("x", F.col("x") + F.col("part")), KEYS), "rmsd"), _at + " SELECT round(sqrt(avg(part * part)), 6) AS rmsd, count(*) AS n FROM (SELECT DISTINCT serial, part FROM atoms)")
 add("to_volume_weight", lambda s, d: six(At.to_volume(t.atoms(s, d), t.elements(s), (2, 1, 1), (0.5, 0, 0), (20, 11, 9)), "v"), _w + " SELECT CAST(round_even((x - 0.5) / 2, 0) AS INT) AS x, CAST(round_even(y, 0) AS INT) AS y, CAST(round_even(z, 0) AS INT) AS z, round(sum(w), 6) AS v FROM w GROUP BY 1, 2, 3 HAVING CAST(round_even((any_value(w.x) - 0.5) / 2, 0) AS INT) < 20")
-add("vdw_spheres", lambda s, d: At.vdw_spheres(t.atoms(s, d).where("residue = 1"), t.elements(s)), f"{_at}, p AS (SELECT CAST(round_even(x, 0) AS INT) AS px, CAST(y AS INT) AS py, CAST(z AS INT) AS pz, CAST(ceil(vdw / 100.0) AS INT) AS k FROM atoms JOIN elements USING (element_symbol) WHERE residue = 1), o AS (SELECT * FROM (SELECT CAST(unnest(range(-2, 3)) AS INT) AS ox), (SELECT CAST(unnest(range(-2, 3)) AS INT) AS oy), (SELECT CAST(unnest(range(-2, 3)) AS INT) AS oz)) SELECT px + ox AS x, py + oy AS y, pz + oz AS z, CAST(count(*) AS DOUBLE) AS v FROM p, o WHERE ox * ox + oy * oy + oz * oz <= k * k GROUP BY 1, 2, 3")
+add("vdw_spheres", lambda s, d: At.vdw_spheres(t.atoms(s, d), t.elements(s)), f"{_at}, p AS (SELECT CAST(round_even(x, 0) AS INT) AS px, CAST(y AS INT) AS py, CAST(z AS INT) AS pz, CAST(ceil(vdw / 100.0) AS INT) AS k, count(*) AS n FROM atoms JOIN elements USING (element_symbol) GROUP BY ALL), o AS (SELECT * FROM (SELECT CAST(unnest(range(-2, 3)) AS INT) AS ox), (SELECT CAST(unnest(range(-2, 3)) AS INT) AS oy), (SELECT CAST(unnest(range(-2, 3)) AS INT) AS oz)) SELECT px + ox AS x, py + oy AS y, pz + oz AS z, CAST(sum(n) AS DOUBLE) AS v FROM p, o WHERE ox * ox + oy * oy + oz * oz <= k * k GROUP BY 1, 2, 3")
 
 
 def _kabsch(s, d):

@@ -23,12 +23,16 @@ FILES = [
     file(8, "t", 1, "data_x\nloop_\n_zvalue\n_angles\n0 1\n1 2.5\n", "star"),
     file(9, None, 1, "zvalue\tq\n0\t1"),
     file(10, None, 2, "zvalue\tr\n0\t1"),
+    file(11, "n", 1, "zvalue\tq\n0\t1", None, None),
+    file(12, "n", 2, "zvalue\tr\n0\t1", "other", "kind"),
+    file(None, "n", 3, "zvalue\tr\n0\t1"),
 ]
 EXPECTED = {
     (2, "renamed", "dose", "weights"), (2, "renamed", "status", "qc"), (2, "retyped", "angles", "angles"), (2, "retyped", "dose", "weights"),
     (3, "retyped", "angles", "angles"),
     (4, "removed", "angles", ""), (4, "removed", "weights", ""), (4, "removed", "qc", ""),
     (6, "renamed", "a", "x"), (6, "retyped", "a", "x"), (6, "retyped", "b", "b"), (6, "removed", "gone", ""), (6, "renamed", "c", "d"),
+    (12, "removed", "q", ""), (12, "added", "", "r"),
     (8, "renamed", "Angles", "angles"), (8, "retyped", "Angles", "angles"),
 }
 
@@ -44,7 +48,7 @@ def test_changes_and_replay(spark):
     assert rows[1, 0].weights == 1.0 and rows[1, 0].rescued == '{"status":"ok"}'
     assert rows[3, 0].angles == -60.0 and rows[3, 0].weights == 1.0 and rows[3, 0].rescued is None
     assert rows[3, 1].rescued == '{"qc":"bad","":"extra"}' and rows[7, 1].angles is None
-    assert len(rows) == 3 + 2 + 2 + 2 + 2 + 2 + 2 + 1 + 1
+    assert len(rows) == 3 + 2 + 2 + 2 + 2 + 2 + 2 + 1 + 1 + 1 + 1 + 1
 
 
 def test_predecessors_of_a_hot_stream_with_ties(spark):

@@ -34,13 +34,13 @@ def json_kids(node):
 
 
 def test_paths_equal_a_recursive_walk(spark):
-    docs = [(1, "xml", XML), (2, "json", json.dumps(TREE)), (3, "xml", XML[:-3]), (4, "json", json.dumps(TREE)[:-1]), (5, "xml", None), (6, "json", " "), (7, "xml", ""), (8, "json", "[1]"), (9, "json", '{"T": {"CTF": {"Param": NaN}}}'), (10, "xml", "﻿<T/>"), (11, None, XML), (12, "json", "{}"), (13, "xml", "<T>" + "<CTF>" * 3000 + "<Param/>" + "</CTF>" * 3000 + "</T>")]
+    docs = [(1, "xml", XML), (2, "json", json.dumps(TREE)), (3, "xml", XML[:-3]), (4, "json", json.dumps(TREE)[:-1]), (5, "xml", None), (6, "json", " "), (7, "xml", ""), (8, "json", "[1]"), (9, "json", '{"T": {"CTF": {"Param": NaN}}}'), (10, "xml", "﻿<T/>"), (11, None, XML), (12, "json", "{}"), (None, "xml", "<T><CTF><Param/></CTF></T>"), (13, "xml", "<T>" + "<CTF>" * 3000 + "<Param/>" + "</CTF>" * 3000 + "</T>")]
     flat = nested.flatten_documents(spark.createDataFrame([(*d, "clash") for d in docs], "ctf_id bigint, file_kind string, body string, item_path string")).cache()
     items = {(r.ctf_id, r.parent_path, r.item_path) for r in flat.where("kind in ('param', 'node')").collect()}
     from_xml = walk("", xml_kids(ElementTree.fromstring(XML)), "", [], [])
     from_json = walk("", json_kids(TREE["TiltSeries"]), "", [], [])
     deep = "/".join(["CTF[1]"] * 3000)
-    assert items == {(i, *p) for i in (1, 11) for p in from_xml} | {(2, *p) for p in from_json} | {(13, deep, deep + "/Param[1]")}
+    assert items == {(i, *p) for i in (1, 11) for p in from_xml} | {(2, *p) for p in from_json} | {(13, deep, deep + "/Param[1]"), (None, "CTF[1]", "CTF[1]/Param[1]")}
     assert len(from_xml) == 6 and len(from_json) == 4
     grid = nested.grids(flat).where("ctf_id = 1 and grid = 'GridCTF'").first()
     assert (grid.width, grid.height, grid.depth) == (1.0, 2.0, None)
