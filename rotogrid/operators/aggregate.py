@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rotogrid.operators.grid import AXES
-from rotogrid.operators.score import T
+from rotogrid.functions.lattice import rotate_offset
+from rotogrid.operators.grid import AXES, Bounds, inside
+from rotogrid.operators.score import T, Template
+
+#: Rotations whose sums fit into one row.
+MOST_SUMS = 64
 
 
 def best_over_rotations(scores: DataFrame, keys: Sequence[str] = (), threshold: float | None = None) -> DataFrame:
@@ -24,6 +29,30 @@ def best_over_rotations(scores: DataFrame, keys: Sequence[str] = (), threshold:
     )
 
 
+def best_products(target: DataFrame, template: Template, rotations: Sequence[tuple], bounds: Bounds, keys: Sequence[str] = (), threshold: float | None = None) -> DataFrame:
+    """The best map of plain correlations in one aggregation: equal to ``best_over_rotations(correlate(...))``.
+
+    A voxel is exploded over the distinct offsets of all rotations together, each with one weight per rotation, and the
+    sums of all rotations travel in one row per translation: fewer rows and one shuffle instead of two. For up to
+    ``MOST_SUMS`` rotations.
+    """
+    weights: dict[tuple, dict[int, float]] = {}
+    for r, rot in enumerate(rotations):
+        for p in template.points:
+            at = weights.setdefault(rotate_offset(rot, p[:3]), {})
+            at[r] = at.get(r, 0.0) + float(p[3])
+    names = [f"w{r}" for r in range(len(rotations))]
+    rows = [dict(zip(("ox", "oy", "oz"), o)) | {f"w{r}": w for r, w in by.items()} for o, by in sorted(weights.items())]
+    literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<ox:int,oy:int,oz:int," + ",".join(f"{n}:double" for n in names) + ">>")
+    moved = target.withColumn("__e", F.explode(literal))
+    moved = moved.select(*keys, *[(F.col(a) - F.col(f"__e.o{a}")).alias(t) for a, t in zip(AXES, T)], "v", "__e").where(inside(bounds, T))
+    sums = moved.groupBy(*keys, *T).agg(*[F.sum(F.col("v") * F.col(f"__e.{n}")).alias(n) for n in names])
+    # a rotation without a contribution is null, which is the least
+    best = F.array_max(F.array(*[F.struct(F.col(n).alias("s"), F.lit(-r).alias("q")) for r, n in enumerate(names)]))
+    out = sums.withColumn("b", best).select(*keys, *T, F.col("b.s").alias("s"), (-F.col("b.q")).cast("int").alias("r"))
+    return out if threshold is None else out.where(F.col("s") > threshold)
+
+
 def best_over_translations(scores: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Per rotation (and kept axes) the highest score over all translations."""
     return scores.groupBy("r", *keep).agg(F.max("s").alias("s"))

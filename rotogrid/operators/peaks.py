@@ -52,16 +52,11 @@ def maximum_filter(scores: DataFrame, edge: int, bounds: Bounds, keys: Sequence[
     """
     low, high = _around(edge)
     live = [t for t, (a, b) in zip(T, bounds) if b > a]
-    spread = scores.select(*keys, *T, "s")
+    spread = scores.select(*keys, *T, "s", F.lit(1).alias("n"))
     for t in live:
-        spread = spread.withColumn(t, F.explode(F.sequence(F.col(t) - high, F.col(t) - low))).groupBy(*keys, *T).agg(F.max("s").alias("s"))
-    best = spread.select(*keys, *T, F.col("s").alias("__best"))
-    if edge > 1 and live:
-        cells = edge ** len(live)
-        held = scores.select(*keys, *T, F.lit(1).alias("n"))
-        for t in live:
-            held = held.withColumn(t, F.explode(F.sequence(F.col(t) - high, F.col(t) - low))).groupBy(*keys, *T).agg(F.sum("n").alias("n"))
-        best = best.join(held, [*keys, *T]).withColumn("__best", F.when(F.col("n") < cells, F.greatest("__best", F.lit(0.0))).otherwise(F.col("__best"))).drop("n")
+        spread = spread.withColumn(t, F.explode(F.sequence(F.col(t) - high, F.col(t) - low))).groupBy(*keys, *T).agg(F.max("s").alias("s"), F.sum("n").alias("n"))
+    full = F.col("n") >= edge ** len(live)
+    best = spread.select(*keys, *T, F.when(full, F.col("s")).otherwise(F.greatest("s", F.lit(0.0))).alias("__best"))
     return scores.join(best, [*keys, *T]).where(F.col("s") >= F.col("__best")).drop("__best")
 
 

@@ -196,6 +196,8 @@ def register_score(name: str, score: Callable[..., DataFrame]) -> None:
 
 def match_template(target: DataFrame, template: Template, score: str = "FLCSphericalMask", rotations: Sequence[tuple] = (IDENTITY,), bounds: Bounds = None, keys: Sequence[str] = (), threshold: float = -1.0) -> DataFrame:
     """Best rotation of every translation: keys, tx, ty, tz, s, r; translations without a score above the threshold are left out."""
-    from rotogrid.operators.aggregate import best_over_rotations
+    from rotogrid.operators.aggregate import MOST_SUMS, best_over_rotations, best_products
 
+    if score == "CC" and len(rotations) <= MOST_SUMS:
+        return best_products(target, template, rotations, bounds, keys, threshold)
     return best_over_rotations(SCORES[score](target, template, rotations, bounds, keys), keys, threshold)

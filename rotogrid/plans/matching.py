@@ -118,11 +118,12 @@ def _scores(s, d):
 
 
 def _best_map(s, d):
-    return A.best_over_rotations(_scores(s, d))
+    return A.best_products(t.volume(s, d), t.TEMPLATE, t.ROTATIONS, t.V3_BOUNDS)
 
 
 add("max_over_rotations", lambda s, d: P.top(_best_map(s, d), 100), _best + " SELECT * FROM best ORDER BY s DESC, tx, ty, tz LIMIT 100")
 add("best_map", _best_map, _best + " SELECT * FROM best")
+add("best_map_of_scores", lambda s, d: A.best_over_rotations(_scores(s, d)), _best + " SELECT * FROM best")
 add("score_threshold", lambda s, d: A.best_over_rotations(_scores(s, d), threshold=150.0), _best + " SELECT * FROM best WHERE s > 150")
 add("max_over_translations", lambda s, d: A.best_over_translations(_scores(s, d), ("tz",)), _cc + " SELECT r, tz, max(s) AS s FROM cc GROUP BY ALL")
 add("merge_tiles", lambda s, d: A.merge_best(*[A.best_over_rotations(S.correlate(t.volume(s, d), t.TEMPLATE, t.ROTATIONS, [part, *t.V3_BOUNDS[1:]])) for part in ((1, 30), (20, 50))]), _best + " SELECT * FROM best")

@@ -199,7 +199,7 @@ add("false_positive_threshold", lambda s, d: six(Pp.noise_threshold(_map2(s, d),
 
 def _out(s, d):
     angles = s.createDataFrame([(r, *[float(a) for a in L.matrix_to_euler(np.array(m, float).reshape(3, 3))]) for r, m in enumerate(t.ROTATIONS)], "r int, euler_x double, euler_y double, euler_z double")
-    best = P.top(A.best_over_rotations(S.correlate(t.volume(s, d), t.TEMPLATE, t.ROTATIONS, t.V3_BOUNDS)), 40)
+    best = P.top(A.best_products(t.volume(s, d), t.TEMPLATE, t.ROTATIONS, t.V3_BOUNDS), 40)
     return six(Pp.orientations(best, angles, (2, 2, 2), (1, 0, 0)), "euler_x", "euler_y", "euler_z")
 
 

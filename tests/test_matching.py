@@ -97,6 +97,14 @@ def test_first_rotation_wins_ties_and_thresholds_are_exceeded(spark):
     assert {tuple(r) for r in A.best_over_rotations(scores, threshold=1.0).collect()} == {(0, 0, 0, 2.0, 0)}
 
 
+def test_best_products_equal_the_best_of_scores(spark):
+    target, _, _, template = small()
+    signed = S.Template(tuple((*p[:3], p[3] - 5.0, 1.0) for p in template.points[::3]), 27)
+    v, bounds, rotations = voxels(spark, target), [(0, n - 1) for n in target.shape], L.lattice_rotations()
+    plain = A.best_over_rotations(S.correlate(v, signed, rotations, bounds), threshold=-3.0)
+    assert sorted(map(tuple, A.best_products(v, signed, rotations, bounds, threshold=-3.0).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_registry():
     with pytest.raises(ValueError):
         S.register_score("CC", S.correlate)
