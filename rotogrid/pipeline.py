@@ -33,7 +33,7 @@ def regrid(blocks: DataFrame, edge: int, halo: int) -> DataFrame:
 
 def match(
     spark: SparkSession, target: str, template: str, mask: str | None = None, out: str | None = None, rotations: np.ndarray | None = None, sampling: float = 60.0, score: str = "FLCSphericalMask",
-    edge: int = 64, lowpass: float | None = None, order: int = 1, threshold: float = -1.0,
+    edge: int = 64, lowpass: float | None = None, order: int = 1, threshold: float = -1.0, precision: str = "float32", group: int | None = 256,
 ) -> DataFrame:
     """Score a template file at every voxel and rotation of a target file; the best map is written to ``out`` if given.
 
@@ -52,7 +52,7 @@ def match(
     stored = volumes.read_volumes(spark, target)
     head = stored.select("shape", "origin", "rate").first()
     halo = max(g.shape) // 2
-    best = dense.match_blocks(regrid(stored, edge, halo), g, m, rotations, halo, score, threshold, order)
+    best = dense.match_blocks(regrid(stored, edge, halo), g, m, rotations, halo, score, threshold, order, precision, group)
     best = best.where(grid.inside([(0, n - 1) for n in head.shape], ("tx", "ty", "tz")))
     if out:
         best.write.mode("overwrite").parquet(f"{out}/scores")

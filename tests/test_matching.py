@@ -74,9 +74,13 @@ def test_blocks_equal_one_volume(spark):
     rotations = np.array(L.lattice_rotations(), float).reshape(-1, 3, 3)
     whole = np.max(list(D.fft_scores(target, g, m, rotations, "CC")), 0)
     out = D.match_blocks(G.to_blocks(voxels(spark, target), 4, 1), g, m, rotations, 1, "CC", -1e9)
-    got = {(r.tx, r.ty, r.tz): r.s for r in out.collect()}
-    for at in np.ndindex(*target.shape):
-        assert got[at] == pytest.approx(whole[at], abs=1e-6)
+    grouped = D.match_blocks(G.to_blocks(voxels(spark, target), 4, 1), g, m, rotations, 1, "CC", -1e9, precision="float32", group=5)
+    for rows, close in ((out, 1e-6), (grouped, 1e-3)):
+        got = {(r.tx, r.ty, r.tz): r.s for r in rows.collect()}
+        for at in np.ndindex(*target.shape):
+            assert got[at] == pytest.approx(whole[at], abs=close)
+    first = {(r.tx, r.ty, r.tz): r.r for r in out.collect()}
+    assert len(first) == len(set(first)) and min(first.values()) == 0
     with pytest.raises(ValueError):
         D.match_blocks(G.to_blocks(voxels(spark, target), 4, 0), g, m, rotations, 0)
 
