@@ -14,7 +14,7 @@ from rotogrid.operators import refine as R
 from rotogrid.operators import score as S
 from rotogrid.operators import stencil as C
 from rotogrid.plans import tables as t
-from rotogrid.plans.matching import six
+from rotogrid.plans.matching import IDENTITY, _lap_points, _lap_tpl, six
 from rotogrid.plans.structures import _POINTS, _poses
 from rotogrid.plans.volumes import _rows, _window_sql
 
@@ -49,7 +49,7 @@ def _top_poses(s, d):
 
 add("merge_peaks", lambda s, d: P.merge(_map2(s, d).where("tx <= 16"), _map2(s, d).where("tx >= 14"), distance=3.0, n=30))
 add("local_maxima", lambda s, d: P.local_maxima(_map2(s, d), 2, t.V2_BOUNDS, 30, 8.0))
-add("laplace_cc_at_pose", lambda s, d: six(R.pose_scores(S.laplacian(t.volume(s, d), t.V3_BOUNDS), _poses(s, d), [(*p[:3], p[3]) for p in S.laplacian_template(t.TEMPLATE, (5, 5, 5)).points], "CrossCorrelation"), "s"))
+add("laplace_cc_at_pose", lambda s, d: six(R.pose_scores(S.laplacian(t.volume(s, d), t.V3_BOUNDS), _poses(s, d), [(*p[:3], p[3]) for p in S.laplacian_template(t.TEMPLATE, (5, 5, 5)).points], "CrossCorrelation"), "s"), f"WITH {t.V3}, {t.expansion_sql(_lap_points, (IDENTITY,), 'lp')}, {t.placed_sql('v3', t.V3_BOUNDS, tpl='lp', wrap=True, name='lapped')}, lap AS (SELECT tx AS x, ty AS y, tz AS z, sum(v * g) AS v FROM lapped GROUP BY ALL), pt AS (SELECT * FROM {t.values([p[:4] for p in _lap_tpl.points], 'ox, oy, oz, w')}) SELECT CAST(p.x * 1000 + p.y * 10 + p.z AS BIGINT) AS pose_id, round(sum(w * coalesce(s.v, 0.0)), 6) + 0.0 AS s FROM v3 p CROSS JOIN pt LEFT JOIN lap s ON s.x = p.x + ox AND s.y = p.y + oy AND s.z = p.z + oz WHERE p.v > 15 GROUP BY 1")
 add("extreme_poses", lambda s, d: six(R.pose_scores(t.volume(s, d), _top_poses(s, d), _POINTS, "NormalizedCrossCorrelationMean"), "s"), f"WITH {t.V3}, b AS (SELECT * FROM v3 ORDER BY v DESC, x, y, z LIMIT 60), pt AS (SELECT * FROM {t.values(_POINTS, 'ox, oy, oz, w')}), sm AS (SELECT CAST(p.x * 1000 + p.y * 10 + p.z AS BIGINT) AS pose_id, w, coalesce(s.v, 0.0) AS v FROM b p CROSS JOIN pt LEFT JOIN v3 s ON s.x = p.x + ox AND s.y = p.y + oy AND s.z = p.z + oz) SELECT pose_id, round(CASE WHEN sqrt(greatest(0.0, sum(w * w) - sum(w) ** 2 / count(*))) * sqrt(greatest(0.0, sum(v * v) - sum(v) ** 2 / count(*))) > 1e-9 THEN (sum(w * v) - sum(w) * sum(v) / count(*)) / (sqrt(greatest(0.0, sum(w * w) - sum(w) ** 2 / count(*))) * sqrt(greatest(0.0, sum(v * v) - sum(v) ** 2 / count(*)))) ELSE 0.0 END, 6) + 0.0 AS s FROM sm GROUP BY 1")
 add("normal_vector_score", lambda s, d: six(Pp_normals(s, d), "s"))
 

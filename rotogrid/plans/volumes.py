@@ -161,9 +161,18 @@ _wave = fourier.electron_wavelength(300e3)
 add("ctf_curve", _rows(lambda: fourier.ctf((16, 20), 2.5e4, rate=4.0)), f"WITH {_g2}, {_f2}, c AS (SELECT i, j, f, pi() * {_wave!r} * (f / 4) ** 2 * (25000.0 - 2.7e7 * {_wave!r} ** 2 * (f / 4) ** 2 / 2) + atan(0.07 / sqrt(1 - 0.07 ** 2)) AS chi FROM f) SELECT i, j, round(CASE WHEN f <= 0.5 THEN abs(sin(-chi)) ELSE 0.0 END, 6) + 0.0 AS v FROM c")
 add("reconstruction_filter", _rows(lambda: np.stack([fourier.reconstruction_filter(24, k) for k in ("ramp-cont", "shepp-logan", "cosine", "hamming")])), f"""WITH g AS (SELECT CAST(unnest(range(0, 24)) AS INT) AS j), f AS (SELECT j, abs({_freq(24, 'j')}) AS f FROM g)
  SELECT 0 AS i, j, round(2 * f, 6) AS v FROM f UNION ALL SELECT 1, j, round(2 * f * CASE WHEN f = 0 THEN 1 ELSE sin(pi() * f) / (pi() * f) END, 6) FROM f UNION ALL SELECT 2, j, round(2 * f * cos(pi() * f), 6) + 0.0 FROM f UNION ALL SELECT 3, j, round(2 * f * (0.54 + 0.46 * cos(2 * pi() * f)), 6) FROM f""")
-add("tilt_weights", _rows(lambda: np.stack([fourier.tilt_weights(k, (8, 8), (-40, 0, 40), (1.0, 2.0, 3.0)).mean((1, 2)) for k in fourier.WEIGHTS])))
-add("wedge_mask", _rows(lambda: fourier.continuous_wedge((12, 12, 12), 50, 50)))
-add("step_wedge_mask", _rows(lambda: fourier.step_wedge((12, 12, 12), range(-60, 61, 20))))
+_k8 = f"g AS (SELECT * FROM (SELECT CAST(unnest(range(0, 8)) AS INT) AS p), (SELECT CAST(unnest(range(0, 8)) AS INT) AS q)), k AS (SELECT sqrt({_freq(8, 'p')} ** 2 + {_freq(8, 'q')} ** 2) AS k FROM g), t AS (SELECT * FROM (VALUES (0, -40e0, 1e0), (1, 0e0, 2e0), (2, 40e0, 3e0)) AS t(j, a, d))"
+add(
+    "tilt_weights",
+    _rows(lambda: np.stack([fourier.tilt_weights(k, (8, 8), (-40, 0, 40), (1.0, 2.0, 3.0)).mean((1, 2)) for k in fourier.WEIGHTS])),
+    f"""WITH {_k8} SELECT 0 AS i, j, 1e0 AS v FROM t UNION ALL SELECT 1, j, round(cos(radians(a)), 6) FROM t
+ UNION ALL SELECT 2, j, round(avg(exp(-2 * pi() ** 2 * (d * 4 / (8 * pi() ** 2)) * k ** 2)) * cos(radians(any_value(a))), 6) FROM t, k GROUP BY j
+ UNION ALL SELECT 3, j, round(avg(CASE WHEN k > 0 THEN exp(-d / (2 * (0.245 * k ** -1.665 + 2.81))) ELSE 1.0 END), 6) FROM t, k GROUP BY j""",
+)
+_g12 = "g AS (SELECT * FROM " + ", ".join(f"(SELECT CAST(unnest(range(0, 12)) AS INT) AS {c})" for c in "ijk") + ")"
+_f12 = f"f AS (SELECT i, j, k, {_freq(12, 'i')} AS depth, {_freq(12, 'j')} AS side, {_freq(12, 'k')} AS along FROM g)"
+add("wedge_mask", _rows(lambda: fourier.continuous_wedge((12, 12, 12), 50, 50)), f"WITH {_g12}, {_f12} SELECT i, j, k, CASE WHEN sqrt(depth ** 2 + side ** 2 + along ** 2) <= 0.5 AND (depth = 0 OR degrees(atan2(depth * CASE WHEN side < 0 THEN -1 ELSE 1 END, abs(side))) BETWEEN -50 AND 50) THEN 1e0 ELSE 0e0 END AS v FROM f")
+add("step_wedge_mask", _rows(lambda: fourier.step_wedge((12, 12, 12), range(-60, 61, 20))), f"WITH {_g12}, {_f12}, a AS (SELECT radians(unnest(range(-60, 61, 20))) AS a) SELECT i, j, k, CASE WHEN min(abs(depth * cos(a) - side * sin(a))) * 12 <= 0.5 + 1e-9 THEN 1e0 ELSE 0e0 END AS v FROM f, a GROUP BY i, j, k")
 add("whiten", _rows(lambda: fourier.whitening(np.arange(512.0).reshape(8, 8, 8) % 37)))
 
 
