@@ -79,16 +79,12 @@ def enclosing_edge(voxels: DataFrame, cutoff: float) -> DataFrame:
 
 def boundary_levels(voxels: DataFrame, count: int, fraction: float = 0.1) -> DataFrame:
     """The count-th and the count * (1 + fraction)-th largest value: a threshold pair for an expected volume.
+    Null where there aren't as many voxels."""
+    from rotogrid.operators.order import order_statistics
 
-    Values are counted before they are ordered, so the window runs over distinct values only.
-    """
-    from pyspark.sql import Window
-
-    freq = voxels.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    sums = freq.withColumn("upto", upto)
-    wider = int(count * (1 + fraction))
-    return sums.agg(F.max(F.when(F.col("upto") >= count, F.col("v"))).alias("upper"), F.max(F.when(F.col("upto") >= wider, F.col("v"))).alias("lower"))
+    n = voxels.count()
+    upper, lower = order_statistics(voxels, "v", [n - count, n - int(count * (1 + fraction))])
+    return voxels.sparkSession.createDataFrame([(upper, lower)], "upper double, lower double")
 
 
 def convolution_bounds(shape: Sequence[int], template: Sequence[int], mode: str) -> list[tuple[int, int]]:

@@ -86,8 +86,10 @@ def average(extracted: DataFrame, picks: int) -> DataFrame:
 
 def rank_visible(picks: DataFrame, low: float, high: float) -> DataFrame:
     """Picks whose score lies between two percentiles (linear interpolation, both ends included)."""
-    q = picks.agg(F.struct(F.percentile("score", low / 100).alias("a"), F.percentile("score", high / 100).alias("b")).alias("q")).scalar()
-    return picks.withColumn("__q", q).where(F.col("score").between(F.col("__q.a"), F.col("__q.b"))).drop("__q")
+    from rotogrid.operators.order import percentiles
+
+    a, b = percentiles(picks, "score", (low / 100, high / 100))
+    return picks.where(F.col("score").between(F.lit(a).cast("double"), F.lit(b).cast("double")))
 
 
 def join_attributes(points: DataFrame, originals: DataFrame) -> DataFrame:
