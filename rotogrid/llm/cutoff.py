@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotogrid.llm.topn import finite
+from rotogrid.operators.order import DIGITS, order_key
 from rotogrid.operators.skew import join_small
 from rotogrid.session import cut
 
 #: Sources with more distinct scores than this are cut by digits of the score instead of in one window.
 WIDE_SCORES = 100_000
-#: Bits of each digit, from the highest; a window then holds at most 2**16 rows of a source.
-DIGITS = (48, 32, 16, 0)
 
 
 def _rows(items: DataFrame, source: str, score: str, item_id: str) -> DataFrame:
@@ -21,12 +20,6 @@ def _rows(items: DataFrame, source: str, score: str, item_id: str) -> DataFrame:
     )
 
 
-def _order_key(score: Column) -> Column:
-    """A bigint that sorts as the double does (IEEE 754 bits, negatives mirrored)."""
-    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), score).cast("bigint")
-    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
-
-
 def _crossing(freq: DataFrame, key: str) -> DataFrame:
     """Per source the highest ``key`` at which the descending cumulative sum reaches ``__need``,
     with ``__above`` (the sum beyond that key) and ``__upto`` (the sum with it)."""
@@ -77,7 +70,7 @@ def cutoffs(
     wide = totals.where(F.col("__scores") > wide_scores).select("__g", "__total", "__need", F.col("__need").alias("__goal"), F.lit(0).cast("bigint").alias("__beyond"))
     if wide.isEmpty():
         return _named(result, source)
-    left = cut(join_small(freq, wide.select("__g"), ["__g"], "left_semi").withColumn("__k", _order_key(F.col("__s"))))
+    left = cut(join_small(freq, wide.select("__g"), ["__g"], "left_semi").withColumn("__k", order_key(F.col("__s"))))
     state = wide
     for shift in DIGITS:
         digit = F.shiftright("__k", shift)
