@@ -19,6 +19,8 @@ KEYS = {"wedge": "zvalue", "orientations": "pick_id"}
 MISSING = frozenset(("", ".", "?", "na", "nan", "null"))
 INTEGER = re.compile(r"[+-]?[0-9]+", re.ASCII)
 DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", re.ASCII)
+INTEGERS = re.compile(rf"{INTEGER.pattern}(?:\n{INTEGER.pattern})*", re.ASCII)
+DECIMALS = re.compile(rf"{DECIMAL.pattern}(?:\n{DECIMAL.pattern})*", re.ASCII)
 KINDS = ("", "integer", "decimal", "text")
 BLANKS = " \t\r\n\v\f\xa0"
 MAX_ALIASES = 10_000
@@ -38,24 +40,28 @@ class Lexeme(str):
     __slots__ = ()
 
 
+_DECODER = json.JSONDecoder(parse_int=Lexeme, parse_float=Lexeme, parse_constant=Lexeme)
+_ENCODER = json.JSONEncoder(ensure_ascii=False)
+
 def _lines(body: str) -> list[str]:
     return re.split(r"\r\n|\n|\r", body.lstrip("﻿"))
 
 
-def _text_records(body: str):
-    names = None
+def _text_rows(body: str) -> tuple[list[str], list[list[str]]]:
+    """Header names and rows of cells of a tab-separated body."""
+    names, rows = None, []
     for line in _lines(body):
         if names is None:
             if line.strip(BLANKS) and not line.lstrip(BLANKS).startswith("#"):
                 names = [n.strip(BLANKS) for n in line.split("\t")]
-                yield names
         elif line.strip(BLANKS):
-            yield [Lexeme(v.strip(BLANKS)) for v in line.split("\t")]
+            rows.append([v.strip(BLANKS) for v in line.split("\t")])
+    return names or [], rows
 
 
-def _star_records(body: str):
-    names: list[str] = []
-    rows = False
+def _star_rows(body: str) -> tuple[list[str], list[list[str]]]:
+    """The same of a STAR body."""
+    names, rows = [], []
     for line in _lines(body):
         line = line.strip(BLANKS)
         if not line or line[0] == "#" or not rows and (line.startswith("data_") or line == "loop_"):
@@ -63,25 +69,29 @@ def _star_records(body: str):
         if not rows and line[0] == "_":
             names.append(re.sub(r"\s+#\s*\d*$", "", line)[1:].strip(BLANKS))
             continue
-        if not rows:
-            rows = True
-            yield names
-        yield [Lexeme(v) for v in line.split()]
-    if not rows:
-        yield names
+        rows.append(line.split())
+    return names, rows
 
 
 def _jsonl_records(body: str):
     for line in _lines(body):
         if line.strip(BLANKS):
             try:
-                record = json.loads(line, parse_int=Lexeme, parse_float=Lexeme, parse_constant=Lexeme)
+                record = _DECODER.decode(line)
             except (ValueError, RecursionError):
                 continue
             if isinstance(record, dict):
                 yield {k.strip(BLANKS): v for k, v in record.items()}
 
 
+def _column_kind(values: list[str]) -> int:
+    """The widest type of present, unquoted values."""
+    if not values:
+        return 0
+    joined = "\n".join(values)
+    return 1 if INTEGERS.fullmatch(joined) else 2 if DECIMALS.fullmatch(joined) else 3
+
+
 def _kind(value) -> int:
     if not isinstance(value, Lexeme):
         return 3
@@ -114,32 +124,60 @@ def _key(text: str | None) -> str | None:
 def ingest_file(body: str | None, file_kind: str | None, key_field: str | None):
     """Fields in order of first appearance with their widest type; per record its key, the castable target
     values, and all else that isn't missing as a JSON object."""
-    body = body or ""
+    if file_kind == "jsonl":
+        return _ingest_objects(_jsonl_records(body or ""), key_field)
+    return _ingest_rows(*(_star_rows if file_kind == "star" else _text_rows)(body or ""), key_field)
+
+
+def _ingest_rows(names: list[str], rows: list[list[str]], key_field: str | None):
+    """A table with a header, column by column."""
+    width, n = len(names), len(rows)
+    columns = list(zip(*[(*row[:width], *[""] * (width - len(row))) for row in rows])) if rows else [()] * width
+    fields, keys, rest = [], [None] * n, []
+    typed: dict[str, list] = {t: [None] * n for t in TARGETS}
+    for name in dict.fromkeys(names):
+        column = [None if v.lower() in MISSING else v for v in columns[names.index(name)]]
+        if name == key_field:
+            keys = [_key(v) for v in column]
+            continue
+        present = [v for v in column if v is not None]
+        kind = _column_kind(present)
+        fields.append({"name": name, "kind": KINDS[kind]})
+        if name in typed:
+            numbers = [None if v is None else _number(v) for v in column]
+            typed[name] = numbers
+            if kind == 3:
+                rest.append((name, [v if x is None else None for v, x in zip(column, numbers)]))
+        elif present:
+            rest.append((name, column))
+    over = [" ".join(row[width:]) for row in rows]
+    if any(over):
+        rest.append(("", [v or None for v in over]))
+    rescued = []
+    for i in range(n):
+        kept = {name: column[i] for name, column in rest if column[i] is not None}
+        rescued.append(_ENCODER.encode(kept) if kept else None)
+    return fields, keys, typed, rescued
+
+
+def _ingest_objects(records: Iterator[dict], key_field: str | None):
+    """Objects whose fields vary, one by one."""
     kinds: dict[str, int] = {}
     keys, rescued = [], []
     typed: dict[str, list] = {t: [] for t in TARGETS}
-    if file_kind == "jsonl":
-        records = _jsonl_records(body)
-    else:
-        rows = (_star_records if file_kind == "star" else _text_records)(body)
-        names = next(rows, [])
-        kinds.update((n, 0) for n in names if n != key_field)
-        records = (dict(zip(reversed(names), reversed([*row[: len(names)], *[None] * (len(names) - len(row))]))) | ({"": " ".join(row[len(names):])} if len(row) > len(names) else {}) for row in rows)
     for record in records:
         rest: dict[str, str] = {}
         cast = dict.fromkeys(TARGETS)
         key = None
-        for name, value in record.items() if file_kind == "jsonl" else ((n, record[n]) for n in dict.fromkeys([*names, *record])):
+        for name, value in record.items():
             text = _lexeme(value)
             if name == key_field:
                 key = _key(text)
                 continue
-            if name or file_kind == "jsonl" or name in names:
-                kinds.setdefault(name, 0)
-                if text is not None:
-                    kinds[name] = max(kinds[name], _kind(value))
+            kinds.setdefault(name, 0)
             if text is None:
                 continue
+            kinds[name] = max(kinds[name], _kind(value))
             if name in cast and (number := _number(text)) is not None:
                 cast[name] = number
             else:
@@ -147,7 +185,7 @@ def ingest_file(body: str | None, file_kind: str | None, key_field: str | None):
         keys.append(key)
         for t in TARGETS:
             typed[t].append(cast[t])
-        rescued.append(json.dumps(rest, ensure_ascii=False) if rest else None)
+        rescued.append(_ENCODER.encode(rest) if rest else None)
     return [{"name": n, "kind": KINDS[k]} for n, k in kinds.items()], keys, typed, rescued
 
 
@@ -266,14 +304,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def changes(ingested: DataFrame, headers: DataFrame) -> DataFrame:
     """Every change between a file and the one before it in its stream, from the rescue-column form of both.
 
-    ``ingested`` is of :func:`ingest`, best written first, as it is read twice; ``headers`` has file_id, stream_id and
-    written_at. Pairs are joined by file id, which spreads evenly, however large a stream is. Empty tables give no rows.
+    ``ingested`` is of :func:`ingest`, best written first, as it is read more than once; ``headers`` has file_id, stream_id
+    and written_at. Field lists alone are compared first, in the JVM: only pairs that both lose and gain fields can hold
+    a rename, and only their records are shuffled and compared. Pairs are joined by file id, which spreads
+    evenly, however large a stream is. Empty tables give no rows.
     """
-    whole = ["file_id", "fields", "record_keys", *TARGETS, "rescued"]
-    links = predecessors(headers)
-    after = ingested.select("file_id", F.struct(*whole).alias("after")).join(links, "file_id").select("before_id", "after")
-    before = ingested.select(F.col("file_id").alias("before_id"), F.struct(*whole).alias("before"))
-    return after.join(before, "before_id").select("before", "after").mapInArrow(_compare, CHANGES)
+    profile = ingested.select("file_id", "fields")
+    pairs = cut(
+        profile.withColumnRenamed("fields", "now").join(predecessors(headers), "file_id")
+        .join(profile.select(F.col("file_id").alias("before_id"), F.col("fields").alias("was")), "before_id")
+        .withColumn("lost", F.expr("array_except(was.name, now.name)"))
+        .withColumn("new", F.expr("array_except(now.name, was.name)"))
+    )
+    empty = F.lit("")
+    both = F.expr("filter(transform(was, w -> struct(w.name as name, w.kind as a, get(filter(now, n -> n.name = w.name), 0).kind as b)), x -> x.b is not null and x.a <> '' and x.b <> '' and x.a <> x.b).name")
+    row = lambda change, a, b: F.struct(F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field"))
+    plain = (
+        pairs.where((F.size("lost") == 0) | (F.size("new") == 0))
+        .select("file_id", F.explode(F.concat(
+            F.transform("lost", lambda n: row("removed", n, empty)), F.transform("new", lambda n: row("added", empty, n)), F.transform(both, lambda n: row("retyped", n, n)),
+        )).alias("c"))
+        .select("file_id", "c.*")
+    )
+    whole = F.struct("file_id", "fields", "record_keys", *TARGETS, "rescued")
+    open_pairs = pairs.where((F.size("lost") > 0) & (F.size("new") > 0)).select("file_id", "before_id")
+    after = ingested.select("file_id", whole.alias("after")).join(open_pairs, "file_id").select("before_id", "after")
+    before = ingested.select(F.col("file_id").alias("before_id"), whole.alias("before"))
+    renamed = before.join(after, "before_id").select("before", "after").mapInArrow(_compare, CHANGES)
+    return plain.unionByName(renamed)
 
 
 def approved_aliases(found: DataFrame, targets: Sequence[str] = TARGETS, min_files: int = 2, most: int = MAX_ALIASES) -> dict[str, str]:
