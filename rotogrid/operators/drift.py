@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rotogrid.operators.skew import join_small
 from rotogrid.session import cut
 
 #: The typed columns of the one table, all double.
@@ -328,8 +329,8 @@ def changes(ingested: DataFrame, headers: DataFrame) -> DataFrame:
     )
     whole = F.struct("file_id", "fields", "record_keys", *TARGETS, "rescued")
     open_pairs = pairs.where((F.size("lost") > 0) & (F.size("new") > 0)).select("file_id", "before_id")
-    after = ingested.select("file_id", whole.alias("after")).join(open_pairs, "file_id").select("before_id", "after")
-    before = ingested.select(F.col("file_id").alias("before_id"), whole.alias("before"))
+    after = join_small(ingested.select("file_id", whole.alias("after")), open_pairs, ["file_id"]).select("before_id", "after")
+    before = join_small(ingested.select(F.col("file_id").alias("before_id"), whole.alias("before")), open_pairs.select("before_id"), ["before_id"], "left_semi")
     renamed = before.join(after, "before_id").select("before", "after").mapInArrow(_compare, CHANGES)
     return plain.unionByName(renamed)
 
