@@ -25,6 +25,12 @@ DECIMALS = re.compile(rf"{DECIMAL.pattern}(?:\n{DECIMAL.pattern})*", re.ASCII)
 KINDS = ("", "integer", "decimal", "text")
 BLANKS = " \t\r\n\v\f\xa0"
 MAX_ALIASES = 10_000
+#: How rescued text becomes a double, tried in order; each gives null for what it doesn't read.
+CASTS = (
+    "try_cast(regexp_extract({0}, '^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)[A-Za-z°%]*$', 1) as double)",
+    "try_cast(replace(regexp_extract({0}, '^([+-]?[0-9]+,[0-9]+)$', 1), ',', '.') as double)",
+    "try_cast(regexp_extract({0}, '^[A-Za-z]([+-]?[0-9]+)$', 1) as double)",
+)
 
 INGESTED = (
     "file_id bigint, stream_id string, record_kind string, tomo_id string, written_at timestamp, "
@@ -357,8 +363,9 @@ def _other_than(name: str):
 def records(ingested: DataFrame, aliases: Mapping[str, str], targets: Sequence[str] = TARGETS) -> DataFrame:
     """One row for each record, with rescued values of approved aliases replayed into the typed columns.
 
-    A value is replayed if it is a number, with or without a unit behind it (``2.50deg``), and its column is null; it
-    then leaves ``rescued``. All else stays there. Files without records give no rows.
+    A value is replayed if its column is null and one of ``CASTS`` reads it: a number with or without a unit behind it
+    (``2.50deg``), with a decimal comma (``-15,05``), or an integer behind one letter (``c2``). It then leaves ``rescued``.
+    All else, such as lists and marks of failure, stays there. Files without records give no rows.
     """
     rows = ingested.select(
         "file_id", "stream_id", "record_kind", "tomo_id", "written_at",
@@ -367,7 +374,7 @@ def records(ingested: DataFrame, aliases: Mapping[str, str], targets: Sequence[s
         "file_id", "stream_id", "record_kind", "tomo_id", "written_at", "record_no", F.col("r.record_keys").alias("record_key"),
         *[F.col(f"r.{t}").alias(t) for t in targets], F.from_json("r.rescued", "map<string,string>").alias("extra"),
     )
-    number = lambda text: F.expr(f"try_cast(regexp_extract({text}, '^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)[A-Za-z°%]*$', 1) as double)")
+    number = lambda text: F.expr("coalesce(" + ", ".join(c.format(text) for c in CASTS) + ")")
     used = []
     for t in targets:
         names = [t, *sorted(a for a, to in aliases.items() if to == t)]

@@ -51,6 +51,14 @@ def test_changes_and_replay(spark):
     assert len(rows) == 3 + 2 + 2 + 2 + 2 + 2 + 2 + 1 + 1 + 1 + 1 + 1
 
 
+def test_replay_of_other_spellings(spark):
+    cells = ["2.50deg", "-15,05", "c2", "c-1", "1e2", "[1;2]", "bad", "12..5", "1,2,3", "--"]
+    files = spark.createDataFrame([file(1, "s", 1, "zvalue\tdose\n" + "\n".join(f"{i}\t{c}" for i, c in enumerate(cells)))], SCHEMA)
+    rows = drift.records(drift.ingest(files), {"dose": "weights"}).orderBy("record_no").collect()
+    assert [r.weights for r in rows] == [2.5, -15.05, 2.0, -1.0, 100.0, None, None, None, None, None]
+    assert [r.rescued is None for r in rows] == [True] * 5 + [False] * 5
+
+
 def test_predecessors_of_a_hot_stream_with_ties(spark):
     rng = random.Random(1)
     heads = [(i, rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([None, *(dt.datetime(2024, 1, 1, h) for h in range(5))])) for i in range(500)]
