@@ -169,3 +169,52 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array((i + s).astype(np.int32)) for i, s in zip(at, row["start"])], pa.array(data[at])], names=[*AXES, "v"])
 
     return blocks.mapInArrow(run, "x int, y int, z int, v double")
+
+
+#: Points that may end a diameter at most, beyond which :func:`diameter` gives up.
+MOST_ENDS = 50_000
+
+
+def diameter(points: DataFrame, most: int = MOST_ENDS) -> tuple[float, tuple, tuple] | None:
+    """The largest distance between two points and its ends, exactly and without forming all pairs; None for no point.
+
+    Walking from farthest point to farthest point gives a lower bound L. With R the largest distance from a centre, a
+    point nearer to it than L - R can't be an end; the others are compared block by block on the driver. More than
+    ``most`` of them (a cloud like a sphere's surface) raise ValueError.
+    """
+    xyz = points.select(*AXES).distinct()
+    middle = xyz.agg(*[((F.min(a) + F.max(a)) / 2).alias(a) for a in AXES]).first()
+    if middle.x is None:
+        return None
+
+    def distance(p):
+        return F.sqrt(sum((F.col(a) - float(p[i])) ** 2 for i, a in enumerate(AXES)))
+
+    def farthest(p):
+        return xyz.agg(F.max(F.struct(distance(p).alias("d"), *AXES)).alias("m")).first().m
+
+    radius = farthest(middle).d
+    at, low = farthest(middle), 0.0
+    for _ in range(4):
+        other = farthest((at.x, at.y, at.z))
+        if other.d <= low:
+            break
+        low, at = other.d, other
+    ends = xyz.where(distance(middle) >= low - radius - 1e-9)
+    rows = ends.limit(most + 1).toPandas().to_numpy(float)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} points may end the diameter")
+    rows = rows[np.lexsort(rows.T[::-1])]
+    best = (0.0, tuple(rows[0]), tuple(rows[0]))
+    for k in range(0, len(rows), 256):
+        d = np.sqrt(((rows[k : k + 256, None] - rows[None]) ** 2).sum(-1))
+        i, j = np.unravel_index(d.argmax(), d.shape)
+        if d[i, j] > best[0]:
+            best = (float(d[i, j]), tuple(rows[k + i]), tuple(rows[j]))
+    return best
+
+
+def least_deviations(points: np.ndarray) -> np.ndarray:
+    """Matrix of min over axes of the absolute differences of all pairs of a small set of points."""
+    points = np.asarray(points, float)
+    return np.abs(points[:, None] - points[None]).min(-1)

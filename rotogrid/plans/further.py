@@ -95,3 +95,11 @@ def _aligned(s, d):
 _best = f"WITH {t.V3}, {t.expansion_sql(t.TEMPLATE, t.ROTATIONS)}, {t.placed_sql('v3', t.V3_BOUNDS)}, cc AS (SELECT tx, ty, tz, r, sum(v * g) AS s FROM placed GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, tz ORDER BY s DESC, r) AS k FROM cc) WHERE k = 1 ORDER BY s DESC, tx, ty, tz LIMIT 30)"
 _rot = t.values([(r, *m) for r, m in enumerate(t.ROTATIONS)], "r, " + ", ".join(f"m{i}" for i in range(9)))
 add("align_subtomos", lambda s, d: six(_aligned(s, d), "v"), _best + f", ex AS (SELECT b.r, s.x - b.tx AS ox, s.y - b.ty AS oy, s.z - b.tz AS oz, s.v FROM b, v3 s WHERE s.x - b.tx BETWEEN -2 AND 2 AND s.y - b.ty BETWEEN -2 AND 2 AND s.z - b.tz BETWEEN -2 AND 2) SELECT CAST(m0*ox + m3*oy + m6*oz + 2 AS INT) AS dx, CAST(m1*ox + m4*oy + m7*oz + 2 AS INT) AS dy, CAST(m2*ox + m5*oy + m8*oz + 2 AS INT) AS dz, round(sum(v) / 30, 6) AS v FROM ex JOIN (SELECT * FROM {_rot}) k ON ex.r = k.r GROUP BY ALL")
+
+
+def _extent(s, d):
+    best = G.diameter(t.image(s, d))
+    return s.createDataFrame([(round(best[0], 6),)], "distance double")
+
+
+add("pairwise_extremes", _extent, f"WITH {t.V2} SELECT round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS distance FROM v2 a, v2 b")

@@ -106,3 +106,19 @@ def test_postprocessing(spark):
     assert Pp.discover(paths("/a/t2.mrc"), paths("/m/t2.xml"), paths("/k/t1.mrc"), True).count() == 0
     picks = spark.createDataFrame([(i, float(i)) for i in range(11)], "i int, score double")
     assert {r.i for r in Pp.rank_visible(picks, 20, 80).collect()} == set(range(2, 9))
+
+
+def test_diameter(spark):
+    from rotogrid.operators.grid import diameter, least_deviations
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 60):
+        points = rng.normal(size=(n, 3)) * (3, 1, 2)
+        df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double, z double")
+        d, a, b = diameter(df)
+        expected = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)).max()
+        assert d == pytest.approx(expected) and np.linalg.norm(np.subtract(a, b)) == pytest.approx(d)
+    assert diameter(df.limit(0)) is None
+    with pytest.raises(ValueError):
+        diameter(df, most=0)
+    assert least_deviations([[0, 5], [2, 4]]).tolist() == [[0, 1], [1, 0]]
