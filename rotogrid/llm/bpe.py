@@ -8,6 +8,7 @@ rows without a pair leave the matrix.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -208,36 +209,81 @@ class Vocabulary:
                 ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long word. All places of the minimum rank merge at once, unless that makes a pair of no higher rank."""
-        ids = ids.copy()
-        ranks = self.ranks(ids[:-1], ids[1:])
-        while len(ranks) and (best := ranks.min()) != NONE:
-            at = np.flatnonzero(ranks == best)
-            # of overlapping places every second, from the left
-            fresh = np.concatenate([[True], np.diff(at) > 1])
-            begin = np.flatnonzero(fresh)
-            at = at[(np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0]
-            new_ids, new_ranks, low = self._merged(ids, ranks, at, best)
-            if low and len(at) > 1:
-                new_ids, new_ranks, _ = self._merged(ids, ranks, at[:1], best)
-            ids, ranks = new_ids, new_ranks
-        return ids
-
-    def _merged(self, ids, ranks, at, best):
-        new = ids.copy()
-        new[at] = best if self.rank_of is None else self.pairs(ids[at], ids[at + 1])
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        new = new[keep]
-        left = np.ones(len(ranks), bool)
-        left[at] = False
-        ranks = ranks[left]
-        place = at - np.arange(len(at))
-        near = np.unique(np.concatenate([place - 1, place]))
-        near = near[(near >= 0) & (near < len(ranks))]
-        fresh = self.ranks(new[near], new[near + 1])
-        ranks[near] = fresh
-        return new, ranks, bool(len(fresh)) and bool(fresh.min() <= best)
+        """One long word, by a queue of ranks with their places and links between neighbours: each round merges all places
+        of the least rank, so its cost follows the places and not the word. Where a merge could make a pair of no higher
+        rank, places merge one by one from the left."""
+        n = len(ids)
+        ids = np.append(ids, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[-1] = n
+        queue: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def merge(at: np.ndarray) -> np.ndarray:
+            """Join each place with its neighbour; the places whose pairs are new."""
+            gone = after[at]
+            ids[at] = self.pairs(ids[at], ids[gone])
+            ids[gone] = -1
+            following = after[gone]
+            after[at] = following
+            before[following[following < n]] = at[following < n]
+            return np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+
+        def one_by_one(rank: int, at: np.ndarray) -> None:
+            """Merge the places of a rank from the left until none is left or a lower rank comes up."""
+            places = at.tolist()
+            while places:
+                place = np.array([heapq.heappop(places)])
+                if ids[place[0]] == -1 or self.ranks(ids[place], ids[after[place]])[0] != rank:
+                    continue
+                near = merge(place)
+                ranks = self.ranks(ids[near], ids[after[near]])
+                for p in near[ranks == rank].tolist():
+                    heapq.heappush(places, p)
+                if (ranks != rank).any():
+                    push(near[ranks != rank])
+                if (ranks < rank).any():
+                    push(np.array(places, np.int64))
+                    return
+
+        def push(places: np.ndarray) -> None:
+            ranks = self.ranks(ids[places], ids[after[places]])
+            able = ranks != NONE
+            places, ranks = places[able], ranks[able]
+            if not len(places):
+                return
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, part in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts)):
+                if rank not in queue:
+                    queue[rank] = []
+                    heapq.heappush(heap, rank)
+                queue[rank].append(part)
+
+        push(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(queue.pop(rank)))
+            at = at[ids[at] != -1]
+            at = at[self.ranks(ids[at], ids[after[at]]) == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                # of overlapping places every second, from the left
+                fresh = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                begin = np.flatnonzero(fresh)
+                chosen = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+                merged = self.pairs(ids[at], ids[after[at]])
+                left = np.where(before[at] >= 0, ids[before[at]], -1)
+                right = ids[after[after[at]]]
+                near = np.minimum(np.minimum(self.ranks(left, merged), self.ranks(merged, right)), self.ranks(merged, merged))
+                if (near <= rank).any() or (merged != merged[0]).any():
+                    one_by_one(rank, at)
+                    continue
+                at = at[chosen]
+            push(merge(at))
+        return ids[:-1][ids[:-1] != -1]
 
     def _spell(self, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without an id become the ids of their bytes."""
