@@ -324,6 +324,26 @@ class Vocabulary:
         return self.__dict__ | {"known": None, "tokens": np.empty(0, np.int32), "ends": np.zeros(1, np.int64)}
 
 
+@dataclass
+class LibraryVocabulary:
+    """A tokenizer of another kind, by its JSON file and its own library."""
+
+    name: str
+    path: str
+    tokenizer: object = None
+
+    def ids(self, texts: list[str | None]) -> list[list[int]]:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
+        return [[] if not t else self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def __getstate__(self):
+        return self.__dict__ | {"tokenizer": None}
+
+
 def pattern_starts(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Where words begin, by the rule of the rank files' pattern; ``doc`` is true at the first character of a text.
 
@@ -409,13 +429,17 @@ def _pair_table(tokens: dict[bytes | str, int]) -> PairTable:
     return PairTable(array[:, 0], array[:, 1], array[:, 2].astype(np.int32))
 
 
-def load_vocabulary(name: str, folder: str = TOKENIZERS) -> Vocabulary:
-    """Read ``name``.tiktoken (byte-level ranks) or ``name``.model (pieces with byte fallback) from ``folder``."""
+def load_vocabulary(name: str, folder: str = TOKENIZERS) -> Vocabulary | LibraryVocabulary:
+    """Read ``name``.tiktoken (byte-level ranks) or ``name``.model (pieces with byte fallback) from ``folder``; if
+    there is only ``name``.json, its library encodes."""
     ranks_file, model_file = os.path.join(folder, f"{name}.tiktoken"), os.path.join(folder, f"{name}.model")
     if os.path.exists(ranks_file):
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         return Vocabulary(name, _pair_table(ranks), True, np.array([ranks[bytes([b])] for b in range(256)], np.int32))
+    json_file = os.path.join(folder, f"{name}.json")
+    if not os.path.exists(model_file) and os.path.exists(json_file):
+        return LibraryVocabulary(name, json_file)
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -442,6 +466,8 @@ def load_vocabulary(name: str, folder: str = TOKENIZERS) -> Vocabulary:
 
 def encode_column(texts: pa.Array, vocabulary: Vocabulary) -> pa.ListArray:
     """Ids of each text; empty and null texts have none."""
+    if isinstance(vocabulary, LibraryVocabulary):
+        return pa.array(vocabulary.ids(texts.to_pylist()), pa.list_(pa.int32()))
     parts = []
     for _, _, data, sizes in chunks(texts, b"" if vocabulary.bytewise else b" "):
         split = split_texts(data, sizes, vocabulary)
@@ -458,7 +484,11 @@ def encode_column(texts: pa.Array, vocabulary: Vocabulary) -> pa.ListArray:
 def count_column(texts: pa.Array, vocabularies: list[Vocabulary]) -> list[np.ndarray]:
     """Number of tokens of each text under each vocabulary; byte-level ones share the split into words."""
     out: list[np.ndarray] = [np.zeros(len(texts), np.int64) for _ in vocabularies]
-    groups: list[list[int]] = [[i for i, v in enumerate(vocabularies) if v.bytewise], *[[i] for i, v in enumerate(vocabularies) if not v.bytewise]]
+    for i, v in enumerate(vocabularies):
+        if isinstance(v, LibraryVocabulary):
+            out[i][:] = [len(x) for x in v.ids(texts.to_pylist())]
+    own = [i for i, v in enumerate(vocabularies) if isinstance(v, Vocabulary)]
+    groups: list[list[int]] = [[i for i in own if vocabularies[i].bytewise], *[[i] for i in own if not vocabularies[i].bytewise]]
     for group in filter(None, groups):
         for lo, hi, data, sizes in chunks(texts, b"" if vocabularies[group[0]].bytewise else b" "):
             split = split_texts(data, sizes, vocabularies[group[0]])

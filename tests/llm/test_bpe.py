@@ -84,6 +84,19 @@ def test_counts_equal_lengths():
         assert counts.tolist() == [*[len(REFERENCES[n](t)) for t in SPECIAL], 0]
 
 
+def test_other_kinds_go_by_their_library():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(f"{FOLDER}/word_bpe_49k.json")
+    own.encode_special_tokens = True
+    v = bpe.load_vocabulary("word_bpe_49k", FOLDER)
+    texts = ["A tilt series", None, "", "<|endoftext|> x"]
+    expected = [own.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    assert bpe.encode_column(pa.array(texts), v).to_pylist() == expected
+    counts = bpe.count_column(pa.array(texts), [v, VOCABULARIES[NAMES[0]]])
+    assert counts[0].tolist() == [len(e) for e in expected] and counts[1].tolist() == [len(REFERENCES[NAMES[0]](t or "")) for t in texts]
+
+
 def test_pair_table():
     rng = random.Random(2)
     pairs = {(rng.randrange(50000), rng.randrange(50000)): i for i in range(5000)}
