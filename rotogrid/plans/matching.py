@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import functions as F
 
-from rotogrid.functions.lattice import IDENTITY
+from rotogrid.functions.lattice import IDENTITY, rotate_offset
 from rotogrid.operators import aggregate as A
 from rotogrid.operators import grid as G
 from rotogrid.operators import peaks as P
@@ -167,6 +168,18 @@ add("nms_greedy", lambda s, d: P.suppress(P.admissible(_map2(s, d), low=12.0), 4
 add("recursive_masking", lambda s, d: P.recursive_masking(_map2(s, d), 3, 20, 10.0))
 add("oversample_peaks", lambda s, d: six(P.oversample_peaks(P.top(_map2(s, d), 5), _map2(s, d)), "fx", "fy", "fz", "fs"))
 
+def _by_sql(s, d):
+    """The same scores written as Spark SQL over the registered views."""
+    t.register(s, d)
+    rows = [dict(zip(("r", "ox", "oy", "oz", "g"), (r, *rotate_offset(m, p[:3]), float(p[3])))) for r, m in enumerate(t.ROTATIONS) for p in t.POINTS]
+    return s.sql(
+        "SELECT x - ox AS tx, y - oy AS ty, z - oz AS tz, r, round(sum(v * g), 6) AS s FROM voxels LATERAL VIEW inline(from_json(:rows, 'array<struct<r:int,ox:int,oy:int,oz:int,g:double>>')) e "
+        "WHERE x - ox BETWEEN 1 AND 50 AND y - oy BETWEEN 0 AND 10 AND z - oz BETWEEN 0 AND 8 GROUP BY ALL", {"rows": json.dumps(rows)},
+    )
+
+
+add("cc_by_sql", _by_sql, SQL["cc"])
+
 # aggregates
 add("center_of_mass_v", lambda s, d: six(A.center_of_mass(t.volume(s, d), 8), "x", "y", "z"), f"WITH {t.V3} SELECT round(sum(v * x) / sum(v), 6) AS x, round(sum(v * y) / sum(v), 6) AS y, round(sum(v * z) / sum(v), 6) AS z FROM v3 WHERE v > 8")
 add("center_of_mass_v2", lambda s, d: six(A.center_of_mass(t.image(s, d, ("event_type",)), None, True, ("event_type",)), "x", "y", "z"), f"WITH {t.V2K} SELECT event_type, round(sum(v * v * x) / sum(v * v), 6) AS x, round(sum(v * v * y) / sum(v * v), 6) AS y, round(sum(v * v * z) / sum(v * v), 6) AS z FROM v2k GROUP BY 1")

@@ -98,3 +98,16 @@ def placed_sql(source: str, bounds, key: str = "", tpl: str = "tpl", wrap: bool
 def dense_sql(source: str, bounds, name: str = "dense") -> str:
     axes = ", ".join(f"(SELECT CAST(unnest(range({a}, {b + 1})) AS INT) AS {c})" for c, (a, b) in zip("xyz", bounds))
     return f"{name} AS (SELECT g.x, g.y, g.z, coalesce(s.v, 0.0) AS v FROM (SELECT * FROM {axes}) g LEFT JOIN {source} s ON g.x = s.x AND g.y = s.y AND g.z = s.z)"
+
+
+def register(spark: SparkSession, sf: str) -> list[str]:
+    """Temporary views of the encodings for Spark SQL: voxels, pixels, samples, stack, atoms, elements, template, orientations."""
+    from rotogrid.operators.score import expansion
+
+    views = {
+        "voxels": volume(spark, sf), "pixels": image(spark, sf, ("event_type",)), "samples": signal(spark, sf), "stack": stack(spark, sf), "atoms": atoms(spark, sf), "elements": elements(spark),
+        "template": spark.range(1).select(F.explode(expansion(TEMPLATE, ROTATIONS)).alias("e")).select("e.*"), "orientations": table(spark, sf, "orientations"),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)
