@@ -24,8 +24,10 @@ from rotogrid.session import cut
 
 #: Labelled candidates that the classifier is fitted on, about.
 TRAINING_ROWS = 200_000
-#: Tokens counted at most: those of at least 1 / COUNTED_TOKENS of all occurrences.
-COUNTED_TOKENS = 100_000
+#: Tokens whose counts are broadcast at most: those of at least 1 / COUNTED_TOKENS of all occurrences. The others' are joined.
+COUNTED_TOKENS = 10_000
+#: Occurrences below which a token has no level, whatever the corpus's size.
+LEAST = 3
 #: Occurrences from which on a token that (almost) never ends or begins a block is taken to be unable to.
 NEVER = 10
 #: Open quotes and brackets among which a closing one finds its own.
@@ -323,6 +325,13 @@ class Counts:
         table = np.array(sorted((r[0], r[1], r[2]) for r in rows), np.int64).reshape(-1, 3)
         self.codes, self.edge, self.inner = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
 
+    @classmethod
+    def of(cls, codes: np.ndarray, edge: np.ndarray, inner: np.ndarray) -> Counts:
+        """From columns in the order of the codes."""
+        out = cls([])
+        out.codes, out.edge, out.inner = codes, edge, inner
+        return out
+
     def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.codes):
             return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
@@ -337,19 +346,15 @@ def _level(edge: np.ndarray, inner: np.ndarray) -> np.ndarray:
     out = np.where(share >= 0.3, 6, np.where(share >= 0.15, 5, np.where(share >= 0.05, 4, 3)))
     never = edge <= 0.02 * inner
     out = np.where(never, np.where(inner >= NEVER, 1, np.where(inner >= 3, 2, 0)), out)
-    return np.where(edge + inner < 3, 0, out)
+    return np.where(edge + inner < LEAST, 0, out)
 
 
 #: Sizes of the feature groups: each candidate has one feature of every group.
 GROUPS = (8, 2, 4, 2, 10, 5, 12, 9, 2, 7, 7, 49, 8 * 7, 8 * 7, 9 * 7, 4 * 7 * 2, 9 * 4 * 2, 8 * 2 * 9, 12 * 7)
 
 
-def features(before: np.ndarray, after: np.ndarray, code: np.ndarray, ends: Counts, starts: Counts) -> tuple[np.ndarray, ...]:
-    """Feature numbers of each candidate, and the levels and counts that labels rest on."""
-    real = code >> 24 & 1  # a block's end with the next block's start: counted once at either edge
-    e_edge, e_inner = ends(before)
-    s_edge, s_inner = starts(after)
-    ending, starting = _level(np.maximum(e_edge - real, 0), e_inner), _level(np.maximum(s_edge - real, 0), s_inner)
+def features(code: np.ndarray, ending: np.ndarray, starting: np.ndarray) -> np.ndarray:
+    """Feature numbers of each candidate, from its description and the levels of the tokens around it."""
     mark, close, held, kind = code & 7, code >> 3 & 3, code >> 5 & 1, code >> 6 & 63
     writing, following, blank, opening = code >> 12 & 15, code >> 16 & 15, code >> 20 & 1, code >> 21 & 1
     kind, size = kind // 5, kind % 5
@@ -358,7 +363,7 @@ def features(before: np.ndarray, after: np.ndarray, code: np.ndarray, ends: Coun
         mark * 7 + starting, following * 7 + starting, (close * 7 + starting) * 2 + blank, (following * 4 + close) * 2 + blank, (mark * 2 + blank) * 9 + following, writing * 7 + starting,
     )
     offsets = np.concatenate([[0], np.cumsum(GROUPS)[:-1]])
-    return np.stack([v + o for v, o in zip(values, offsets)], 1).astype(np.int32), ending, starting
+    return np.stack([v + o for v, o in zip(values, offsets)], 1).astype(np.int32)
 
 
 def labels(code: np.ndarray, ending: np.ndarray, starting: np.ndarray) -> np.ndarray:
@@ -405,13 +410,51 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _counted(pairs: DataFrame) -> Counts:
-    counts = cut(pairs.where("token <> 0").groupBy("token").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")))
+def _counted(pairs: DataFrame) -> tuple[Counts, DataFrame]:
+    """Exact counts of the tokens seen ``LEAST`` times or more: the frequent ones', and a table of all others'."""
+    counts = cut(pairs.where("token <> 0").groupBy("token").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner")).where(F.col("edge") + F.col("inner") >= LEAST))
     total = counts.agg(F.sum(F.col("edge") + F.col("inner"))).first()[0] or 0
-    return Counts(counts.where(F.col("edge") + F.col("inner") >= max(1, -(-total // COUNTED_TOKENS))).collect())  # COUNTED_TOKENS rows at most
+    frequent = F.col("edge") + F.col("inner") >= max(LEAST, -(-total // COUNTED_TOKENS))
+    return Counts(counts.where(frequent).collect()), counts.where(~frequent)  # COUNTED_TOKENS rows at most
+
+
+class Tokens:
+    """Counts of the tokens of one list column: the frequent ones broadcast, the others joined to the rows that hold them."""
+
+    def __init__(self, scanned: DataFrame, column: str, pairs: DataFrame) -> None:
+        frequent, rare = _counted(pairs)
+        self.column, self.shared = column, (shared := scanned.sparkSession.sparkContext.broadcast(frequent))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                token, row = _flat(batch.column(column))
+                edge, inner = shared.value(token)
+                wanted = (token != 0) & (edge + inner == 0)
+                held = np.unique(row[wanted] << 31 | token[wanted])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(held >> 31)), pa.array(held & 0x7FFFFFFF)], names=["row", "token"])
+
+        # a token that isn't frequent has a small share of the rows, so none is hot
+        held = scanned.select("row", column).mapInArrow(run, "row bigint, token bigint").join(rare, "token")
+        self.rare = cut(held.groupBy("row").agg(F.collect_list(F.struct("token", "edge", "inner")).alias("c")).select("row", *[F.col(f"c.{x}").alias(f"{column}_{x}") for x in ("token", "edge", "inner")]))
+
+    def join(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.rare, "row", "left")
+
 
+def levels(batch: pa.RecordBatch, column: str, frequent: Counts) -> np.ndarray:
+    """The level of each candidate's token in a batch that the counts of rare tokens are joined to."""
+    token, row = _flat(batch.column(column))
+    code, _ = _flat(batch.column("code"))
+    edge, inner = frequent(token)
+    rare, rare_row = _flat(batch.column(f"{column}_token"))
+    order = np.argsort(keys := rare_row << 31 | rare)
+    joined = Counts.of(keys[order], *[_flat(batch.column(f"{column}_{x}"))[0][order] for x in ("edge", "inner")])
+    more_edge, more_inner = joined(row << 31 | token)
+    # a block's end with the next block's start is counted once at either edge
+    return _level(np.maximum(edge + more_edge - (code >> 24 & 1), 0), inner + more_inner)
 
-def token_counts(scanned: DataFrame) -> tuple[Counts, Counts]:
+
+def token_counts(scanned: DataFrame) -> tuple[Tokens, Tokens]:
     """Counts of the tokens before full stops and of those that begin blocks or follow marks, over all documents.
 
     A full stop within a block counts for the block's edge if a token follows that often begins blocks: a word is
@@ -420,31 +463,46 @@ def token_counts(scanned: DataFrame) -> tuple[Counts, Counts]:
     marks = scanned.select(F.explode(F.arrays_zip("before", "after", "code")).alias("c")).select("c.*")
     begun = scanned.select(F.explode("first").alias("token")).select("token", F.lit(1).alias("edge"), F.lit(0).alias("inner"))
     followed = marks.where(F.shiftright("code", 24).bitwiseAND(F.lit(1)) == 0).select(F.col("after").alias("token"), F.lit(0).alias("edge"), F.lit(1).alias("inner"))
-    starts = _counted(begun.unionByName(followed))
-    shared = scanned.sparkSession.sparkContext.broadcast(starts)
+    starts = Tokens(scanned, "after", begun.unionByName(followed))
+    shared = starts.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, after, code = (_flat(batch.column(c))[0] for c in ("before", "after", "code"))
-            dot = (code & 7) <= 1
-            before, after, code = before[dot], after[dot], code[dot]
-            edge = ((code >> 24 & 1) == 1) | (_level(*shared.value(after)) == 6) & ((code >> 20 & 1) == 1) & ((code >> 5 & 1) == 0)
+            before, code = (_flat(batch.column(c))[0] for c in ("before", "code"))
+            starting, dot = levels(batch, "after", shared.value), (code & 7) <= 1
+            before, starting, code = before[dot], starting[dot], code[dot]
+            edge = ((code >> 24 & 1) == 1) | (starting == 6) & ((code >> 20 & 1) == 1) & ((code >> 5 & 1) == 0)
             token, place = np.unique(before, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token), *[pa.array(np.bincount(place, x, len(token)).astype(np.int64)) for x in (edge, ~edge)]], names=["token", "edge", "inner"]
             )
 
-    return _counted(scanned.select("before", "after", "code").mapInArrow(run, "token bigint, edge bigint, inner bigint")), starts
+    return Tokens(scanned, "before", starts.join(scanned.select("row", "before", "after", "code")).mapInArrow(run, "token bigint, edge bigint, inner bigint")), starts
+
+
+def with_levels(scanned: DataFrame, ends: Tokens, starts: Tokens) -> DataFrame:
+    """The scanned rows with the levels of the tokens before and after each candidate."""
+    e, s = ends.shared, starts.shared
+    names = ["doc_id", *SCANNED]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.diff(batch.column("code").offsets.to_numpy()))]).astype(np.int32))
+            made = [pa.ListArray.from_arrays(offsets, pa.array(levels(batch, t, c.value).astype(np.int32))) for t, c in (("before", e), ("after", s))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], names=[*names, "ending", "starting"])
+
+    kind = scanned.schema["doc_id"].dataType.simpleString()
+    return starts.join(ends.join(scanned)).mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{c} array<int>" for c in (*SCANNED, "ending", "starting")]]))
 
 
-def train(scanned: DataFrame, ends: Counts, starts: Counts, rows: int = TRAINING_ROWS) -> np.ndarray:
+def train(scanned: DataFrame, rows: int = TRAINING_ROWS) -> np.ndarray:
     """Fit on the candidates of documents drawn by hash so that about ``rows`` are collected, twice that at most."""
     total = scanned.agg(F.sum(F.size("code"))).first()[0] or 0
     share = min(1.0, rows / max(total, 1))
     drawn = scanned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    cells = drawn.select(F.explode(F.arrays_zip("before", "after", "code")).alias("c")).select("c.*").limit(2 * rows).toPandas().to_numpy(np.int64).reshape(-1, 3)
-    columns, ending, starting = features(cells[:, 0], cells[:, 1], cells[:, 2], ends, starts)
-    y = labels(cells[:, 2], ending, starting)
+    cells = drawn.select(F.explode(F.arrays_zip("code", "ending", "starting")).alias("c")).select("c.*").limit(2 * rows).toPandas().to_numpy(np.int64).reshape(-1, 3)
+    columns = features(*cells.T)
+    y = labels(*cells.T)
     sure = y >= 0
     return fit(columns[sure], y[sure].astype(np.int64))
 
@@ -455,7 +513,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), lengths)
 
 
-def assemble(batch: pa.RecordBatch, ends: Counts, starts: Counts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assemble(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, begin and stop of each sentence of a scanned batch."""
     begin, row = _flat(batch.column("begin"))
     stop, _ = _flat(batch.column("stop"))
@@ -463,8 +521,7 @@ def assemble(batch: pa.RecordBatch, ends: Counts, starts: Counts, weights: np.nd
     forced_next, _ = _flat(batch.column("forced_next"))
     mark_stop, mark_row = _flat(batch.column("mark_stop"))
     mark_next, _ = _flat(batch.column("mark_next"))
-    before, after, code = (_flat(batch.column(c))[0] for c in ("before", "after", "code"))
-    columns, _, _ = features(before, after, code, ends, starts)
+    columns = features(*(_flat(batch.column(c))[0] for c in ("code", "ending", "starting")))
     chosen = (weights[columns].sum(1) + weights[-1] > 0) & (mark_stop >= 0)
     rows = np.concatenate([row, forced_row, mark_row[chosen]])
     begins = np.concatenate([begin, forced_next, mark_next[chosen]])
@@ -483,16 +540,17 @@ def sentences(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     kinds the classifier keeps its prior and empty tables give no rows; further columns are ignored.
 
     Plan: one narrow pass writes blocks and candidates (integers only) to the shared folder; token counts are combined
-    map-side and only tokens above a share of all occurrences reach the driver; the fit sees about ``training_rows`` rows;
-    a second narrow pass classifies the candidates of all documents in Arrow batches.
+    map-side; those of tokens above a share of all occurrences reach the driver and are broadcast, all others are joined by
+    token and brought back to their documents; the fit sees about ``training_rows`` rows; a last narrow pass classifies the
+    candidates of all documents in Arrow batches.
     """
-    scanned = cut(scan_documents(docs))
-    ends, starts = token_counts(scanned)
-    shared = docs.sparkSession.sparkContext.broadcast((ends, starts, train(scanned, ends, starts, training_rows)))
+    scanned = cut(scan_documents(docs).withColumn("row", F.monotonically_increasing_id()))  # documents may be repeated
+    scanned = cut(with_levels(scanned, *token_counts(scanned)))
+    shared = docs.sparkSession.sparkContext.broadcast(train(scanned, training_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, begin, stop = assemble(batch, *shared.value)
+            row, begin, stop = assemble(batch, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "begin_at", "stop_at"]
             )

@@ -113,3 +113,14 @@ def test_scan_positions_are_code_points():
     text = "🎉🎉 Ja. Nein"
     spans, forced, found = S.scan(text, [{"cell_kind": "text", "begin_at": 0, "n_chars": len(text)}])
     assert [(a, b) for a, b, _ in spans] == [(0, len(text))] and [(f[0], f[1]) for f in found] == [(6, 7)]
+
+
+def test_rare_tokens_keep_their_counts(spark, monkeypatch):
+    """However few tokens are broadcast, levels are those of the exact counts and sentences stay the same."""
+    docs, _ = corpus(150, 5)
+    table = spark.createDataFrame(docs, SCHEMA)
+    got = []
+    for most in (10**9, 8):
+        monkeypatch.setattr(S, "COUNTED_TOKENS", most)
+        got.append(sorted(map(tuple, S.sentences(table).collect())))
+    assert got[0] == got[1]
