@@ -37,7 +37,11 @@ def crop_half(data: np.ndarray) -> np.ndarray:
 
 def band_pass(shape, low: float | None = None, high: float | None = None, rate: float = 1.0, soft: bool = True, half: bool = False) -> np.ndarray:
     """Keep wavelengths from ``low`` (low-pass) to ``high`` (high-pass): Gaussian edges or hard ones."""
-    f = frequencies(shape, rate, half)
+    return band_gain(frequencies(shape, rate, half), low, high, soft)
+
+
+def band_gain(f: np.ndarray, low: float | None = None, high: float | None = None, soft: bool = True) -> np.ndarray:
+    """The band-pass at frequencies ``f``."""
     out = np.ones_like(f)
     if soft:
         width = lambda c: 1 / (c * math.sqrt(2 * math.log(2)))

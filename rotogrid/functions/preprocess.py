@@ -61,6 +61,16 @@ def edges(data: np.ndarray, method: str = "sobel", sigma: float = 1.0) -> np.nda
     return np.sqrt(total)
 
 
+def edge_windows(method: str, sigma: float, ndim: int) -> list[list[list[np.ndarray]]]:
+    """The parts of :func:`edges` as windows applied in turn along every axis."""
+    side = {"sobel": (1.0, 2.0, 1.0), "prewitt": (1.0, 1.0, 1.0), "gaussian": None, "laplace": None, "gaussian_laplace": None}
+    if method not in side:
+        raise ValueError(f"no edge method {method}")
+    blur = [gaussian_window(sigma)] if method.startswith("gaussian") else []
+    centre = (1.0, -2.0, 1.0) if method.endswith("laplace") else (-1.0, 0.0, 1.0)
+    return [[blur + ([centre] if b == a else [side[method]] if side[method] else []) for b in range(ndim)] for a in range(ndim)]
+
+
 def edge_gaussian(data: np.ndarray, method: str, sigma: float, reverse: bool = False) -> np.ndarray:
     """Sharp at edges and blurred elsewhere, or the other way round; the edge map is binary and blurred."""
     strength = np.abs(edges(data, method, sigma))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rotogrid.functions import fourier, preprocess
+from rotogrid.functions import fourier
 from rotogrid.operators import grid as G
+from rotogrid.operators import lines as L
 from rotogrid.operators import masks as M
 from rotogrid.operators import peaks as P
 from rotogrid.operators import postprocess as Pp
@@ -65,8 +66,8 @@ add("ctf_stack", _rows(lambda: fourier.ctf_stack((12, 12, 12), [2e4], (-30, 0, 3
 add("tilt_series_filter", _rows(lambda: fourier.tilt_filters((12, 12, 12), range(-60, 61, 10), 4.0, np.arange(13) * 2.0, "grigorieff", 2e4, low=12.0)))
 add("back_projection", _rows(lambda: fourier.back_project(np.arange(5 * 9 * 3, dtype=float).reshape(5, 9, 3) % 7, (-40, -20, 0, 20, 40), 9)))
 add("scramble_phases", _rows(lambda: fourier.scramble_phases(np.arange(512.0).reshape(8, 8, 8) % 23)))
-add("local_gaussian", lambda s, d: six(G.from_blocks(preprocess.preprocess_blocks(G.to_blocks(t.volume(s, d), 16), "local_gaussian", {"balance": 1.0})), "v"))
-add("edge_gaussian", lambda s, d: six(G.from_blocks(preprocess.preprocess_blocks(G.to_blocks(t.volume(s, d), 16), "edge_gaussian", {"method": "sobel", "sigma": 1.0})), "v"))
+add("local_gaussian", lambda s, d: six(L.local_gaussian(t.volume(s, d), t.V3_BOUNDS, 1.0), "v"))
+add("edge_gaussian", lambda s, d: six(L.edge_gaussian(t.volume(s, d), t.V3_BOUNDS, "sobel", 1.0), "v"))
 
 
 def _fit(s, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rotogrid.functions import fourier
 from rotogrid.operators import dense as D
 from rotogrid.operators import grid as G
+from rotogrid.operators import lines as L
 from rotogrid.operators import masks as M
 from rotogrid.operators import stencil as C
 from rotogrid.plans import tables as t
@@ -199,5 +200,5 @@ def _fft(score: str):
 _cc = f"WITH {t.V3}, {t.expansion_sql(t.TEMPLATE, t.ROTATIONS)}, {t.placed_sql('v3', t.V3_BOUNDS)}"
 add("fft_score", _fft("CC"), _cc + ", cc AS (SELECT tx, ty, tz, r, sum(v * g) AS s FROM placed GROUP BY ALL) SELECT tx, ty, tz, round(max(s), 4) AS s FROM cc GROUP BY ALL HAVING round(max(s), 4) <> 0")
 add("fft_flc", _fft("FLC"))
-add("bandpass_apply", lambda s, d: six(G.from_blocks(D.filter_blocks(G.to_blocks(t.volume(s, d), 16), fourier.band_pass((16, 16, 16), 3.0))), "v"))
+add("bandpass_apply", lambda s, d: six(L.filtered(L.spectrum(t.volume(s, d), t.V3_BOUNDS), t.V3_BOUNDS, lambda f: fourier.band_gain(f, 3.0)), "v"))
 add("bandpass_energy", lambda s, d: G.from_blocks(D.filter_blocks(G.to_blocks(t.volume(s, d), 64), fourier.band_pass((64, 64, 64), 3.0))).agg(F.round(F.sum("v"), 3).alias("total")), f"WITH {t.V3} SELECT round(sum(v), 3) AS total FROM v3")
