@@ -168,9 +168,14 @@ def radial_spectrum(data: np.ndarray, bins: int | None = None) -> tuple[np.ndarr
 def whitening(data: np.ndarray, bins: int | None = None) -> np.ndarray:
     """Inverse mean amplitude by frequency, interpolated linearly, at most 1."""
     _, mean = radial_spectrum(data, bins)
+    return whitening_gain(frequencies(data.shape), mean)
+
+
+def whitening_gain(f: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The whitening filter at frequencies ``f``, from the mean amplitude of each bin."""
     inverse = np.divide(1.0, mean, out=np.zeros_like(mean), where=mean > 0)
     inverse /= inverse.max() or 1.0
-    return np.interp(frequencies(data.shape) / 0.5 * (len(mean) - 1), np.arange(len(mean)), inverse)
+    return np.interp(f / 0.5 * (len(mean) - 1), np.arange(len(mean)), inverse)
 
 
 def compose(*filters: Callable[..., dict]) -> Callable[..., dict]:

@@ -6,9 +6,11 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from rotogrid.functions.fourier import back_project as back_project_lines
+from rotogrid.functions.fourier import whitening_gain
 from rotogrid.functions.preprocess import correlate1d, edge_windows
 from rotogrid.operators.grid import AXES, Bounds, inside
 from rotogrid.operators.stencil import gaussian_window
@@ -129,3 +131,62 @@ def filtered(spectral: DataFrame, bounds: Bounds, gain: Callable[[np.ndarray], n
     for axis in (1, 0):
         out = transform(out, axis, bounds, True)
     return out.select(*AXES, F.col("re").alias("v"))
+
+
+def whiten(voxels: DataFrame, bounds: Bounds) -> DataFrame:
+    """The volume with its amplitudes evened out by frequency; the driver sees one mean per bin, half an axis of them."""
+    spectral = cut(spectrum(voxels, bounds))
+    bins = max(_shape(bounds)) // 2 + 1
+    number = F.least(F.floor(frequency(bounds) / 0.5 * (bins - 1) + 0.5), F.lit(bins - 1)).cast("int")
+    mean = np.zeros(bins)
+    for r in spectral.groupBy(number.alias("bin")).agg(F.avg(F.hypot("re", "im")).alias("mean")).collect():
+        mean[r.bin] = r["mean"]
+    return filtered(spectral, bounds, lambda f: whitening_gain(f, mean))
+
+
+def _ranked(rows: DataFrame, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Rows numbered from 0 in an order, by a range sort; no task sees all of them."""
+    kept = rows.orderBy(*order).select(*keep)
+    return rows.sparkSession.createDataFrame(kept.rdd.zipWithIndex().map(lambda r: Row(*r[0], r[1])), ", ".join([*[f"{n} {kind}" for n, kind in kept.dtypes], "rank bigint"]))
+
+
+def scramble_phases(voxels: DataFrame, bounds: Bounds, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """Permute a share of the phases below Nyquist over the whole half spectrum; the amplitudes stay.
+
+    Hashes of the seed and the place draw and order the cells, so the permutation doesn't depend on the partitions.
+    """
+    n = _shape(bounds)[2]
+    half = spectrum(voxels, bounds).where(F.col("z") - bounds[2][0] <= n // 2)
+    half = half.select(*AXES, F.hypot("re", "im").alias("amplitude"), F.atan2("im", "re").alias("phase"), F.xxhash64(F.lit(seed), *AXES).alias("key"))
+    drawn = (frequency(bounds) <= 0.5) & (F.pmod(F.xxhash64(F.lit(seed + 1), *AXES), F.lit(1 << 30)) < int(share * (1 << 30)))
+    half = cut(half.withColumn("drawn", drawn))
+    chosen = half.where("drawn")
+    to = _ranked(chosen, AXES, AXES)
+    moved = to.join(_ranked(chosen, ("key", *AXES), ("phase",)).withColumnRenamed("phase", "other"), "rank").drop("rank")
+    phase = F.coalesce("other", "phase")
+    out = half.join(moved, list(AXES), "left").select(*AXES, (F.col("amplitude") * F.cos(phase)).alias("re"), (F.col("amplitude") * F.sin(phase)).alias("im"))
+    for axis in (0, 1):
+        out = transform(out, axis, bounds, True)
+
+    def f(data: np.ndarray, _) -> np.ndarray:
+        return np.fft.irfft((data[:, :, 0] + 1j * data[:, :, 1])[:, : n // 2 + 1], n=n, axis=1)[:, :, None]
+
+    return along(out, 2, bounds, f, ("v",))
+
+
+def back_project(slices: DataFrame, bounds: Bounds, angles: Sequence[float], depth: int, kind: str | None = "ramp") -> DataFrame:
+    """:func:`rotogrid.functions.fourier.back_project` of pixels (x: tilt, y: side, z: tilt axis; v) to voxels (x: depth, y, z).
+
+    What stands at one place of the tilt axis depends on no other place, so a task holds the tilts' lines of one place.
+    """
+    (first, last), (low, high), _ = bounds
+    if len(angles) != last - first + 1:
+        raise ValueError(f"{last - first + 1} tilts, not {len(angles)} angles")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((len(angles), high - low + 1, 1))
+        data[pdf["x"] - first, pdf["y"] - low, 0] = pdf["v"]
+        x, y = np.indices((depth, high - low + 1), np.int32).reshape(2, -1)
+        return pd.DataFrame({"x": x, "y": y + np.int32(low), "z": np.full(len(x), pdf["z"].iloc[0], np.int32), "v": back_project_lines(data, angles, depth, kind).ravel()})
+
+    return slices.where(inside(bounds, AXES)).select(*AXES, "v").groupBy("z").applyInPandas(run, "x int, y int, z int, v double")

@@ -64,8 +64,9 @@ def Pp_normals(s, d):
 
 add("ctf_stack", _rows(lambda: fourier.ctf_stack((12, 12, 12), [2e4], (-30, 0, 30), gradient=True, rate=4.0)))
 add("tilt_series_filter", _rows(lambda: fourier.tilt_filters((12, 12, 12), range(-60, 61, 10), 4.0, np.arange(13) * 2.0, "grigorieff", 2e4, low=12.0)))
-add("back_projection", _rows(lambda: fourier.back_project(np.arange(5 * 9 * 3, dtype=float).reshape(5, 9, 3) % 7, (-40, -20, 0, 20, 40), 9)))
-add("scramble_phases", _rows(lambda: fourier.scramble_phases(np.arange(512.0).reshape(8, 8, 8) % 23)))
+_tilts = np.linspace(-60, 60, t.V3_BOUNDS[0][1] - t.V3_BOUNDS[0][0] + 1)  # the volume's x slices as tilt images
+add("back_projection", lambda s, d: six(L.back_project(t.volume(s, d), t.V3_BOUNDS, _tilts, 9), "v"))
+add("scramble_phases", lambda s, d: six(L.scramble_phases(t.volume(s, d), t.V3_BOUNDS), "v"))
 add("local_gaussian", lambda s, d: six(L.local_gaussian(t.volume(s, d), t.V3_BOUNDS, 1.0), "v"))
 add("edge_gaussian", lambda s, d: six(L.edge_gaussian(t.volume(s, d), t.V3_BOUNDS, "sobel", 1.0), "v"))
 

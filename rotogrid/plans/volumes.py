@@ -174,7 +174,7 @@ _g12 = "g AS (SELECT * FROM " + ", ".join(f"(SELECT CAST(unnest(range(0, 12)) AS
 _f12 = f"f AS (SELECT i, j, k, {_freq(12, 'i')} AS depth, {_freq(12, 'j')} AS side, {_freq(12, 'k')} AS along FROM g)"
 add("wedge_mask", _rows(lambda: fourier.continuous_wedge((12, 12, 12), 50, 50)), f"WITH {_g12}, {_f12} SELECT i, j, k, CASE WHEN sqrt(depth ** 2 + side ** 2 + along ** 2) <= 0.5 AND (depth = 0 OR degrees(atan2(depth * CASE WHEN side < 0 THEN -1 ELSE 1 END, abs(side))) BETWEEN -50 AND 50) THEN 1e0 ELSE 0e0 END AS v FROM f")
 add("step_wedge_mask", _rows(lambda: fourier.step_wedge((12, 12, 12), range(-60, 61, 20))), f"WITH {_g12}, {_f12}, a AS (SELECT radians(unnest(range(-60, 61, 20))) AS a) SELECT i, j, k, CASE WHEN min(abs(depth * cos(a) - side * sin(a))) * 12 <= 0.5 + 1e-9 THEN 1e0 ELSE 0e0 END AS v FROM f, a GROUP BY i, j, k")
-add("whiten", _rows(lambda: fourier.whitening(np.arange(512.0).reshape(8, 8, 8) % 37)))
+add("whiten", lambda s, d: six(L.whiten(t.volume(s, d), t.V3_BOUNDS), "v"))
 
 
 # dense blocks

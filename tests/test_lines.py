@@ -17,6 +17,7 @@ WHOLE = {
     "local_gaussian": lambda a: preprocess.apply_method(a, "local_gaussian", {"balance": 1.0}),
     "edge_gaussian": lambda a: preprocess.apply_method(a, "edge_gaussian", {"method": "sobel", "sigma": 1.0}),
     "bandpass_apply": lambda a: fourier.apply(a, fourier.band_pass(a.shape, 3.0)),
+    "whiten": lambda a: fourier.apply(a, fourier.whitening(a)),
 }
 
 
@@ -53,3 +54,21 @@ def test_edges_by_windows(method):
 def test_no_voxels(spark):
     empty = spark.createDataFrame([], "x int, y int, z int, v double")
     assert L.local_gaussian(empty, t.V3_BOUNDS, 1.0).count() == L.edge_gaussian(empty, t.V3_BOUNDS, "sobel", 1.0).count() == L.spectrum(empty, t.V3_BOUNDS).count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_back_projection_of_the_table(spark):
+    whole = fourier.back_project(dense(t.volume(spark, str(DATA))), np.linspace(-60, 60, 50), 9)
+    p = catalog.QUERIES["back_projection"](spark, str(DATA)).toPandas()
+    assert len(p) == whole.size and np.allclose(whole[p["x"], p["y"], p["z"]], p["v"], atol=2e-6)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_scrambled_phases_of_the_table(spark):
+    a = dense(t.volume(spark, str(DATA)))
+    rows = L.scramble_phases(t.volume(spark, str(DATA)), t.V3_BOUNDS, 0.0)
+    assert np.allclose(dense(rows), a, atol=1e-9)
+    b = dense(catalog.QUERIES["scramble_phases"](spark, str(DATA)))
+    # planes z = 0 of a half spectrum lose their symmetry, so amplitudes are compared off them
+    assert np.allclose(np.abs(np.fft.rfftn(b))[:, :, 1:], np.abs(np.fft.rfftn(a))[:, :, 1:], atol=0.1)
+    assert not np.allclose(a, b, atol=1.0)
