@@ -30,12 +30,11 @@ COUNTED_TOKENS = 10_000
 LEAST = 3
 #: Occurrences from which on a token that (almost) never ends or begins a block is taken to be unable to.
 NEVER = 10
-#: Open quotes and brackets among which a closing one finds its own.
-DEPTH = 64
 
 BLANK = " \t\r\n\v\f\xa0  -​    ⁠　﻿"
 MARKS = re.compile("([.!?…‥。｡．！？؟۔।॥።፧;;]+)((?:[ \xa0 ](?=[»›]))?\\*{0,3}[)\\]}\"'”»’“‘）】〉》」』›`]*\\*{0,3})")
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "（": "）", "【": "】", "‘": "’", "‹": "›", "”": "“", '"': '"', "`": "`", "'": "'", "《": "》", "〈": "〉"}
+OPENERS = {c: [k for k, v in PAIRS.items() if c in v] for c in "".join(PAIRS.values())}
 ENCLOSING = re.compile("[" + re.escape("".join(dict.fromkeys("".join(k + v for k, v in PAIRS.items())))) + "]")
 NEXT = re.compile(f"([{BLANK}]*)([*_]*[(\\[{{“„«「『（【‘‹”\"'`《〈¿¡»]*[*_]*)([^\\W\\d_]+|[0-9٠-٩०-९]+|[^\\s]?)")
 STOPS = frozenset(" \t\r\n\v\f\xa0​ 　([{“„«「『（【‘‹\"'`*,;:，、：；—–/|")
@@ -123,6 +122,7 @@ def _mark_class(mark: str) -> int:
 def enclosed(s: str) -> list[tuple[int, int]]:
     """Spans (open, close) of matched quotes and brackets; unmatched ones don't count."""
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {c: [] for c in PAIRS}  # where each kind stands in the stack
     out = []
     for m in ENCLOSING.finditer(s):
         c, at = m.group(), m.start()
@@ -132,13 +132,15 @@ def enclosed(s: str) -> list[tuple[int, int]]:
         after = s[at + 1] if at + 1 < len(s) else " "
         if c in "'’" and before.isalnum() and after.isalnum():
             continue
-        k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1) if c in PAIRS[stack[k][0]]), None)
+        k = max((places[o][-1] for o in OPENERS.get(c, ()) if places[o]), default=None)
         if c in "'" and k is None and not (after.isalnum() and not before.isalnum()):
             continue
         if k is not None and not (c == "'" and before in STOPS):
             out.append((stack[k][1], at))
-            del stack[k:]
+            while len(stack) > k:
+                places[stack.pop()[0]].pop()
         elif c in PAIRS and not (c in "”»" and (before.isalnum() or after in TRIM)):
+            places[c].append(len(stack))
             stack.append((c, at))
     return out
 

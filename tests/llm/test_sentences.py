@@ -124,3 +124,9 @@ def test_rare_tokens_keep_their_counts(spark, monkeypatch):
         monkeypatch.setattr(S, "COUNTED_TOKENS", most)
         got.append(sorted(map(tuple, S.sentences(table).collect())))
     assert got[0] == got[1]
+
+
+def test_partners_at_any_depth():
+    for n in (10, 63, 64, 5000):
+        s = "[" + "(" * n + " A. B ] c"
+        assert S.enclosed(s) == [(0, s.index("]"))]
