@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Groups of more rows than this are sorted in salted ranges.
+from rotogrid.session import cut
+
+#: A group is heavy beyond the rows of this share of a task of the shuffle, or beyond HEAVY_ROWS if that is less.
+TASK_SHARE = 0.25
 HEAVY_ROWS = 200_000
-#: At most so many groups can be heavy: the threshold is at least the row count over this, whatever ``heavy_rows`` is.
+#: At most so many groups can be heavy: the threshold is at least the row count over this, whatever else is asked for.
 HEAVY_GROUPS = 10_000
 
 
@@ -19,6 +22,11 @@ def finite(column: Column) -> Column:
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))
 
 
+def heavy_threshold(rows: int, partitions: int) -> int:
+    """Rows from which on a group is heavy: ``TASK_SHARE`` of a task's even share, ``HEAVY_ROWS`` at most."""
+    return max(1, min(HEAVY_ROWS, int(TASK_SHARE * rows / max(1, partitions))))
+
+
 def top_n_per_group(
     items: DataFrame,
     group: str,
@@ -26,7 +34,7 @@ def top_n_per_group(
     ties: Sequence[str],
     item_id: str,
     n: int,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """The ``n`` items of highest ``score`` in every group, as rows (group, item_id).
 
@@ -37,13 +45,14 @@ def top_n_per_group(
     sorts after every number and before null; a null id sorts last; groups with fewer items give all of them;
     ``n`` < 1 and empty input give no rows; further columns of ``items`` are ignored, whatever their names.
 
-    Plan: exact counts per group, taken by a job of their own, split the rows; the heavy groups, of which there can
-    be ``HEAVY_GROUPS`` at most, are a local table that is broadcast. Light groups take an ordinary window, which Spark
-    precedes with a per-task group limit, so that a task sends at most ``n`` ranks a group. Rows of a heavy group
-    are salted by count / ``heavy_rows``, range-partitioned by (group, salt) and limited there; the at most
-    ``n`` x salts survivors of a group are ranked once more. No task ever holds a heavy group.
+    Plan: exact counts per group are combined map-side and written to the shared folder; they split the rows. A group is
+    heavy beyond ``heavy_rows``, by default a quarter of the rows that a task of the shuffle has on average, so the split
+    follows the data and the cluster. The heavy groups, of which there can be ``HEAVY_GROUPS`` at most, are a local table
+    that is broadcast. Light groups take an ordinary window, which Spark precedes with a per-task group limit, so
+    that a task sends at most ``n`` ranks a group. Rows of a heavy group lose their copies first (combined map-side, so an id
+    delivered millions of times is one row), are salted by count / threshold, range-partitioned by (group, salt) and limited
+    there; the at most ``n`` x salts survivors of a group are ranked once more. No task ever holds a heavy group.
     """
-    heavy_rows = max(1, heavy_rows)
     tie_names = [f"__t{i}" for i in range(len(ties))]
     rows = items.where(F.col(group).isNotNull() & finite(F.col(score).cast("double"))).select(
         F.col(group).alias("__g"),
@@ -59,19 +68,20 @@ def top_n_per_group(
     def limited(df: DataFrame, *keys: str) -> DataFrame:
         return df.withColumn("__r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
 
-    keys = items.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"))
-    heavy_rows = max(heavy_rows, keys.count() // HEAVY_GROUPS)
-    counts = keys.groupBy("__g").count().where(F.col("count") > heavy_rows).collect()  # HEAVY_GROUPS rows at most
-    if not counts:
+    counts = cut(items.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__g")).count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    threshold = max(1, heavy_threshold(total, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if heavy_rows is None else heavy_rows, total // HEAVY_GROUPS)
+    found = counts.where(F.col("count") > threshold).collect()  # HEAVY_GROUPS rows at most
+    if not found:
         return limited(rows, "__g").select("__g", "__id").distinct().select(F.col("__g").alias(group), F.col("__id").alias(item_id))
     heavy = F.broadcast(
         items.sparkSession.createDataFrame(
-            [(r["__g"], -(-r["count"] // heavy_rows)) for r in counts], T.StructType([keys.schema["__g"], T.StructField("__salts", T.IntegerType())])
+            [(r["__g"], -(-r["count"] // threshold)) for r in found], T.StructType([counts.schema["__g"], T.StructField("__salts", T.IntegerType())])
         )
     )
     light = limited(rows.join(heavy, "__g", "left_anti"), "__g")
     salted = (
-        rows.join(heavy, "__g")
+        rows.join(heavy, "__g").distinct()
         .withColumn("__salt", F.pmod(F.xxhash64("__id", "__s"), F.col("__salts")).cast("int"))
         .drop("__salts")
         .repartitionByRange("__g", "__salt")
