@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rotogrid.llm.bpe import TOKENIZERS, count_column, load_vocabulary
 from rotogrid.session import cut
 
-#: Buckets of a capacity at most; the plan made on the driver is bounded by them.
-MAX_BUCKETS = 2048
+#: Padding of items to their bucket's bound, as a share of all tokens; the dynamic program chooses the fewest buckets for it.
+PADDING = 0.00003
 #: Items ranked together within a bucket.
 SHARD_ITEMS = 200_000
 
@@ -48,23 +48,37 @@ def _buckets_at(sizes: np.ndarray, counts: np.ndarray, price: float) -> list[int
     return ends[::-1]
 
 
-def length_buckets(sizes: Sequence[int], counts: Sequence[int], most: int = MAX_BUCKETS) -> np.ndarray:
-    """Upper bounds of at most ``most`` buckets over a histogram of distinct sizes (ascending) that minimise the padding
-    of every item to its bucket's bound; the number of buckets is set by bisection on a price per bucket."""
+def length_buckets(sizes: Sequence[int], counts: Sequence[int], most: int | None = None, padding: float = PADDING) -> np.ndarray:
+    """Upper bounds of buckets over a histogram of distinct sizes (ascending) that minimise the padding of every item to
+    its bucket's bound for their number, which is the least whose padding is at most the share ``padding`` of all tokens,
+    or at most ``most`` if given. The number is set by bisection on a price per bucket."""
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
-    if len(sizes) <= most:
-        return sizes
-    low, high = 0.0, float((counts * (sizes[-1] - sizes)).sum()) + 1.0
-    found = [len(sizes) - 1]
-    for _ in range(60):
-        price = (low + high) / 2
-        ends = _buckets_at(sizes, counts, price)
-        if len(ends) <= most:
-            high, found = price, ends
-            if len(ends) == most:
-                break
-        else:
+    ends = np.arange(len(sizes))
+    room = padding * float((counts * sizes).sum())
+    held = np.concatenate([[0], np.cumsum(counts)])
+    total = float((counts * sizes).sum())
+
+    def enough(last: np.ndarray) -> bool:
+        if most is not None:
+            return len(last) <= most
+        return float((sizes[last] * np.diff(held[np.concatenate([[0], last + 1])])).sum()) - total <= room
+
+    # a higher price gives fewer buckets and more padding
+    low, high = 1e-3, float((counts * (sizes[-1:] - sizes)).sum()) + 1.0
+    found = ends if most is None else ends[-1:]
+    for _ in range(50):
+        if high / low < 1 + 1e-9:
+            break
+        price = (low * high) ** 0.5
+        last = np.array(_buckets_at(sizes, counts, price), np.int64)
+        if enough(last) == (most is None):
             low = price
+        else:
+            high = price
+        if enough(last):
+            found = last
+        if most is not None and len(last) == most:
+            break
     return sizes[found]
 
 
@@ -160,7 +174,7 @@ def _items(docs: DataFrame, limits: list, folder: str, id_column: str, text_colu
     """Items of every limit: (limit_id, id, part_no, begin_token, n_tokens); texts above the capacity in parts."""
     tokenizers = sorted({r["tokenizer"] for r in limits})
     sizes = cut(token_sizes(docs, tokenizers, folder, id_column, text_column))
-    each = F.array(*[F.struct(F.lit(r["limit_id"]).alias("limit_id"), F.lit(r["capacity"]).cast("bigint").alias("capacity"), F.col(f"n{tokenizers.index(r['tokenizer'])}").alias("n")) for r in limits])
+    each = F.array(*[F.struct(F.lit(r["limit_id"]).cast("int").alias("limit_id"), F.lit(r["capacity"]).cast("bigint").alias("capacity"), F.col(f"n{tokenizers.index(r['tokenizer'])}").alias("n")) for r in limits])
     return (
         sizes.select(F.col(id_column), F.explode(each).alias("l"))
         .select(id_column, "l.*")
@@ -176,7 +190,7 @@ def _limits(limits: DataFrame) -> list:
     return sorted(rows, key=lambda r: r["limit_id"])
 
 
-def make_plans(items: DataFrame, limits: list, most: int = MAX_BUCKETS, mixed: bool = True) -> dict[int, Plan]:
+def make_plans(items: DataFrame, limits: list, most: int | None = None, mixed: bool = True, padding: float = PADDING) -> dict[int, Plan]:
     """A plan for each limit, from the global histogram of item sizes (at most capacity + 1 rows a limit)."""
     by: dict[int, list] = {r["limit_id"]: [] for r in limits}
     for r in items.groupBy("limit_id", "n_tokens").count().collect():
@@ -184,7 +198,7 @@ def make_plans(items: DataFrame, limits: list, most: int = MAX_BUCKETS, mixed: b
     plans = {}
     for r in limits:
         sizes, counts = np.array(sorted(by[r["limit_id"]]), np.int64).reshape(-1, 2).T
-        bounds = length_buckets(sizes, counts, most) if len(sizes) else sizes
+        bounds = length_buckets(sizes, counts, most, padding)
         if len(bounds) and sizes[0] == 0 and bounds[0] != 0:
             bounds = np.concatenate([[0], bounds])
         held = np.bincount(np.searchsorted(bounds, sizes), counts, len(bounds)).astype(np.int64)
@@ -193,8 +207,8 @@ def make_plans(items: DataFrame, limits: list, most: int = MAX_BUCKETS, mixed: b
 
 
 def pack(
-    docs: DataFrame, limits: DataFrame, folder: str = TOKENIZERS, most: int = MAX_BUCKETS, mixed: bool = True,
-    id_column: str = "doc_id", text_column: str = "text", shard_items: int = SHARD_ITEMS,
+    docs: DataFrame, limits: DataFrame, folder: str = TOKENIZERS, most: int | None = None, mixed: bool = True,
+    id_column: str = "doc_id", text_column: str = "text", shard_items: int = SHARD_ITEMS, padding: float = PADDING,
 ) -> DataFrame:
     """(limit_id, container_id, id, part_no, begin_token, n_tokens): every text in a container of every limit.
 
@@ -204,9 +218,10 @@ def pack(
     empty tables give no rows; further columns are ignored.
 
     Plan: token counts come from one narrow pass (texts are encoded as in :mod:`bpe`) and are written to the shared folder.
-    The driver sees only the histogram of sizes, bounded by the capacity. Dynamic programming chooses the
-    bucket bounds of least padding; batches are planned over buckets; items get their rank within a bucket
-    in salted shards with offsets from a table of shard counts, so a bucket of any size is spread.
+    The driver sees only the histogram of sizes, bounded by the capacity. Dynamic programming chooses, for every limit, the
+    bucket bounds of least padding; batches are planned over buckets; items find their bucket by bisection of the bounds in
+    an Arrow stage, and get their rank within a bucket in salted shards with offsets from a table of shard counts, so a
+    bucket of any size is spread.
     """
     spark = docs.sparkSession
     rows = _limits(limits)
@@ -214,17 +229,27 @@ def pack(
         kind = docs.schema[id_column].dataType.simpleString()
         return spark.createDataFrame([], f"limit_id int, container_id bigint, `{id_column}` {kind}, part_no int, begin_token bigint, n_tokens bigint")
     items = _items(docs, rows, folder, id_column, text_column)
-    plans = make_plans(items, rows, most, mixed)
+    plans = make_plans(items, rows, most, mixed, padding)
     shared = spark.sparkContext.broadcast(plans)
     shards = max(1, -(-sum(p.items for p in plans.values()) // max(1, shard_items)))
-    sizes = spark.createDataFrame(
-        [(k, int(s), int(b)) for k, p in plans.items() for b, (low, s0) in enumerate(zip(np.concatenate([[-1], p.bounds[:-1]]), p.bounds)) for s in range(int(low) + 1, int(s0) + 1)],
-        "limit_id int, n_tokens bigint, bucket int",
-    )  # one row for each size up to the capacity
-    placed = items.withColumn("limit_id", F.col("limit_id").cast("int")).join(F.broadcast(sizes), ["limit_id", "n_tokens"]).withColumn(
-        "shard", F.pmod(F.xxhash64(id_column, "part_no"), F.lit(shards)).cast("int")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            bucket = np.zeros(batch.num_rows, np.int32)
+            for k in np.unique(limit):
+                own = limit == k
+                bucket[own] = np.searchsorted(shared.value[int(k)].bounds, size[own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket), *batch.columns[1:]], names=["limit_id", "bucket", *batch.schema.names[1:]])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    shard = F.pmod(F.xxhash64(id_column, "part_no"), F.lit(shards)).cast("int").alias("shard")
+    placed = items.select("limit_id", "n_tokens", shard, id_column, "part_no", "begin_token").mapInArrow(
+        place, f"limit_id int, bucket int, n_tokens bigint, shard int, `{id_column}` {kind}, part_no int, begin_token bigint"
     )
-    counts = placed.groupBy("limit_id", "bucket", "shard").count()
+    by_size = items.groupBy("limit_id", "n_tokens", shard).count()
+    counts = by_size.select("limit_id", "n_tokens", "shard", "count").mapInArrow(place, "limit_id int, bucket int, n_tokens bigint, shard int, count bigint")
+    counts = counts.groupBy("limit_id", "bucket", "shard").agg(F.sum("count").alias("count"))
     before = Window.partitionBy("limit_id", "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("limit_id", "bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     ranked = (
@@ -233,7 +258,7 @@ def pack(
         .select("limit_id", "bucket", (F.col("rank") + F.col("offset")).cast("bigint").alias("rank"), id_column, "part_no", "begin_token", "n_tokens")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             limit, bucket, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             container = np.zeros(batch.num_rows, np.int64)
@@ -242,8 +267,7 @@ def pack(
                 container[own] = shared.value[int(k)].container(bucket[own], rank[own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(container), *batch.columns[3:]], names=["limit_id", "container_id", *batch.schema.names[3:]])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return ranked.mapInArrow(run, f"limit_id int, container_id bigint, `{id_column}` {kind}, part_no int, begin_token bigint, n_tokens bigint")
+    return ranked.mapInArrow(fill, f"limit_id int, container_id bigint, `{id_column}` {kind}, part_no int, begin_token bigint, n_tokens bigint")
 
 
 def space_left(packed: DataFrame, limits: DataFrame) -> DataFrame:

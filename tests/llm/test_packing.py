@@ -31,6 +31,20 @@ def test_buckets_have_the_least_padding_for_their_number():
         assert padding(sizes, counts, bounds) == best
 
 
+def test_the_fewest_buckets_within_the_padding():
+    rng = np.random.default_rng(2)
+    for share in (0.0001, 0.01, 0.3):
+        sizes = np.unique(rng.integers(1, 900, 400))
+        counts = rng.integers(1, 60, len(sizes))
+        bounds = packing.length_buckets(sizes, counts, padding=share)
+        assert padding(sizes, counts, bounds) <= share * (sizes * counts).sum()
+        assert 1 <= len(bounds) < len(sizes) and bounds[-1] == sizes[-1]
+        # no optimum of clearly fewer buckets fits the padding (a price skips numbers off the hull)
+        fewer = packing.length_buckets(sizes, counts, most=max(1, int(len(bounds) * 0.9) - 2))
+        assert padding(sizes, counts, fewer) > share * (sizes * counts).sum() or len(bounds) <= 3
+    assert packing.length_buckets([5], [3]).tolist() == [5]
+
+
 @pytest.mark.parametrize("mixed", [True, False])
 def test_plans_hold_every_item_and_no_more_than_the_capacity(mixed):
     rng = random.Random(8)
