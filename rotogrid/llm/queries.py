@@ -26,8 +26,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(known, "tomo_id", "left_semi")
 
 
-def _cutoffs(spark: SparkSession, sf: str) -> DataFrame:
-    return cutoffs(_table(spark, sf, "orientations"), _table(spark, sf, "keep_targets"), "tomo_id", "score", "pick_id", "keep_permille")
+def _cutoffs(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return cutoffs(_table(spark, sf, "orientations"), _table(spark, sf, "keep_targets"), "tomo_id", "score", "pick_id", "keep_permille", **options)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,11 @@ def p3_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return _cutoffs(spark, sf)
 
 
+def p3_cutoffs_by_digits(spark: SparkSession, sf: str) -> DataFrame:
+    """The way of sources with very many distinct scores, taken by every source of over 8."""
+    return _cutoffs(spark, sf, wide_scores=8)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_table(spark, sf, "documents"), "byte_bpe_50k")
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_cutoffs": p3_cutoffs,
+    "p3_cutoffs_by_digits": p3_cutoffs_by_digits,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_space": p7_space,
@@ -102,3 +108,4 @@ SELECT p.tomo_id, p.pick_id FROM picks p JOIN limits l ON p.tomo_id = l.tomo_id
     "p3_cutoffs": _LIMITS + """
 SELECT tomo_id, CAST(total AS BIGINT) AS n_items, CAST(need AS BIGINT) AS need, cutoff, CAST(kept AS BIGINT) AS kept FROM limits""",
 }
+SQL["p3_cutoffs_by_digits"] = SQL["p3_cutoffs"]

@@ -46,6 +46,16 @@ def test_top_n_equals_brute_force_on_either_path(spark, heavy):
     assert got.count() == len(expected)
 
 
+def test_the_default_threshold_makes_a_hot_group_heavy(spark):
+    data = [("hot" if i % 3 == 0 else f"g{i % 200}", i, 0.0, 0.0, 0.0, float(i % 17), "x", 1) for i in range(6000)]
+    # one id, delivered very often
+    data += [("hot", 3, 0.0, 0.0, 0.0, 3.0, "x", 1)] * 3000
+    found = top_n_per_group(spark.createDataFrame(data, SCHEMA), "tomo_id", "score", ["x", "y", "z"], "pick_id", 5)
+    plan = found._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan and "Union" in plan
+    assert {tuple(r) for r in found.collect()} == {(g, v[1]) for g, items in counted(data).items() for v in sorted(items, key=key)[:5]}
+
+
 def test_top_n_of_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert top_n_per_group(empty, "tomo_id", "score", ["x"], "pick_id", 3).count() == 0
