@@ -12,7 +12,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,8 @@ from rotogrid.session import cut
 TRAINING_ROWS = 200_000
 #: Tokens whose counts are broadcast at most: those of at least 1 / COUNTED_TOKENS of all occurrences. The others' are joined.
 COUNTED_TOKENS = 10_000
+#: Characters from its end that tell a token before a mark; longer ones that end alike count as one.
+TOKEN_CHARS = 40
 #: Occurrences below which a token has no level, whatever the corpus's size.
 LEAST = 3
 #: Occurrences from which on a token that (almost) never ends or begins a block is taken to be unable to.
@@ -216,11 +218,26 @@ def blocks(cell: str) -> Iterator[tuple[bool, int, int]]:
         yield False, open_from, last
 
 
-def _token_before(s: str, i: int, low: int) -> str:
-    j = i
-    while j > low and i - j < 40 and s[j - 1] not in STOPS:
-        j -= 1
-    token = s[j:i]
+class Lookback:
+    """The last character of a kind before ever later places of a block: each character is looked at once."""
+
+    def __init__(self, s: str, low: int, wanted: Callable[[str], bool]) -> None:
+        self.s, self.seen, self.wanted, self.last = s, low, wanted, low - 1
+
+    def __call__(self, i: int) -> int:
+        """Its place before ``i``, or one before the block's begin."""
+        j = i - 1
+        while j >= self.seen and not self.wanted(self.s[j]):
+            j -= 1
+        if j >= self.seen:
+            self.last = j
+        self.seen = max(self.seen, i)
+        return self.last
+
+
+def _token_before(s: str, i: int, low: int, stops: Lookback) -> str:
+    """The token that ends at ``i``, told by its last ``TOKEN_CHARS`` characters."""
+    token = s[max(low, stops(i) + 1, i - TOKEN_CHARS) : i]
     return token[-2:] if token and SCRIPTS[script(token[-1])] in UNSPACED else token
 
 
@@ -266,15 +283,12 @@ def scan(text: str, cells: list[dict]) -> tuple[list, list, list]:
                 for m in THAI_GAP.finditer(s):
                     if not inside.hold(m.start(), m.start() + 1):
                         forced.append((base + m.start(), base + m.end()))
+            letters, words, stops = Lookback(s, skip, str.isalpha), Lookback(s, skip, str.isalnum), Lookback(s, skip, STOPS.__contains__)
             for m in MARKS.finditer(s, skip):
                 i, stop = m.start(), m.end()
                 mark, closing = m.groups()
-                if mark[0] in ";;":
-                    j = i
-                    while j > skip and i - j < 64 and not s[j - 1].isalpha():
-                        j -= 1
-                    if mark[0] == ";" and (j == skip or SCRIPTS[script(s[j - 1])] != "GREEK"):
-                        continue
+                if mark[0] == ";" and ((j := letters(i)) < skip or SCRIPTS[script(s[j])] != "GREEK"):
+                    continue
                 if closing:
                     # only marks that close something belong to the sentence
                     k = m.end(1)
@@ -285,15 +299,13 @@ def scan(text: str, cells: list[dict]) -> tuple[list, list, list]:
                     stop = k
                 if mark == "." and stop < len(s) and s[stop].isdigit() and i > skip and (s[i - 1].isdigit() or s[i - 1] in "-=+,"):
                     continue
-                j = i
-                while j > skip and not (s[j - 1].isalpha() or s[j - 1].isdigit()) and i - j < 12:
-                    j -= 1
-                token = _token_before(s, i, inside.opened(i, skip))
+                j = words(i)
+                token = _token_before(s, i, inside.opened(i, skip), stops)
                 before = token_code(token)
                 kinds = s[m.end(1) : stop]
                 close = 0 if not kinds else 1 if kinds[-1] in ")]}）】" else 2 if kinds[-1] not in "`*" else 3
                 held = inside.hold(i, stop)
-                code = _mark_class(mark) | close << 3 | held << 5 | _before_class(token) << 6 | script(s[j - 1] if j > skip else " ") << 12
+                code = _mark_class(mark) | close << 3 | held << 5 | _before_class(token) << 6 | script(s[j] if j >= skip else " ") << 12
                 if stop >= len(s):
                     ended = [before, code | 1 << 20]
                     continue

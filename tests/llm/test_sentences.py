@@ -42,6 +42,17 @@ def test_enclosed():
         assert {s[a : b + 1] for a, b in S.enclosed(s)} == spans, s
 
 
+def test_lookback_reaches_any_distance_in_linear_time():
+    s = "Ω" + "1" * 100 + ";" + "-" * 5000 + ";"
+    letters = S.Lookback(s, 0, str.isalpha)
+    assert [letters(i) for i in (0, 1, 101, len(s) - 1)] == [-1, 0, 0, 0]
+    stops = S.Lookback(s, 0, S.STOPS.__contains__)
+    assert [stops(i) for i in (101, 102, len(s) - 1)] == [-1, 101, 101]
+    # a Greek question mark far behind its last letter, and an ASCII semicolon behind a Latin one
+    assert len(S.scan("Ω" + " 1" * 200 + "; b", [{"cell_kind": "text", "begin_at": 0, "n_chars": 404}])[2]) == 1
+    assert not S.scan("a" + " 1" * 200 + "; b", [{"cell_kind": "text", "begin_at": 0, "n_chars": 404}])[2]
+
+
 SUBJECTS = ["The mask", "Our filter", "Every map", "numtile", "A second pass", "This cell"]
 VERBS = ["keeps", "hides", "smooths", "replaces"]
 OBJECTS = ["the border", "two boxes", "half of the picks", "the signal", "all cells"]
