@@ -51,5 +51,38 @@ def test_paths_equal_a_recursive_walk(spark):
     assert flat.where("kind in ('param', 'node') and ctf_id is not null").join(links.selectExpr("ctf_id", "item_path as parent_path"), ["ctf_id", "parent_path"], "left_anti").count() == 0
 
 
+def found(kind, *bodies):
+    import pyarrow as pa
+
+    ids, kinds = pa.array(range(len(bodies)), pa.int64()), pa.array([kind] * len(bodies), pa.string())
+    rows = [r for t in nested.flatten(ids, kinds, pa.array(bodies, pa.string())) for r in t.to_pylist()]
+    return sorted((r["ctf_id"], r["item_path"], r["name"], r["value"]) for r in rows if r["kind"] in ("param", "node"))
+
+
+def test_bodies_of_any_depth():
+    n = 20_000
+    body = '{"T": ' + '{"CTF": ' * n + '{"Param": {}}' + "}" * n + "}"
+    xml = "<T>" + "<CTF>" * n + "<Param/>" + "</CTF>" * n + "</T>"
+    path = "/".join(["CTF[1]"] * n + ["Param[1]"])
+    assert found("json", body, body[:-1], "{" + body) == [(0, path, None, None)]
+    assert found("xml", xml) == [(0, path, None, None)]
+
+
+def test_names_given_twice_escapes_and_values_as_written():
+    twice = '{"T": {"CTF": {"Param": [1, 2]}, "CTF": {"Param": {"@attributes": {"Name": "a", "Name": "\\u00e9\\"x", "Value": 2.50}}}}}'
+    assert found("json", twice) == [(0, "CTF[1]/Param[1]", 'é"x', "2.50")]
+    assert found("json", '{"T": {"C\\u0054F": {"Param": {"@attributes": {"Value": [1, {"a": "]"}]}}}}}') == [(0, "CTF[1]/Param[1]", None, '[1, {"a": "]"}]')]
+    for wrong in ('{"T": {"CTF": {"Param": 01}}}', '{"T": {"CTF": {"Param": "\\x"}}}', '{"T": {"CTF": {"Param": "\t"}}}', '{"T": {"CTF": {"Param": 1,}}}', '{"T": {}} 1', '{"T": {"CTF": {"Param": [1 2]}}}', '{"T": {}, "U": {}}', '{"T" {"CTF": 1}}', '{"T": {"CTF": {"Param": 1]}}', '"\\', '{"T": {"CTF": {"Param": "\\u12g4"}}}'):
+        assert found("json", wrong, twice)[0][0] == 1, wrong
+
+
+def test_types_with_entities_and_marks_within_values():
+    body = """<!DOCTYPE T [<!ENTITY p "<Param Name='e'/>"><!ATTLIST Param Value CDATA "d">]><T><CTF>&p;<Param Name="a &gt; b" Value='x="1"'/></CTF></T>"""
+    assert found("xml", body) == [(0, "CTF[1]/Param[1]", "e", "d"), (0, "CTF[1]/Param[2]", "a > b", 'x="1"')]
+    assert found("xml", """<T><CTF><Param Name="y Value='3'" Value = "a\nb"
+    /><!-- <Param/> --><?x <Param/> ?><![CDATA[<Param/>]]></CTF></T>""") == [(0, "CTF[1]/Param[1]", "y Value='3'", "a b")]
+    assert found("xml", "<T><CTF><Param></CTF></T>", "<T><CTF><Param/></CTF></T>", "<T/><T/>") == [(1, "CTF[1]/Param[1]", None, None)]
+
+
 def test_empty_table(spark):
     assert nested.flatten_documents(spark.createDataFrame([], "ctf_id bigint, file_kind string, body string")).count() == 0
