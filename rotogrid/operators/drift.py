@@ -6,11 +6,13 @@ import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from decimal import Decimal
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rotogrid.operators.nested import json_elements
 from rotogrid.operators.skew import join_small
 from rotogrid.session import cut
 
@@ -24,7 +26,8 @@ INTEGERS = re.compile(rf"{INTEGER.pattern}(?:\n{INTEGER.pattern})*", re.ASCII)
 DECIMALS = re.compile(rf"{DECIMAL.pattern}(?:\n{DECIMAL.pattern})*", re.ASCII)
 KINDS = ("", "integer", "decimal", "text")
 BLANKS = " \t\r\n\v\f\xa0"
-MAX_ALIASES = 10_000
+#: Aliases that travel as one literal map; more are joined by file.
+LITERAL_ALIASES = 100_000
 #: How rescued text becomes a double, tried in order; each gives null for what it doesn't read.
 CASTS = (
     "try_cast(regexp_extract({0}, '^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)[A-Za-z°%]*$', 1) as double)",
@@ -49,6 +52,8 @@ class Lexeme(str):
 
 _DECODER = json.JSONDecoder(parse_int=Lexeme, parse_float=Lexeme, parse_constant=Lexeme)
 _ENCODER = json.JSONEncoder(ensure_ascii=False)
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+')
+
 
 def _lines(body: str) -> list[str]:
     return re.split(r"\r\n|\n|\r", body.lstrip("﻿"))
@@ -85,12 +90,36 @@ def _jsonl_records(body: str):
         if line.strip(BLANKS):
             try:
                 record = _DECODER.decode(line)
-            except (ValueError, RecursionError):
+            except ValueError:
                 continue
+            except RecursionError:
+                record = _deep_record(line)
             if isinstance(record, dict):
                 yield {k.strip(BLANKS): v for k, v in record.items()}
 
 
+def _deep_record(line: str) -> dict | None:
+    """The members of an object nested too deeply for the decoder; nested values stay as they are written."""
+    if line.lstrip(BLANKS)[:1] != "{" or not json_elements(pa.array([f'{{"r":{line}}}'], pa.large_string()))[1][0]:
+        return None
+    out: dict[str, object] = {}
+    depth, name, begin = 0, None, 0
+    for m in _PIECE.finditer(line):
+        piece = m.group()
+        depth += piece in "{[" and 1
+        if depth == 1 and piece == ":":
+            begin = m.end()
+        elif depth == 1 and piece in ",}":
+            if name is not None:
+                text = line[begin : m.start()].strip(BLANKS)
+                out[name] = text if text[0] in "{[" else _DECODER.decode(text)
+            name = None
+        elif depth == 1 and name is None and piece[0] == '"':
+            name = json.loads(piece)
+        depth -= piece in "}]" and 1
+    return out
+
+
 def _column_kind(values: list[str]) -> int:
     """The widest type of present, unquoted values."""
     if not values:
@@ -142,8 +171,16 @@ def _ingest_rows(names: list[str], rows: list[list[str]], key_field: str | None)
     columns = list(zip(*[(*row[:width], *[""] * (width - len(row))) for row in rows])) if rows else [()] * width
     fields, keys, rest = [], [None] * n, []
     typed: dict[str, list] = {t: [None] * n for t in TARGETS}
-    for name in dict.fromkeys(names):
-        column = [None if v.lower() in MISSING else v for v in columns[names.index(name)]]
+    taken: set[str] = set()
+    for at, name in enumerate(names):
+        column = [None if v.lower() in MISSING else v for v in columns[at]]
+        if name in taken:
+            # a name given twice: the further columns are rescued whole under names of their own
+            free = next(f"{name} ({k})" for k in range(2, width + 2) if f"{name} ({k})" not in taken and f"{name} ({k})" not in names)
+            taken.add(free)
+            rest.append((free, column))
+            continue
+        taken.add(name)
         if name == key_field:
             keys = [_key(v) for v in column]
             continue
@@ -196,9 +233,10 @@ def _ingest_objects(records: Iterator[dict], key_field: str | None):
     return [{"name": n, "kind": KINDS[k]} for n, k in kinds.items()], keys, typed, rescued
 
 
-_INGEST_ARROW = pa.schema(
-    [("fields", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string())]))), ("record_keys", pa.list_(pa.string())), *[(t, pa.list_(pa.float64())) for t in TARGETS], ("rescued", pa.list_(pa.string()))]
-)
+def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    """A list column from one flat list and its offsets."""
+    offsets = [0, *accumulate(map(len, values))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(chain.from_iterable(values)), kind))
 
 
 def _ingest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +244,16 @@ def _ingest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            rows = []
-            for kind, form, body in zip(*[part.column(c).to_pylist() for c in ("record_kind", "file_kind", "body")]):
-                fields, keys, typed, rescued = ingest_file(body, form, KEYS.get(kind or ""))
-                rows.append({"fields": fields, "record_keys": keys, **typed, "rescued": rescued})
-            made = pa.RecordBatch.from_pylist(rows, _INGEST_ARROW)
-            yield pa.RecordBatch.from_arrays([part.column(h) for h in head] + made.columns, names=head + made.schema.names)
+            bodies = zip(*[part.column(c).to_pylist() for c in ("record_kind", "file_kind", "body")])
+            read = [ingest_file(body, form, KEYS.get(kind or "")) for kind, form, body in bodies]
+            fields = [f for f, *_ in read]
+            offsets = pa.array([0, *accumulate(map(len, fields))], pa.int32())
+            flat = [pa.array([f[k] for own in fields for f in own], pa.string()) for k in ("name", "kind")]
+            made = [
+                pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["name", "kind"])),
+                _lists([r[1] for r in read], pa.string()), *[_lists([r[2][t] for r in read], pa.float64()) for t in TARGETS], _lists([r[3] for r in read], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([part.column(h) for h in head] + made, names=[*head, "fields", "record_keys", *TARGETS, "rescued"])
 
 
 def ingest(files: DataFrame) -> DataFrame:
@@ -220,8 +262,8 @@ def ingest(files: DataFrame) -> DataFrame:
 
     Defined cases: null and empty bodies give a file without fields and records; byte-order marks, CRLF, padded
     headers and comments are taken off; lines that aren't JSON objects are no records; cells beyond the header
-    are rescued under the empty name; of a header name given twice the first column counts; missing marks are
-    null; an unknown ``file_kind`` is read as tab-separated text; a null or unknown ``record_kind`` has no key, so its
+    are rescued under the empty name; of a header name given twice the first column counts and the others are rescued as
+    ``name (2)`` and so on; JSON lines may be nested to any depth; missing marks are null; an unknown ``file_kind`` is read as tab-separated text; a null or unknown ``record_kind`` has no key, so its
     records have none and no rename is found between its files; further columns are ignored. Narrow: no shuffle.
     """
     return files.select("file_id", "stream_id", "record_kind", "file_kind", "tomo_id", "written_at", "body").mapInArrow(_ingest, INGESTED)
@@ -341,49 +383,74 @@ def changes(ingested: DataFrame, headers: DataFrame) -> DataFrame:
     return plain.unionByName(renamed)
 
 
-def approved_aliases(found: DataFrame, targets: Sequence[str] = TARGETS, min_files: int = 2, most: int = MAX_ALIASES) -> dict[str, str]:
-    """Field names that renames link to a target, by the strongest link; at most ``most`` names are looked at, by
-    support. Only names of at least ``min_files`` renames are approved."""
-    edges = (
-        found.where(F.col("change") == "renamed").groupBy("old_field", "new_field").count()
-        .where(F.col("count") >= min_files).orderBy(F.desc("count"), "old_field", "new_field").limit(most).collect()
+def approved_aliases(found: DataFrame, targets: Sequence[str] = TARGETS, min_files: int = 2) -> DataFrame:
+    """(name, target): field names that renames link to a target, directly or over others, by links of ``min_files`` renames or more.
+
+    Names are reached outward from the targets, a round for each step, and every name takes the target of its strongest link
+    (most renames, then by name) to a name reached before. All links stay in Spark; rounds are written to the shared folder.
+    """
+    links = (
+        found.where((F.col("change") == "renamed") & (F.col("old_field") != F.col("new_field")))
+        .groupBy("old_field", "new_field").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files)
     )
-    alias = {t: t for t in targets}
+    links = cut(
+        links.select(F.col("old_field").alias("name"), F.col("new_field").alias("near"), "n")
+        .unionByName(links.select(F.col("new_field").alias("name"), F.col("old_field").alias("near"), "n"))
+    )
+    spark = found.sparkSession
+    start = spark.createDataFrame([(t, t) for t in targets], "name string, target string")
+    reached, new = start, start
     while True:
-        best = next(((a, b) for e in edges for a, b in ((e[0], e[1]), (e[1], e[0])) if b in alias and a not in alias), None)
-        if best is None:
-            return {a: t for a, t in alias.items() if a not in targets}
-        alias[best[0]] = alias[best[1]]
+        near = links.join(new.withColumnRenamed("name", "near"), "near").join(reached.select("name"), "name", "left_anti")
+        best = F.max_by("target", F.struct("n", "near"))  # one row a name, so ties are told by the name it hangs from
+        new = cut(near.groupBy("name").agg(best.alias("target")))
+        if new.isEmpty():
+            return reached.join(start.select("name"), "name", "left_anti")
+        reached = cut(reached.unionByName(new))
 
 
-def _other_than(name: str):
-    return lambda key, _: key != F.lit(name)
+def unapproved(ingested: DataFrame, aliases: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
+    """(name, n_files): fields that are neither targets nor approved aliases, whose values stay in ``rescued``."""
+    seen = ingested.select(F.explode("fields.name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
+    return seen.where(~F.col("name").isin(*targets)).join(aliases, "name", "left_anti")
 
 
-def records(ingested: DataFrame, aliases: Mapping[str, str], targets: Sequence[str] = TARGETS) -> DataFrame:
-    """One row for each record, with rescued values of approved aliases replayed into the typed columns.
+def records(ingested: DataFrame, aliases: DataFrame | Mapping[str, str], targets: Sequence[str] = TARGETS, literal: int = LITERAL_ALIASES) -> DataFrame:
+    """One row for each record, with rescued values of approved aliases (name, target) replayed into the typed columns.
 
     A value is replayed if its column is null and one of ``CASTS`` reads it: a number with or without a unit behind it
     (``2.50deg``), with a decimal comma (``-15,05``), or an integer behind one letter (``c2``). It then leaves ``rescued``.
-    All else, such as lists and marks of failure, stays there. Files without records give no rows.
+    Of several names of a target in one record, the target's own comes first, then the others by name. All else, such as lists
+    and marks of failure, stays there. Files without records give no rows.
+
+    Up to ``literal`` aliases travel as one literal map and the work is narrow; more are joined to the files' fields and
+    grouped by file.
     """
-    rows = ingested.select(
-        "file_id", "stream_id", "record_kind", "tomo_id", "written_at",
-        F.posexplode(F.arrays_zip("record_keys", *targets, "rescued")).alias("record_no", "r"),
-    ).select(
-        "file_id", "stream_id", "record_kind", "tomo_id", "written_at", "record_no", F.col("r.record_keys").alias("record_key"),
-        *[F.col(f"r.{t}").alias(t) for t in targets], F.from_json("r.rescued", "map<string,string>").alias("extra"),
+    spark = ingested.sparkSession
+    if isinstance(aliases, Mapping):
+        aliases = spark.createDataFrame(list(aliases.items()), "name string, target string")
+    if aliases.limit(literal + 1).count() <= literal:
+        known = {r[0]: r[1] for r in aliases.collect()} | {t: t for t in targets}
+        files = ingested.withColumn("__alias", F.from_json(F.lit(json.dumps(known)), "map<string,string>"))
+    else:
+        every = aliases.unionByName(spark.createDataFrame([(t, t) for t in targets], "name string, target string"))
+        held = join_small(ingested.select("file_id", F.explode(F.array_distinct("fields.name")).alias("name")), every, ["name"])
+        by_file = held.distinct().groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "target"))).alias("__alias"))
+        files = ingested.join(by_file, "file_id", "left").withColumn("__alias", F.coalesce("__alias", F.expr("cast(map() as map<string,string>)")))
+    head = ["file_id", "stream_id", "record_kind", "tomo_id", "written_at"]
+    rows = files.select(*head, "__alias", F.posexplode(F.arrays_zip("record_keys", *targets, "rescued")).alias("record_no", "r")).select(
+        *head, "__alias", "record_no", F.col("r.record_keys").alias("record_key"), *[F.col(f"r.{t}").alias(t) for t in targets],
+        F.from_json("r.rescued", "map<string,string>").alias("extra"),
     )
-    number = lambda text: F.expr("coalesce(" + ", ".join(c.format(text) for c in CASTS) + ")")
-    used = []
+    number = "coalesce(" + ", ".join(c.format("extra[k]") for c in CASTS) + ")"
     for t in targets:
-        names = [t, *sorted(a for a, to in aliases.items() if to == t)]
-        rows = rows.withColumn("__was", F.col(t))
-        for name in names:
-            quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-            rows = rows.withColumn("__new", F.when(F.col(t).isNull(), number(f"element_at(extra, '{quoted}')")))
-            rows = rows.withColumn(t, F.coalesce(t, "__new")).withColumn(
-                "extra", F.when(F.col("__new").isNotNull(), F.map_filter("extra", _other_than(name))).otherwise(F.col("extra"))
-            )
-        used = ["__was", "__new"]
-    return rows.drop(*used).withColumn("rescued", F.when(F.size("extra") > 0, F.to_json("extra"))).drop("extra")
+        rows = rows.withColumn(
+            "__name",
+            F.when(F.col(t).isNull(), F.expr(
+                f"get(transform(array_sort(transform(filter(map_keys(extra), k -> __alias[k] = '{t}' and {number} is not null), k -> struct(k <> '{t}' as other, k))), x -> x.k), 0)"
+            )),
+        )
+        rows = rows.withColumn(t, F.coalesce(F.col(t), F.expr(f"get(transform(array(__name), k -> {number}), 0)"))).withColumn(
+            "extra", F.when(F.col("__name").isNotNull(), F.expr("map_filter(extra, (k, v) -> k <> __name)")).otherwise(F.col("extra"))
+        )
+    return rows.drop("__name", "__alias").withColumn("rescued", F.when(F.size("extra") > 0, F.to_json("extra"))).drop("extra")

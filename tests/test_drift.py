@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 from rotogrid.operators import drift
@@ -43,7 +44,10 @@ def test_changes_and_replay(spark):
     found = drift.changes(ingested, files)
     assert {tuple(r) for r in found.collect()} == EXPECTED
     aliases = drift.approved_aliases(found, min_files=1)
-    assert aliases == {"Angles": "angles", "dose": "weights"}
+    assert {tuple(r) for r in aliases.collect()} == {("Angles", "angles"), ("dose", "weights")}
+    assert {r.name for r in drift.unapproved(ingested, aliases).collect()} >= {"status", "qc", "q"}
+    joined = drift.records(ingested, aliases, literal=0)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, drift.records(ingested, aliases).collect()))
     rows = {(r.file_id, r.record_no): r for r in drift.records(ingested, aliases).collect()}
     assert rows[1, 0].weights == 1.0 and rows[1, 0].rescued == '{"status":"ok"}'
     assert rows[3, 0].angles == -60.0 and rows[3, 0].weights == 1.0 and rows[3, 0].rescued is None
@@ -59,6 +63,24 @@ def test_replay_of_other_spellings(spark):
     assert [r.rescued is None for r in rows] == [True] * 5 + [False] * 5
 
 
+def test_aliases_over_several_names_take_the_strongest_link(spark):
+    renames = [("weights", "dose")] * 3 + [("dose", "Dose")] * 2 + [("Dose", "d")] * 2 + [("angles", "d")] * 5 + [("detail", "x")] + [("y", "z")] * 9
+    found = spark.createDataFrame([(i, "renamed", *r) for i, r in enumerate(renames)], "file_id bigint, change string, old_field string, new_field string")
+    assert {tuple(r) for r in drift.approved_aliases(found).collect()} == {("dose", "weights"), ("d", "angles"), ("Dose", "weights")}
+
+
+def test_names_given_twice_and_deep_lines_are_rescued(spark):
+    deep = '{"zvalue": 3, "deep": ' + '{"a": [' * 20_000 + "1" + "]}" * 20_000 + ', "dose": 2.5, "s": "x,}"}'
+    files = spark.createDataFrame([file(1, "s", 1, "zvalue\tangles\tangles\tq\n0\t1\t2\t3"), file(2, "s", 2, deep + "\n" + deep[:-1], "jsonl")], SCHEMA)
+    rows = {r.file_id: r for r in drift.records(drift.ingest(files), {"dose": "weights"}).collect()}
+    assert rows[1].angles == 1.0 and rows[1].rescued == '{"angles (2)":"2","q":"3"}'
+    assert rows[2].record_key == "3" and rows[2].weights == 2.5 and len(rows) == 2
+    kept = json.loads(rows[2].rescued)
+    assert kept["s"] == "x,}" and kept["deep"] == deep[deep.index(': {"a"') + 2 : deep.index(', "dose"')]
+    fields = {r.file_id: [f.name for f in r.fields] for r in drift.ingest(files).collect()}
+    assert fields == {1: ["angles", "q"], 2: ["deep", "dose", "s"]}
+
+
 def test_predecessors_of_a_hot_stream_with_ties(spark):
     rng = random.Random(1)
     heads = [(i, rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([None, *(dt.datetime(2024, 1, 1, h) for h in range(5))])) for i in range(500)]
