@@ -132,21 +132,24 @@ def tilt_weights(kind: str, shape, angles: Sequence[float], doses: Sequence[floa
 
 
 def reconstruction_filter(n: int, kind: str = "ramp", **options) -> np.ndarray:
-    """One-dimensional filters of weighted back-projection over unshifted frequencies."""
+    """One-dimensional filters of weighted back-projection over unshifted frequencies.
+
+    ``ram-lak`` is |w| in units of the Nyquist frequency; ``ramp-cont`` the transform of its sampled kernel, which isn't 0 at 0;
+    ``ramp`` needs ``angles``: frequencies times n and the least increment of the angles, at most 1. The others are |w| in a window.
+    """
     f = np.abs(np.fft.fftfreq(n))
-    if kind == "ram-lak":
-        i = np.arange(n) - n // 2
-        kernel = np.where(i == 0, 0.25, np.where(i % 2 != 0, -1 / (np.pi * np.where(i == 0, 1, i)) ** 2, 0.0))
-        return 2 * np.abs(np.fft.fft(np.fft.ifftshift(kernel)))
     ramp = 2 * f
-    if kind == "ramp-cont":
+    if kind == "ram-lak":
         return ramp
+    if kind == "ramp-cont":
+        i = np.minimum(np.arange(n), n - np.arange(n))
+        kernel = np.where(i == 0, 0.25, np.where(i % 2 != 0, -1 / (np.pi * np.where(i == 0, 1, i)) ** 2, 0.0))
+        return 2 * np.real(np.fft.fft(kernel))
     if kind == "ramp":
         angles = options.get("angles")
         if angles is None or len(angles) < 2:
-            return ramp
-        increment = math.radians(abs(float(np.diff(np.sort(angles)).mean())))
-        return np.minimum(1.0, f * n * increment)
+            raise ValueError("ramp needs two tilt angles or more")
+        return np.minimum(1.0, f * n * math.radians(float(np.diff(np.sort(angles)).min())))
     if kind == "shepp-logan":
         return ramp * np.sinc(f)
     if kind == "cosine":

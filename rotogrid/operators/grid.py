@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import product
 
@@ -143,19 +144,22 @@ def assign_tiles(voxels: DataFrame, edge: Sequence[int], halo: Sequence[int], or
 BLOCK_SCHEMA = "block_id string, start array<int>, shape array<int>, data binary"
 
 
-def to_blocks(voxels: DataFrame, edge: int, halo: int = 0, origin: Sequence[int] = (0, 0, 0)) -> DataFrame:
-    """Dense float64 tiles of edge + 2 halo. A task holds one tile at a time, of fixed size whatever the volume."""
+def to_blocks(voxels: DataFrame, edge: int, halo: int = 0, origin: Sequence[int] = (0, 0, 0), keys: Sequence[str] = ()) -> DataFrame:
+    """Dense float64 tiles of edge + 2 halo, of each volume told by ``keys``. A task holds one tile at a time, of fixed size whatever the volume."""
+    keys = list(keys)
 
     def build(key, pdf):
         size = edge + 2 * halo
-        start = [int(k) * edge + o - halo for k, o in zip(key, origin)]
+        tile = key[len(keys) :]
+        start = [int(k) * edge + o - halo for k, o in zip(tile, origin)]
         data = np.zeros((size,) * 3)
         np.add.at(data, tuple(pdf[a].to_numpy() - s for a, s in zip(AXES, start)), pdf["v"].to_numpy())
         import pandas as pd
 
-        return pd.DataFrame([("_".join(str(k) for k in key), start, [size] * 3, data.tobytes())], columns=["block_id", "start", "shape", "data"])
+        return pd.DataFrame([(*key[: len(keys)], "_".join(str(k) for k in tile), start, [size] * 3, data.tobytes())], columns=[*keys, "block_id", "start", "shape", "data"])
 
-    return assign_tiles(voxels, (edge,) * 3, (halo,) * 3, origin).groupBy("tile_x", "tile_y", "tile_z").applyInPandas(build, BLOCK_SCHEMA)
+    schema = ", ".join([*[f"`{k}` {voxels.schema[k].dataType.simpleString()}" for k in keys], BLOCK_SCHEMA])
+    return assign_tiles(voxels, (edge,) * 3, (halo,) * 3, origin).groupBy(*keys, "tile_x", "tile_y", "tile_z").applyInPandas(build, schema)
 
 
 def from_blocks(blocks: DataFrame) -> DataFrame:
@@ -164,13 +168,92 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = np.frombuffer(row["data"]).reshape(row["shape"])
+                data = np.frombuffer(row["data"], f"f{len(row['data']) // max(math.prod(row['shape']), 1) or 8}").reshape(row["shape"]).astype(float)
                 at = np.nonzero(data)
                 yield pa.RecordBatch.from_arrays([*[pa.array((i + s).astype(np.int32)) for i, s in zip(at, row["start"])], pa.array(data[at])], names=[*AXES, "v"])
 
     return blocks.mapInArrow(run, "x int, y int, z int, v double")
 
 
+def wrap_faces(voxels: DataFrame, bounds: Bounds, width: int = 1) -> DataFrame:
+    """The voxels with those near each face repeated beyond the opposite one, as a volume that wraps has them."""
+    out = voxels
+    for a, (low, high) in zip(AXES, bounds):
+        n = high - low + 1
+        for part, shift in ((F.col(a) < low + width, n), (F.col(a) > high - width, -n)):
+            out = out.unionByName(voxels.where(part).withColumn(a, (F.col(a) + shift).cast("int")))
+    return out
+
+
+def retile(blocks: DataFrame, edge: int, halo: int, keys: Sequence[str] = (), wrap: int = 0, precision: str = "float64") -> DataFrame:
+    """Dense blocks of edge + 2 halo from stored ones without halo (keys, start, shape, volume, data), beginning at 0.
+
+    Every stored block is cut into the slabs that the new blocks want of it, and slabs of bytes are shuffled once, so the cost
+    is the volume and its halos, not a row for each voxel. Cells beyond the volume are 0, but for ``wrap`` layers that
+    come from the opposite face. ``low`` and ``high`` tell where the volume ends. A task holds one block at a time.
+    """
+    keys = list(keys)
+    kinds = [f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys]
+    slab = "tile array<int>, volume array<int>, at array<int>, size array<int>, data binary"
+    kind = np.dtype(precision)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                cells = math.prod(row["shape"])
+                data = np.frombuffer(row["data"], f"f{len(row['data']) // max(cells, 1) or 8}").reshape(row["shape"])
+                found = []
+                # the block itself, and its layers at a face as they wrap
+                turns = [[(0, s, s + n)] + ([(v, s, min(wrap, s + n)), (-v, max(v - wrap, s), s + n)] if wrap else []) for s, n, v in zip(row["start"], row["shape"], row["volume"])]
+                for turn in product(*turns):
+                    if sum(t[0] != 0 for t in turn) > 1 or any(b <= a for _, a, b in turn):
+                        continue
+                    begin, stop = [a + t for t, a, _ in turn], [b + t for t, _, b in turn]
+                    last = [-(-v // edge) - 1 for v in row["volume"]]
+                    for tile in product(*[range(max(0, (a - halo) // edge), min((b - 1 + halo) // edge, m) + 1) for a, b, m in zip(begin, stop, last)]):
+                        low = [max(a, k * edge - halo) for a, k in zip(begin, tile)]
+                        high = [min(b, (k + 1) * edge + halo) for b, k in zip(stop, tile)]
+                        if any(b <= a for a, b in zip(low, high)):
+                            continue
+                        part = data[tuple(slice(a - t[0] - s, b - t[0] - s) for a, b, t, s in zip(low, high, turn, row["start"]))]
+                        found.append((list(tile), [a - k * edge + halo for a, k in zip(low, tile)], list(part.shape), part.astype(kind).tobytes()))
+                if found:
+                    tiles, at, sizes, parts = zip(*found)
+                    ints = pa.list_(pa.int32())
+                    own = [pa.array([row[k]] * len(found), batch.schema.field(k).type) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(tiles, ints), pa.array([row["volume"]] * len(found), ints), pa.array(at, ints), pa.array(sizes, ints), pa.array(parts, pa.binary())], names=[*keys, "tile", "volume", "at", "size", "data"])
+
+    schema = ", ".join([*kinds, BLOCK_SCHEMA, "low array<int>, high array<int>"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def done():
+            head, data = held
+            tile, volume = head["tile"], head["volume"]
+            row = {k: head[k] for k in keys} | {"block_id": "_".join(map(str, tile)), "start": [k * edge - halo for k in tile], "shape": list(data.shape), "data": data.tobytes(), "low": [0] * len(tile), "high": [n - 1 for n in volume]}
+            ints = pa.list_(pa.int32())
+            types = {"block_id": pa.string(), "start": ints, "shape": ints, "data": pa.binary(), "low": ints, "high": ints}
+            return pa.RecordBatch.from_arrays([pa.array([v], types.get(k) or field(k)) for k, v in row.items()], names=list(row))
+
+        for batch in batches:
+            field = lambda k: batch.schema.field(k).type  # noqa: B023, E731
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if held is None or any(held[0][k] != row[k] for k in (*keys, "tile")):
+                    if held is not None:
+                        yield done()
+                    held = (row, np.zeros([edge + 2 * halo] * len(row["tile"]), kind))
+                part = np.frombuffer(row["data"], kind).reshape(row["size"])
+                held[1][tuple(slice(a, a + n) for a, n in zip(row["at"], row["size"]))] = part
+        if held is not None:
+            yield done()
+
+    slabs = blocks.select(*keys, "start", "shape", "volume", "data").mapInArrow(split, ", ".join([*kinds, slab]))
+    return slabs.repartition(*keys, "tile").sortWithinPartitions(*keys, "tile").mapInArrow(build, schema)
+
+
 #: Points that may end a diameter at most, beyond which :func:`diameter` gives up.
 MOST_ENDS = 50_000
 

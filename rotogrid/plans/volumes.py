@@ -12,8 +12,10 @@ from rotogrid.operators import dense as D
 from rotogrid.operators import grid as G
 from rotogrid.operators import lines as L
 from rotogrid.operators import masks as M
+from rotogrid.operators import score as S
 from rotogrid.operators import stencil as C
 from rotogrid.plans import tables as t
+from rotogrid.plans.matching import SQL as MATCHING_SQL
 from rotogrid.plans.matching import six
 
 QUERIES: dict = {}
@@ -160,8 +162,13 @@ add("bandpass_mask", _rows(lambda: fourier.band_pass((16, 20), 4.0, 12.0)), f"WI
 add("bandpass_hard", _rows(lambda: fourier.band_pass((16, 20), 4.0, 12.0, soft=False)), f"WITH {_g2}, {_f2} SELECT i, j, CASE WHEN f <= 0.25 AND f >= 1 / 12.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM f")
 _wave = fourier.electron_wavelength(300e3)
 add("ctf_curve", _rows(lambda: fourier.ctf((16, 20), 2.5e4, rate=4.0)), f"WITH {_g2}, {_f2}, c AS (SELECT i, j, f, pi() * {_wave!r} * (f / 4) ** 2 * (25000.0 - 2.7e7 * {_wave!r} ** 2 * (f / 4) ** 2 / 2) + atan(0.07 / sqrt(1 - 0.07 ** 2)) AS chi FROM f) SELECT i, j, round(CASE WHEN f <= 0.5 THEN abs(sin(-chi)) ELSE 0.0 END, 6) + 0.0 AS v FROM c")
-add("reconstruction_filter", _rows(lambda: np.stack([fourier.reconstruction_filter(24, k) for k in ("ramp-cont", "shepp-logan", "cosine", "hamming")])), f"""WITH g AS (SELECT CAST(unnest(range(0, 24)) AS INT) AS j), f AS (SELECT j, abs({_freq(24, 'j')}) AS f FROM g)
- SELECT 0 AS i, j, round(2 * f, 6) AS v FROM f UNION ALL SELECT 1, j, round(2 * f * CASE WHEN f = 0 THEN 1 ELSE sin(pi() * f) / (pi() * f) END, 6) FROM f UNION ALL SELECT 2, j, round(2 * f * cos(pi() * f), 6) + 0.0 FROM f UNION ALL SELECT 3, j, round(2 * f * (0.54 + 0.46 * cos(2 * pi() * f)), 6) FROM f""")
+_uneven = (-50.0, -20.0, -5.0, 3.5, 30.0, 60.0)
+_kinds = ("ram-lak", "ramp-cont", "ramp", "shepp-logan", "cosine", "hamming")
+add("reconstruction_filter", _rows(lambda: np.stack([fourier.reconstruction_filter(24, k, angles=_uneven) for k in _kinds])), f"""WITH g AS (SELECT CAST(unnest(range(0, 24)) AS INT) AS j), f AS (SELECT j, abs({_freq(24, 'j')}) AS f FROM g),
+ o AS (SELECT least(k, 24 - k) AS d, k FROM (SELECT unnest(range(1, 24, 2)) AS k)), a AS (SELECT unnest([{', '.join(map(repr, _uneven))}]) AS a), step AS (SELECT min(d) AS d FROM (SELECT a - lag(a) OVER (ORDER BY a) AS d FROM a))
+ SELECT 0 AS i, j, round(2 * f, 6) AS v FROM f UNION ALL SELECT 1, j, round(2 * (0.25 - sum(cos(2 * pi() * j * k / 24) / (pi() * d) ** 2)), 6) + 0.0 FROM f, o GROUP BY j
+ UNION ALL SELECT 2, j, round(least(1.0, f * 24 * radians(d)), 6) FROM f, step
+ UNION ALL SELECT 3, j, round(2 * f * CASE WHEN f = 0 THEN 1 ELSE sin(pi() * f) / (pi() * f) END, 6) FROM f UNION ALL SELECT 4, j, round(2 * f * cos(pi() * f), 6) + 0.0 FROM f UNION ALL SELECT 5, j, round(2 * f * (0.54 + 0.46 * cos(2 * pi() * f)), 6) FROM f""")
 _k8 = f"g AS (SELECT * FROM (SELECT CAST(unnest(range(0, 8)) AS INT) AS p), (SELECT CAST(unnest(range(0, 8)) AS INT) AS q)), k AS (SELECT sqrt({_freq(8, 'p')} ** 2 + {_freq(8, 'q')} ** 2) AS k FROM g), t AS (SELECT * FROM (VALUES (0, -40e0, 1e0), (1, 0e0, 2e0), (2, 40e0, 3e0)) AS t(j, a, d))"
 add(
     "tilt_weights",
@@ -186,19 +193,66 @@ def _arrays(template):
     return g, m
 
 
-def _fft(score: str):
+def _fft(score: str, template=t.TEMPLATE):
     def query(s, d):
-        g, m = _arrays(t.TEMPLATE)
-        blocks = G.to_blocks(t.volume(s, d), 16, 4)
+        g, m = _arrays(template)
+        volume = t.volume(s, d)
+        blocks = G.to_blocks(G.wrap_faces(volume, t.V3_BOUNDS) if score == "LCC" else volume, 16, 4)
         rotations = np.array(t.ROTATIONS, float).reshape(-1, 3, 3)
-        out = D.match_blocks(blocks, g, m, rotations, 4, score, -1e9)
-        return out.where(G.inside(t.V3_BOUNDS, ("tx", "ty", "tz"))).select("tx", "ty", "tz", (F.round("s", 4) + 0.0).alias("s")).where("s <> 0")  # the sparse form has no rows without a contribution
+        return _shown(D.match_blocks(blocks, g, m, rotations, 4, score, -1e9, bounds=t.V3_BOUNDS), "tx", "ty", "tz")
 
     return query
 
 
-_cc = f"WITH {t.V3}, {t.expansion_sql(t.TEMPLATE, t.ROTATIONS)}, {t.placed_sql('v3', t.V3_BOUNDS)}"
-add("fft_score", _fft("CC"), _cc + ", cc AS (SELECT tx, ty, tz, r, sum(v * g) AS s FROM placed GROUP BY ALL) SELECT tx, ty, tz, round(max(s), 4) AS s FROM cc GROUP BY ALL HAVING round(max(s), 4) <> 0")
-add("fft_flc", _fft("FLC"))
+def _shown(scores, *keys):
+    """Scores to four digits, moved off the ties of rounding; the sparse form has no rows without a contribution."""
+    return scores.select(*keys, (F.round(F.round("s", 6) + 3e-7, 4) + 0.0).alias("s")).where("s <> 0")
+
+
+def _fft_sql(source: str, keys: str = "tx, ty, tz", rotations: int = len(t.ROTATIONS)) -> str:
+    """Best score of every position from the sparse form's SQL; rotations without a contribution score 0."""
+    best = f"SELECT {keys}, CASE WHEN count(*) < {rotations} THEN greatest(max(s), 0.0) ELSE max(s) END AS s FROM ({source}) GROUP BY ALL"
+    return f"SELECT {keys}, round(s + 3e-7, 4) + 0.0 AS s FROM ({best}) WHERE round(s + 3e-7, 4) <> 0"
+
+
+for _name, _score in (("fft_score", "CC"), ("fft_lcc", "LCC"), ("fft_corr", "CORR"), ("fft_cam", "CAM"), ("fft_flc", "FLC"), ("fft_mcc", "MCC")):
+    add(_name, _fft(_score), _fft_sql(MATCHING_SQL[_name.replace("fft_score", "cc").replace("fft_", "")]))
+
+
+# a mask that no rotation changes, as this score wants
+_value = {p[:3]: p[3] for p in t.TEMPLATE.points}
+_ball = S.Template(tuple((x, y, z, float(_value.get((x, y, z), 0.0)), 1.0) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if x * x + y * y + z * z <= 4), 125)
+_ball_sql = f"WITH {t.V3}, {t.expansion_sql(_ball.standardised(), t.ROTATIONS)}, {t.placed_sql('v3', t.V3_BOUNDS)}, sums AS (SELECT tx, ty, tz, r, sum(v * g) AS fg, sum(v * m) AS fm, sum(v * v * m) AS f2m FROM placed GROUP BY ALL)"
+_ball_std = f"sqrt(greatest(0.0, f2m / {_ball.mass} - (fm / {_ball.mass}) ** 2))"
+add("fft_flc_spherical", _fft("FLCSphericalMask", _ball), _fft_sql(f"{_ball_sql} SELECT tx, ty, tz, r, round(fg / (CASE WHEN {_ball_std} < 1.1920929e-07 THEN 1.0 ELSE {_ball_std} END * {_ball.mass}), 6) + 0.0 AS s FROM sums"))
+
+
+def _fft_batch(score: str):
+    def query(s, d):
+        g, m = _arrays(t.FLAT)
+        image = t.image(s, d, ("event_type",))
+        blocks = G.to_blocks(image, 16, 4, keys=("event_type",))
+        return _shown(D.match_blocks(blocks, g, m, np.eye(3)[None], 4, score, -1e9, bounds=t.V2_BOUNDS, keys=("event_type",)), "event_type", "tx", "ty", "tz")
+
+    return query
+
+
+for _name, _score in (("fft_batch_flc", "batchFLC"), ("fft_batch_flc_spherical", "batchFLCSpherical")):
+    add(_name, _fft_batch(_score), _fft_sql(MATCHING_SQL["batch_flc"], "event_type, tx, ty, tz", 1))
+
+
+def _seeded(s, d):
+    g, m = _arrays(t.TEMPLATE)
+    seeds = t.volume(s, d).where("v > 16").select("x", "y", "z", *[F.lit(float(c)).alias(f"m{i}") for i, c in enumerate((1, 0, 0, 0, 1, 0, 0, 0, 1))])
+    rotations = np.array(t.ROTATIONS, float).reshape(-1, 3, 3)
+    found = D.match_blocks(G.to_blocks(t.volume(s, d), 16, 4), g, m, rotations, 4, "CC", -1e9, bounds=t.V3_BOUNDS, seeds=seeds, radius=2.0, cone=30.0, group=7)
+    return found.select("tx", "ty", "tz", F.round("s", 4).alias("s"))
+
+
+_upright = ", ".join(str(r) for r, c in enumerate(t.ROTATIONS) if c[8] == 1)
+add("fft_constrained", _seeded, f"""WITH {t.V3}, cc AS (SELECT tx, ty, tz, s FROM ({MATCHING_SQL['cc']}) WHERE r IN ({_upright})),
+ near AS (SELECT DISTINCT g.x AS tx, g.y AS ty, g.z AS tz FROM v3 p, (SELECT * FROM (SELECT CAST(unnest(range(1, 51)) AS INT) AS x), (SELECT CAST(unnest(range(0, 11)) AS INT) AS y), (SELECT CAST(unnest(range(0, 9)) AS INT) AS z)) g
+  WHERE p.v > 16 AND (g.x - p.x) ** 2 + (g.y - p.y) ** 2 + (g.z - p.z) ** 2 <= 4)
+ SELECT tx, ty, tz, round(CASE WHEN count(s) < {_upright.count(',') + 1} THEN greatest(coalesce(max(s), 0.0), 0.0) ELSE max(s) END, 4) AS s FROM near LEFT JOIN cc USING (tx, ty, tz) GROUP BY ALL""")
 add("bandpass_apply", lambda s, d: six(L.filtered(L.spectrum(t.volume(s, d), t.V3_BOUNDS), t.V3_BOUNDS, lambda f: fourier.band_gain(f, 3.0)), "v"))
 add("bandpass_energy", lambda s, d: G.from_blocks(D.filter_blocks(G.to_blocks(t.volume(s, d), 64), fourier.band_pass((64, 64, 64), 3.0))).agg(F.round(F.sum("v"), 3).alias("total")), f"WITH {t.V3} SELECT round(sum(v), 3) AS total FROM v3")
