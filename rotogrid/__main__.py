@@ -10,6 +10,17 @@ from pathlib import Path
 import numpy as np
 
 
+SCORES = ("CC", "LCC", "CORR", "CAM", "FLC", "FLCSphericalMask", "MCC")
+SUFFIXES = {"star": "star", "xml": "xml", "mdoc": "mdoc"}
+
+
+def _table(spark, path: str | None, read, other: str):
+    """Rows of a tilt or CTF file, whose kind follows from its suffix."""
+    from rotogrid.sources.files import read_bytes
+
+    return read(read_bytes(spark, path).decode(), SUFFIXES.get(path.rsplit(".", 1)[-1], other)) if path else None
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("rotogrid")
     s = p.add_subparsers(dest="command", required=True)
@@ -17,11 +28,21 @@ def parser() -> argparse.ArgumentParser:
     for a in ("target", "template", "out"):
         m.add_argument(a)
     m.add_argument("--mask")
-    m.add_argument("--score", default="FLCSphericalMask", choices=("CC", "FLC", "FLCSphericalMask"))
+    m.add_argument("--score", default="FLCSphericalMask", choices=SCORES)
     m.add_argument("--sampling", type=float, default=60.0)
     m.add_argument("--diameter", type=float, help="particle diameter; sets the sampling")
     m.add_argument("--lowpass", type=float)
-    m.add_argument("--edge", type=int, default=64)
+    m.add_argument("--highpass", type=float)
+    m.add_argument("--edge", type=int, help="cells of a block's core; by default as many as fit")
+    m.add_argument("--tilts", help="tilt file (text, star, xml or mdoc) whose reach and weights filter the template")
+    m.add_argument("--weight", default="none", choices=("none", "angle", "relion", "grigorieff"))
+    m.add_argument("--ctf", help="CTF file (star, xml, mdoc or estimation output) that filters the template")
+    m.add_argument("--target-lowpass", type=float)
+    m.add_argument("--target-highpass", type=float)
+    m.add_argument("--whiten", action="store_true", help="whiten the target's spectrum")
+    m.add_argument("--seeds", help="pick list; only its surroundings are searched")
+    m.add_argument("--radius", type=float, default=10.0)
+    m.add_argument("--cone", type=float, default=15.0)
     m.add_argument("--order", type=int, default=1)
     q = s.add_parser("postprocess", help="call peaks of a score map")
     for a in ("scores", "out"):
@@ -75,10 +96,17 @@ def main(arguments: list[str] | None = None) -> int:
         if a.diameter:
             from rotogrid.functions.lattice import sampling_of_diameter
             from rotogrid.sources import volumes
+            from rotogrid.sources.files import read_bytes
 
-            rate = float(volumes.read(Path(a.template).read_bytes(), a.template)[2][0])
+            rate = float(volumes.read(read_bytes(spark, a.template), a.template)[2][0])
             sampling = sampling_of_diameter(a.diameter, rate, a.lowpass or 0.0)
-        pipeline.match(spark, a.target, a.template, a.mask, a.out, sampling=sampling, score=a.score, edge=a.edge, lowpass=a.lowpass, order=a.order)
+        from rotogrid.sources import text
+
+        seeds = pipeline.read_seeds(spark, a.seeds) if a.seeds else None
+        pipeline.match(
+            spark, a.target, a.template, a.mask, a.out, sampling=sampling, score=a.score, edge=a.edge, lowpass=a.lowpass, order=a.order, highpass=a.highpass, tilts=_table(spark, a.tilts, text.tilts, "text"), weight=a.weight,
+            ctf=_table(spark, a.ctf, text.ctf_rows, "ctffind"), target_lowpass=a.target_lowpass, target_highpass=a.target_highpass, whiten=a.whiten, seeds=seeds, radius=a.radius, cone=a.cone,
+        )
     elif a.command == "postprocess":
         scores, meta = pipeline.load_scores(spark, a.scores)
         found = pipeline.call(scores, meta, a.peaks, a.distance, a.boundary, a.min_score, a.max_score, a.caller, a.false_positives)

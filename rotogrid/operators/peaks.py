@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import product
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -83,36 +84,109 @@ def bucket_filter(peaks: DataFrame, distance: float, keys: Sequence[str] = ()) -
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, *cell).orderBy(*_order()))).where(F.col("__r") == 1).drop("__r", "__m")
 
 
-def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: bool = False, rounds: int = 1000) -> DataFrame:
+#: Undecided peaks that are decided together by one task; more are decided by tiles.
+TOGETHER = 200_000
+#: Least edge of the tiles; whole positions then bound a tile's peaks by its cells.
+TILE = 64
+
+
+def decide(at: np.ndarray, score: np.ndarray, state: np.ndarray, whole: np.ndarray, distance: float, box: bool) -> np.ndarray:
+    """States (1 stays, -1 goes, 0 can't be told here) of peaks, walked from the best score down, of equal ones by position.
+
+    ``whole``: all neighbours of the peak are here. A peak goes if a better one that stays is close, stays if every close
+    better one goes, and is left open otherwise. Only peaks that stay or are open are looked up, by cells of the distance.
+    """
+    out = np.zeros(len(score), np.int8)
+    size = max(float(distance), 1e-9)
+    order = np.lexsort((*at.T[::-1], -score))
+    home = np.floor(at / size).astype(np.int64)
+    offsets = list(product((-1, 0, 1), repeat=at.shape[1]))
+    held: dict[tuple, list[tuple[tuple, bool]]] = {}
+    limit = distance if box else distance**2
+    for i, p, cell in zip(order.tolist(), at[order].tolist(), map(tuple, home[order].tolist())):
+        found = 1 if whole[i] else 0
+        if state[i] == 1:
+            found = 1
+        else:
+            for o in offsets:
+                for q, stays in held.get(tuple(map(add, cell, o)), ()):
+                    near = max(abs(x - y) for x, y in zip(p, q)) <= limit if box else sum((x - y) ** 2 for x, y in zip(p, q)) < limit
+                    if near:
+                        found = -1 if stays else min(found, 0)
+                        if stays:
+                            break
+                if found < 0:
+                    break
+        out[i] = found
+        if found >= 0:
+            held.setdefault(cell, []).append((p, found == 1))
+    return out
+
+
+def _decider(columns: Sequence[str], edge: float, offset: Sequence[float] | None, distance: float, box: bool):
+    """Decides the peaks of a tile's core, or of all that is left if there is no grid; what stayed before is then not repeated."""
+
+    def run(key, pdf):
+        at, state = pdf[list(T)].to_numpy(float), pdf["state"].to_numpy()
+        core = np.ones(len(pdf), bool)
+        if offset is not None:
+            core = (np.floor((at - np.array(offset)) / edge) == np.array(key[-3:], float)).all(1)
+        keep = core if offset is not None else state != 1
+        return pdf.assign(state=decide(at, pdf["s"].to_numpy(float), state, core, distance, box)).loc[keep, columns]
+
+    return run
+
+
+def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: bool = False, together: int = TOGETHER, tile: int = TILE) -> DataFrame:
     """Greedy suppression in score order: a peak stays if no staying better peak is closer than ``distance``.
 
-    Runs to a fixed point: peaks without a better undecided neighbour stay, their neighbours go. Neighbours meet by
-    grid cells of the distance, never all pairs; each round is written to the shared checkpoint folder.
     ``box``: the distance is the largest coordinate difference, inclusive, as when a box around each peak is emptied.
+    Defined cases: of equal scores the lower position is better; a worse score at the same position goes, equal rows stay or
+    go together; keys may be null; an empty table gives no rows.
+
+    Plan: rounds to a fixed point. In each, tiles with a halo of the distance walk their peaks from the best down and decide all that
+    doesn't depend on open peaks of other tiles; the grid moves from round to round, so chains go on across
+    former borders. What is open and what stays is written to the shared folder after each round. As soon as no more than
+    ``together`` peaks are open, one task decides them with the stayers around them. The best open peak is always
+    decided, so every round makes progress, and none is given up. No pairs are made.
     """
-    rows = cut(peaks.withColumn("__id", F.xxhash64(*keys, *T)).select("__id", *keys, *T, "s"))
-    cell = max(float(distance), 1e-9)
-    home = [F.floor(F.col(t) / cell).alias(f"c{t}") for t in T]
-    a = rows.select("__id", *keys, *T, "s", *home)
-    b = rows.select(F.col("__id").alias("other"), *keys, *[F.col(t).alias(f"o{t}") for t in T], F.col("s").alias("os"), *home)
-    for t in T:
-        b = b.withColumn(f"c{t}", F.explode(F.sequence(F.col(f"c{t}") - 1, F.col(f"c{t}") + 1)))
-    gaps = [F.col(t) - F.col(f"o{t}") for t in T]
-    close = F.greatest(*[F.abs(g) for g in gaps]) <= distance if box else sum(g**2 for g in gaps) < distance**2
-    better = F.struct(F.col("os"), *[-F.col(f"o{t}") for t in T]) > F.struct(F.col("s"), *[-F.col(t) for t in T])
-    links = cut(a.join(b, [*keys, *[f"c{t}" for t in T]]).where(close & better).select("__id", "other"))
-    undecided, kept = rows.select("__id"), None
-    for _ in range(rounds):
-        blocked = links.select("__id").distinct()
-        stay = cut(undecided.join(blocked, "__id", "left_anti"))
-        kept = stay if kept is None else kept.unionByName(stay)
-        gone = links.join(stay.select(F.col("__id").alias("other")), "other", "left_semi").select("__id").distinct()
-        undecided = cut(undecided.join(stay, "__id", "left_anti").join(gone, "__id", "left_anti"))
-        links = cut(links.join(undecided, "__id", "left_semi").join(undecided.select(F.col("__id").alias("other")), "other", "left_semi"))
-        if undecided.isEmpty():
+    keys = list(keys)
+    rows = cut(peaks.groupBy(*keys, *T).agg(F.max("s").alias("s")).withColumn("state", F.lit(0).cast("tinyint")))
+    edge = max(float(tile), 8.0 * distance)
+    schema = rows.schema
+    columns = rows.columns
+    turn = 0
+    while True:
+        undecided = rows.where("state = 0").count()
+        if not undecided:
             break
-    ids = kept.distinct()
-    return peaks.withColumn("__id", F.xxhash64(*keys, *T)).join(ids, "__id", "left_semi").drop("__id")
+        small = undecided <= together
+        if small:
+            # stayers matter only next to open peaks
+            cell = [F.floor(F.col(t) / max(float(distance), 1e-9)).alias(f"c{t}") for t in T]
+            around = rows.where("state = 0").select(*keys, *cell)
+            for t in T:
+                around = around.withColumn(f"c{t}", F.explode(F.sequence(F.col(f"c{t}") - 1, F.col(f"c{t}") + 1)))
+            near = around.distinct()
+            stayers = rows.where("state = 1").alias("w")
+            touched = stayers.join(near.alias("n"), [F.col(f"w.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys] + [F.floor(F.col(f"w.{t}") / max(float(distance), 1e-9)) == F.col(f"n.c{t}") for t in T], "left_semi")
+            whole = rows.where("state = 0").unionByName(touched.select(*columns)).withColumns({f"k{t}": F.lit(0) for t in T})
+            offset = None
+        else:
+            offset = [(turn * f) % edge for f in (edge * 0.5, edge * 0.31, edge * 0.77)] if turn else [0.0] * 3
+            whole = rows
+            for t, o in zip(T, offset):
+                number = lambda c: F.floor((c - o) / edge).cast("int")  # noqa: B023, E731
+                whole = whole.withColumn(f"k{t}", F.explode(F.sequence(number(F.col(t) - distance), number(F.col(t) + distance))))
+
+        run = _decider(columns, edge, offset, distance, box)
+        found = whole.groupBy(*keys, *[f"k{t}" for t in T]).applyInPandas(run, schema).where("state >= 0")
+        # stayers that the last task saw are among the rows already
+        rows = cut(rows.where("state = 1").unionByName(found) if small else found)
+        turn += 1
+    kept = rows.alias("k")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (*keys, *T, "s")]
+    return peaks.alias("p").join(kept, same, "left_semi")
 
 
 def recursive_masking(scores: DataFrame, distance: int, n: int, low: float | None = None) -> DataFrame:

@@ -164,8 +164,24 @@ add(
 add("bucket_filter", lambda s, d: P.bucket_filter(_map2(s, d), 4), _m2 + ", lo AS (SELECT min(tx) AS ax, min(ty) AS ay FROM m2) SELECT tx, ty, tz, s FROM (SELECT m2.*, row_number() OVER (PARTITION BY (tx - ax) // 4, (ty - ay) // 4 ORDER BY s DESC, tx, ty, tz) AS k FROM m2, lo) WHERE k = 1")
 add("peak_clusters", lambda s, d: P.clusters(_map2k(s, d).select("tx", "ty", "tz", "s"), 4), _m2k + " SELECT tx, ty, tz, count(*) AS n, max(s) AS s FROM m2 GROUP BY ALL HAVING count(*) >= 4")
 add("score_to_target", lambda s, d: P.to_target(_map2(s, d), (25, 24, 1), (32, 27, 1), (-4, 5, 0)), _m2 + " SELECT * FROM (SELECT CAST((tx - 4 + 32) % 32 AS INT) AS tx, CAST((ty + 5) % 27 AS INT) AS ty, tz, s FROM m2) WHERE tx <= 24 AND ty <= 23")
-add("nms_greedy", lambda s, d: P.suppress(P.admissible(_map2(s, d), low=12.0), 4.0))
-add("recursive_masking", lambda s, d: P.recursive_masking(_map2(s, d), 3, 20, 10.0))
+
+
+def greedy_sql(source: str, close: str, limit: str = "") -> str:
+    """Peaks of ``source`` walked from the best down, each kept if no kept one is ``close`` (between p and k)."""
+    return (
+        f"ranked AS (SELECT *, row_number() OVER (ORDER BY s DESC, tx, ty, tz) AS n FROM ({source})), walk AS (SELECT 0::BIGINT AS n, []::STRUCT(x INT, y INT, z INT)[] AS kept UNION ALL SELECT p.n, "
+        f"CASE WHEN len(list_filter(w.kept, lambda k: {close})) > 0 THEN w.kept ELSE list_append(w.kept, {{'x': p.tx, 'y': p.ty, 'z': p.tz}}) END FROM walk w JOIN ranked p ON p.n = w.n + 1), "
+        f"stay AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)) SELECT tx, ty, tz, s FROM ranked JOIN stay ON tx = k.x AND ty = k.y AND tz = k.z {limit}"
+    )
+
+
+_ball = "(p.tx - k.x) ** 2 + (p.ty - k.y) ** 2 + (p.tz - k.z) ** 2 < {}"
+_cube = "greatest(abs(p.tx - k.x), abs(p.ty - k.y), abs(p.tz - k.z)) <= {}"
+_first = "ORDER BY s DESC, tx, ty, tz LIMIT {}"
+_m2r = _m2.replace("WITH ", "WITH RECURSIVE ", 1)
+add("nms_greedy", lambda s, d: P.suppress(P.admissible(_map2(s, d), low=12.0), 4.0), f"{_m2r}, {greedy_sql('SELECT * FROM m2 WHERE s >= 12', _ball.format(16))}")
+add("nms_greedy_by_tiles", lambda s, d: P.suppress(P.admissible(_map2(s, d), low=12.0), 2.0, together=0, tile=8), f"{_m2r}, {greedy_sql('SELECT * FROM m2 WHERE s >= 12', _ball.format(4))}")
+add("recursive_masking", lambda s, d: P.recursive_masking(_map2(s, d), 3, 20, 10.0), f"{_m2r}, {greedy_sql('SELECT * FROM m2 WHERE s >= 10', _cube.format(3), _first.format(20))}")
 add("oversample_peaks", lambda s, d: six(P.oversample_peaks(P.top(_map2(s, d), 5), _map2(s, d)), "fx", "fy", "fz", "fs"))
 
 def _by_sql(s, d):

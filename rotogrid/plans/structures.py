@@ -102,20 +102,20 @@ add("gro_roundtrip", _gro, f"{_at} SELECT (serial * 8 + part) % 100000 AS atom_s
 
 
 def _picks(s, d):
-    c = F.col
-    return t.table(s, d, "orientations").where("tomo_id is not null and x is not null and y is not null and z is not null and score is not null and not isnan(score) and abs(score) < 1e300").groupBy("tomo_id", "pick_id").agg(
-        *[F.first(n).alias(n) for n in ("x", "y", "z", "euler_x", "euler_y", "euler_z", "score")], F.coalesce(F.first("detail"), F.lit(-1.0)).alias("detail")
-    ).withColumn("path", c("tomo_id"))
+    """Every pick once, null and NaN cells included."""
+    names = ("x", "y", "z", "euler_x", "euler_y", "euler_z", "score", "detail")
+    picks = t.table(s, d, "orientations").select("tomo_id", "pick_id", *names).distinct()
+    return picks.withColumn("path", F.coalesce("tomo_id", F.lit("none")))
 
 
-_pk = "WITH p AS (SELECT DISTINCT tomo_id, pick_id, x, y, z, euler_x, euler_y, euler_z, score, coalesce(detail, -1.0) AS detail FROM orientations WHERE tomo_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND score IS NOT NULL AND isfinite(score))"
-_mine = "tomo_id AS path, x, y, z, euler_x, euler_y, euler_z, score"
+_blank = lambda c: f"CASE WHEN {c} = {c} AND NOT isnan({c}) THEN {c} END AS {c}"
+_mine = ("x", "y", "z", "euler_x", "euler_y", "euler_z", "score")
+_pk = f"WITH p AS (SELECT coalesce(tomo_id, 'none') AS path, {', '.join(map(_blank, (*_mine, 'detail')))} FROM (SELECT DISTINCT tomo_id, pick_id, {', '.join(_mine)}, detail FROM orientations))"
 
 
 def _written_picks(kind):
     def query(s, d):
         p = _picks(s, d)
-        p = p.where("pick_id is not null and euler_x is not null and euler_y is not null and euler_z is not null")
         text, header = {"text": (Pk.format_text, ["\t".join(Pk.COLUMNS)]), "star": (Pk.format_star, Pk.star_header()), "tbl": (Pk.format_dynamo, [])}[kind]
         rows = Pk.parse_picks(Pk.body_of(p, text(p), ("pick_id",), header), kind)
         return rows if kind != "tbl" else rows.drop("detail")
@@ -123,20 +123,63 @@ def _written_picks(kind):
     return query
 
 
-_whole = " FROM p WHERE pick_id IS NOT NULL AND euler_x IS NOT NULL AND euler_y IS NOT NULL AND euler_z IS NOT NULL"
-add("orientations_text", _written_picks("text"), f"{_pk} SELECT {_mine}, detail{_whole}")
-add("star_roundtrip", _written_picks("star"), f"{_pk} SELECT {_mine}, CASE WHEN isfinite(detail) THEN trunc(detail) ELSE -1.0 END AS detail{_whole}")
-add("dynamo_roundtrip", _written_picks("tbl"), f"{_pk} SELECT {_mine}{_whole}")
+add("orientations_text", _written_picks("text"), f"{_pk} SELECT path, {', '.join(_mine)}, detail FROM p")
+add("star_roundtrip", _written_picks("star"), f"{_pk} SELECT path, {', '.join(_mine)}, CASE WHEN isfinite(detail) THEN trunc(detail) ELSE -1.0 END AS detail FROM p")
+add("dynamo_roundtrip", _written_picks("tbl"), f"{_pk} SELECT path, {', '.join(_mine)} FROM p")
 
 
 def _mdoc(s, d):
     rows = t.table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 40).alias("path"), "o_orderkey", F.concat(F.lit("[ZValue = "), F.col("o_orderkey"), F.lit("]\nTiltAngle = "), F.col("o_totalprice"), F.lit("\nNote = a = b\n")).alias("t"))
     bodies = Pk.body_of(rows, F.col("t"), ("o_orderkey",), ["PixelSpacing = 1.5", "[T = made from orders]", ""])
-    return Tx.parse_cells(bodies, "mdoc").where("name <> 'Note'").select("path", "name", "row_no", F.col("value").cast("double").alias("number"))
+    return Tx.parse_cells(bodies, "mdoc").select("path", "name", "row_no", F.expr("try_cast(value as double)").alias("number"), F.when(F.col("name") == "Note", F.col("value")).alias("text"))
 
 
-add("mdoc_parse", _mdoc, "WITH o AS (SELECT 'c' || (o_custkey % 40) AS path, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS INT) AS row_no FROM orders) SELECT path, 'ZValue' AS name, row_no, CAST(o_orderkey AS DOUBLE) AS number FROM o UNION ALL SELECT path, 'TiltAngle', row_no, o_totalprice FROM o UNION ALL SELECT DISTINCT path, 'PixelSpacing', 0, 1.5 FROM o")
-add("xml_extract", lambda s, d: t.table(s, d, "ctf_docs").where("file_kind = 'xml' and body is not null").select("ctf_id", F.regexp_extract("body", "<Angles[^>]*>\\s*(-?[0-9.]+)", 1).alias("first_angle")), "SELECT ctf_id, regexp_extract(body, '<Angles[^>]*>\\s*(-?[0-9.]+)', 1) AS first_angle FROM ctf_docs WHERE file_kind = 'xml' AND body IS NOT NULL")
+add("mdoc_parse", _mdoc, """WITH o AS (SELECT 'c' || (o_custkey % 40) AS path, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS INT) AS row_no FROM orders)
+ SELECT path, 'ZValue' AS name, row_no, CAST(o_orderkey AS DOUBLE) AS number, NULL::VARCHAR AS text FROM o UNION ALL SELECT path, 'TiltAngle', row_no, o_totalprice, NULL FROM o UNION ALL SELECT path, 'Note', row_no, NULL, 'a = b' FROM o UNION ALL SELECT DISTINCT path, 'PixelSpacing', 0, 1.5, NULL FROM o""")
+
+
+def _mdoc_tilts(s, d):
+    """Angles and doses of tilt series written as MDOC: one series for each customer, ordered by order."""
+    rows = t.table(s, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("path"), "o_orderkey", F.concat(F.lit("[ZValue = 0]\nTiltAngle = "), F.round(F.col("o_totalprice") / 5000 - 60, 2), F.lit("\nExposureDose = "), F.col("o_orderkey") % 7, F.lit("\nDefocus = -"), F.col("o_orderkey") % 9, F.lit("\n")).alias("t"))
+    return Pk.body_of(rows, F.col("t"), ("o_orderkey",), ["PixelSpacing = 1.5", ""])
+
+
+_mdoc_rows = "WITH o AS (SELECT 'c' || o_custkey AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS tilt, o_orderkey, round(o_totalprice / 5000 - 60, 2) AS angle FROM orders)"
+add("mdoc_tilts", lambda s, d: Tx.parse_table(_mdoc_tilts(s, d), "tilts", "mdoc").withColumn("angle", F.round("angle", 2)), f"{_mdoc_rows} SELECT path, tilt, angle, CAST(o_orderkey % 7 AS DOUBLE) AS weight FROM o")
+add("mdoc_ctf", lambda s, d: Tx.parse_table(_mdoc_tilts(s, d), "ctf", "mdoc").select("path", "tilt", "defocus_x"), f"{_mdoc_rows} SELECT path, tilt, 10000e0 * (o_orderkey % 9) AS defocus_x FROM o")
+
+
+def _table_texts(s, d, kind):
+    """Tilt and CTF tables of suppliers' parts, written as text, star or estimation output."""
+    rows = t.table(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("path"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"))
+    text = {
+        "text": F.concat_ws("\t", F.col("q") - 60, "d"), "star": F.concat_ws(" ", F.col("q") - 60, "d", F.lit("x")), "ctfstar": F.concat_ws(" ", F.col("q") * 100, F.col("q") * 90, "d"),
+        "ctffind": F.concat_ws(" ", F.lit("1.0"), F.col("q") * 100, F.col("q") * 90, "d", F.lit("0.0 0.5 8.0")),
+    }[kind]
+    header = {
+        "text": ["# tilts", "angles\tweights"], "star": ["data_tilts", "loop_", "_tilt_angle #1", "_exposure #2", "_other #3"], "ctfstar": ["data_ctf", "loop_", "_rlnDefocusU #1", "_rlnDefocusV #2", "_rlnDefocusAngle #3"],
+        "ctffind": ["# Pixel size: 1.35 Angstroms ; acceleration voltage: 300.0 keV ; spherical aberration: 2.70 mm ; amplitude contrast: 0.07"],
+    }[kind]
+    return Pk.body_of(rows, text, ("l_orderkey", "l_linenumber", "q", "d"), header)
+
+
+_li = "WITH o AS (SELECT 's' || l_suppkey AS path, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount) - 1 AS INT) AS tilt, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d FROM lineitem)"
+for _kind in ("text", "star"):
+    add(f"tilts_{_kind}", lambda s, d, k=_kind: Tx.parse_table(_table_texts(s, d, k), "tilts", k), f"{_li} SELECT path, tilt, q - 60 AS angle, d AS weight FROM o")
+add("ctf_star", lambda s, d: Tx.parse_table(_table_texts(s, d, "ctfstar"), "ctf", "star").select("path", "tilt", "defocus_x", "defocus_y", "astigmatism"), f"{_li} SELECT path, tilt, q * 100 AS defocus_x, q * 90 AS defocus_y, d AS astigmatism FROM o")
+add("ctf_ctffind", lambda s, d: Tx.parse_table(_table_texts(s, d, "ctffind"), "ctf", "ctffind").select("path", "tilt", "defocus_x", "defocus_y", "astigmatism", "voltage", "rate"), f"{_li} SELECT path, tilt, q * 100 AS defocus_x, q * 90 AS defocus_y, d AS astigmatism, 300e0 AS voltage, 1.35e0 AS rate FROM o")
+
+
+def _xml_files(s, d):
+    """Bodies that the nested flattening takes to be well formed have a tree; others give no rows."""
+    return t.table(s, d, "ctf_docs").where("file_kind = 'xml' and body is not null").select(F.col("ctf_id").cast("string").alias("path"), "body")
+
+
+add("xml_extract", lambda s, d: Tx.parse_cells(_xml_files(s, d), "xml").where("name in ('Angles', 'Dose', '@UnselectFilter') and section = 'TiltSeries'").select("path", "name", "row_no", "value"), """WITH d AS (SELECT CAST(ctf_id AS VARCHAR) AS path, regexp_replace(body, '<!--.*?-->', '', 'gs') AS body FROM ctf_docs WHERE file_kind = 'xml' AND regexp_matches(trim(body, chr(10) || chr(13) || ' '), '</TiltSeries\\s*>$')),
+ c AS (SELECT path, n AS name, string_split_regex(trim(regexp_extract(body, '<' || n || '[^>]*>([^<]*)</' || n || '>', 1), chr(10) || chr(13) || ' '), '\\s*\\n\\s*') AS cells FROM d, (SELECT unnest(['Angles', 'Dose']) AS n)),
+ f AS (SELECT path, name, CAST(generate_subscripts(cells, 1) - 1 AS INT) AS row_no, unnest(cells) AS v FROM c)
+ SELECT path, name, row_no, CASE WHEN regexp_matches(v, '^[+-]?[0-9]+$') THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(CAST(v AS DOUBLE) AS VARCHAR) END AS value FROM f WHERE v <> ''
+ UNION ALL SELECT path, '@UnselectFilter', 0, regexp_extract(body, '<TiltSeries[^>]*UnselectFilter\\s*=\\s*["'']([^"'']*)["'']', 1) FROM d WHERE regexp_matches(body, '<TiltSeries[^>]*UnselectFilter\\s*=')""")
 
 # rotations
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,12 @@ SCHEMA = "path string, " + ", ".join(f"{c} double" for c in COLUMNS)
 
 
 def _number(text: str | None) -> float | None:
+    """A cell as a number; null where it isn't one, NaN included. Infinite values stay."""
     try:
-        return float(text)
+        number = float(text)
     except (TypeError, ValueError):
         return None
+    return None if number != number else number
 
 
 def parse_text(body: str) -> list[dict]:
@@ -37,13 +40,15 @@ def parse_text(body: str) -> list[dict]:
     return [{c: r.get(c) if c in names else default.get(c) for c in COLUMNS} for r in rows]
 
 
-def parse_star(body: str) -> list[dict]:
+def parse_star(body: str, score: str = STAR["score"]) -> list[dict]:
+    """Angles and class are 0 where they have no column, the score (in the column named ``score``) is null."""
     sections = star_sections(body)
     table = sections.get("data_particles") or sections.get("data_") or next((s for s in sections.values() if STAR["x"] in s), None)
     if table is None or any(STAR[c] not in table for c in "xyz"):
         raise ValueError("a STAR pick list needs rlnCoordinateX, Y and Z")
-    n = len(table[STAR["x"]])
-    return [{c: _number(table[STAR[c]][i]) if STAR[c] in table else 0.0 for c in COLUMNS} for i in range(n)]
+    names = STAR | {"score": score}
+    blank = dict.fromkeys(COLUMNS, 0.0) | {"score": None}
+    return [{c: _number(table[names[c]][i]) if names[c] in table else blank[c] for c in COLUMNS} for i in range(len(table[STAR["x"]]))]
 
 
 def parse_dynamo(body: str) -> list[dict]:
@@ -62,11 +67,11 @@ def parse_dynamo(body: str) -> list[dict]:
 PARSERS = {"text": parse_text, "star": parse_star, "tbl": parse_dynamo}
 
 
-def parse_picks(files: DataFrame, kind: str) -> DataFrame:
-    """Picks of whole files (path, body) of kind text, star or tbl."""
+def parse_picks(files: DataFrame, kind: str, score: str | None = None) -> DataFrame:
+    """Picks of whole files (path, body) of kind text, star or tbl; ``score`` names the score's column in star files."""
     if kind not in PARSERS:
         raise ValueError(f"kinds are {', '.join(PARSERS)}")
-    parser = PARSERS[kind]
+    parser = PARSERS[kind] if kind != "star" or score is None else partial(parse_star, score=score)
     schema = pa.schema([("path", pa.string()), *[(c, pa.float64()) for c in COLUMNS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,13 +84,21 @@ def parse_picks(files: DataFrame, kind: str) -> DataFrame:
     return files.select("path", "body").mapInArrow(run, SCHEMA)
 
 
+def _cell(column: str, missing: str) -> Column:
+    """A number as text; null and NaN, which no reader tells apart, as the format's mark of missing values."""
+    c = F.col(column).cast("double")
+    return F.when(c.isNull() | F.isnan(c), F.lit(missing)).otherwise(c.cast("string"))
+
+
 def format_text(picks: DataFrame) -> Column:
-    return F.concat_ws("\t", *[F.col(c).cast("string") for c in COLUMNS])
+    """Tab-separated cells; missing values are empty."""
+    return F.concat_ws("\t", *[_cell(c, "") for c in COLUMNS])
 
 
 def format_star(picks: DataFrame, source: str | None = None) -> Column:
-    cells = [F.col(c).cast("string") for c in ("x", "y", "z", "euler_x", "euler_y", "euler_z")] + [F.coalesce(F.col("detail").try_cast("int"), F.lit(-1)).cast("string")]
-    return F.concat_ws("\t", *cells, *([F.lit(source)] if source else []), F.col("score").cast("string"))
+    """Missing values are ``.``, a missing class -1."""
+    cells = [_cell(c, ".") for c in ("x", "y", "z", "euler_x", "euler_y", "euler_z")] + [F.coalesce(F.col("detail").try_cast("int"), F.lit(-1)).cast("string")]
+    return F.concat_ws("\t", *cells, *([F.lit(source)] if source else []), _cell("score", "."))
 
 
 def star_header(source: bool = False, version: str | None = None) -> list[str]:
@@ -94,14 +107,15 @@ def star_header(source: bool = False, version: str | None = None) -> list[str]:
 
 
 def format_dynamo(picks: DataFrame, rate: float = 1.0, number: str = "pick_id", wedge: Sequence[float] = (-60, 60, -60, 60)) -> Column:
+    """Missing values are ``nan``."""
     cells: list[Column] = [F.lit("0")] * 38
-    cells[0] = F.col(number).cast("string")
+    cells[0] = F.coalesce(F.col(number).cast("string"), F.lit("0"))
     cells[1] = cells[2] = F.lit("1")
     cells[12] = F.lit("1")
     for k, w in zip((13, 14, 15, 16), wedge):
         cells[k] = F.lit(str(w))
     for c, k in DYNAMO.items():
-        cells[k - 1] = F.col(c).cast("string")
+        cells[k - 1] = _cell(c, "nan")
     cells[35] = F.lit(str(rate))
     return F.concat_ws(" ", *cells)
 

@@ -182,8 +182,31 @@ def parse_table(files: DataFrame, table: str, kind: str) -> DataFrame:
     return files.select("path", "body").mapInArrow(run, columns)
 
 
+def xml_cells(body: str) -> dict[str, dict[str, list]]:
+    """The values of an XML tree by the path of their element: attributes under ``@`` and their name, texts under the tag, in
+    document order; nothing for a body that isn't well formed."""
+    try:
+        tree = xml_tree(body)
+    except ElementTree.ParseError:
+        return {}
+    out: dict[str, dict[str, list]] = {}
+    todo: list[tuple[str, str, object]] = [("", tag, node) for tag, node in tree.items()]
+    while todo:
+        path, tag, node = todo.pop()
+        here = f"{path}/{tag}" if path else tag
+        if isinstance(node, list):
+            todo += [(path, tag, x) for x in reversed(node)]
+        elif not isinstance(node, dict):
+            out.setdefault(path, {}).setdefault(tag, []).append(node)
+        else:
+            for k, v in node.get("@attributes", {}).items():
+                out.setdefault(here, {}).setdefault(f"@{k}", []).append(v)
+            todo += [(here, k, x) for k, x in reversed(node.items()) if k != "@attributes"]
+    return out
+
+
 def parse_cells(files: DataFrame, kind: str) -> DataFrame:
-    """(path, section, name, row_no, value) of every cell of star or mdoc files: a table for any columns."""
+    """(path, section, name, row_no, value) of every cell of star, mdoc or xml files: a table for any columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("section", pa.string()), ("name", pa.string()), ("row_no", pa.int32()), ("value", pa.string())])
@@ -191,6 +214,8 @@ def parse_cells(files: DataFrame, kind: str) -> DataFrame:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if kind == "star":
                     tables = star_sections(body or "")
+                elif kind == "xml":
+                    tables = xml_cells(body or "")
                 else:
                     settings, columns, _ = mdoc(body or "")
                     tables = {"": {k: [v] for k, v in settings.items()}, "ZValue": columns}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MRC_MODES = {0: "i1", 1: "i2", 2: "f4", 4: "c8", 6: "u2", 12: "f2"}
 EM_TYPES = {1: "i1", 2: "i2", 4: "i4", 5: "f4", 8: "c8", 9: "f8"}
 SCHEMA = "path string, shape array<int>, origin array<double>, rate array<double>, low double, high double, mean double, block_id string, start array<int>, block_shape array<int>, data binary"
+TYPES = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
 
 
 def is_gzipped(content: bytes) -> bool:
@@ -105,8 +106,9 @@ def validate_subset(bounds: Sequence[tuple[int, int]], shape: Sequence[int]) ->
             raise ValueError(f"{(a, b)} isn't within an axis of {n}")
 
 
-def read_volumes(spark: SparkSession, path: str, edge: int = 128, subset: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+def read_volumes(spark: SparkSession, path: str, edge: int = 128, subset: Sequence[tuple[int, int]] | None = None, errors: bool = False) -> DataFrame:
     """Every volume under a path in blocks of ``edge`` (columns ``SCHEMA``), with header and statistics; ``subset`` reads a box.
+    With ``errors`` a file that can't be read gives one row whose ``block_id`` is the reason and whose data are null.
 
     A file is one row of the binary source and so limited to 2 GB; blocks of one are emitted one at a time.
     Volumes are best written to Parquet once: block_id and start then prune what a query reads.
@@ -115,7 +117,14 @@ def read_volumes(spark: SparkSession, path: str, edge: int = 128, subset: Sequen
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, origin, rate = read(content, name)
+                try:
+                    data, origin, rate = read(content, name)
+                except (ValueError, NotImplementedError, OSError, EOFError, struct.error) as e:
+                    if not errors:
+                        raise
+                    schema = pa.schema([(c.split()[0], t) for c, t in zip(SCHEMA.split(", "), TYPES)])
+                    yield pa.RecordBatch.from_pylist([{"path": name, "block_id": f"error: {e}"}], schema)
+                    continue
                 low = [0] * data.ndim
                 if subset is not None:
                     validate_subset(subset, data.shape)
@@ -126,18 +135,21 @@ def read_volumes(spark: SparkSession, path: str, edge: int = 128, subset: Sequen
                 for k in np.ndindex(*[-(-n // edge) for n in data.shape]):
                     part = real[tuple(slice(i * edge, (i + 1) * edge) for i in k)]
                     rows = [[h] for h in (*head, "_".join(map(str, k)), [i * edge for i in k], list(part.shape), np.ascontiguousarray(part).tobytes())]
-                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, TYPES)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def write_volume(blocks: DataFrame, path: str, shape: Sequence[int], origin: Sequence[float] = (0, 0, 0), rate: Sequence[float] = (1, 1, 1)) -> None:
-    """Put blocks (start, block_shape, data) together into one MRC or EM file by suffix. One file is written by the driver,
-    block by block; whole collections are best kept as Parquet."""
+    """Put blocks (start, block_shape, data) together into one MRC or EM file by suffix, by the file system of the path. One file
+    is put together by the driver, block by block; whole collections are best kept as Parquet."""
+    from rotogrid.sources.files import write_parts
+
     out = np.zeros(tuple(shape), np.float32)
     for row in blocks.select("start", "block_shape", "data").toLocalIterator():
-        part = np.frombuffer(row.data).reshape(row.block_shape)
+        n = int(np.prod(row.block_shape))
+        part = np.frombuffer(row.data, f"f{len(row.data) // max(n, 1) or 8}").reshape(row.block_shape)
         out[tuple(slice(s, s + n) for s, n in zip(row.start, row.block_shape))] = part
     compress = path.endswith(".gz")
     name = path.removesuffix(".gz")
-    Path(path).write_bytes(write_em(out, rate[0], compress) if name.endswith(".em") else write_mrc(out, origin, rate, compress))
+    write_parts(blocks.sparkSession, path, [write_em(out, rate[0], compress) if name.endswith(".em") else write_mrc(out, origin, rate, compress)])

@@ -7,6 +7,8 @@ from itertools import product
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from rotogrid.functions import lattice as L
 from rotogrid.operators import aggregate as A
 from rotogrid.operators import dense as D
@@ -134,8 +136,61 @@ def test_suppression_equals_the_greedy_loop(spark, distance, box):
 
 
 def test_suppression_of_a_chain(spark):
-    data = [(i, 0, 0, float(100 - i)) for i in range(60)]
-    assert {r.tx for r in P.suppress(spark.createDataFrame(data, MAP), 1.5).collect()} == set(range(0, 60, 2))
+    for n, options in ((3000, {}), (300, {"together": 0, "tile": 64})):
+        data = [(i, 0, 0, float(n - i)) for i in range(n)]
+        assert {r.tx for r in P.suppress(spark.createDataFrame(data, MAP), 1.5, **options).collect()} == set(range(0, n, 2))
+
+
+def test_suppression_by_tiles_equals_one_task(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(x), int(y), int(z), float(s), int(k)) for x, y, z, s, k in zip(*rng.integers(-20, 20, (3, 900)), rng.integers(0, 40, 900), rng.integers(0, 2, 900))]
+    df = spark.createDataFrame(data, MAP + ", r int").withColumn("r", F.when(F.col("r") == 1, 1))  # a null key
+    for box in (False, True):
+        a = {tuple(r) for r in P.suppress(df, 3.0, ("r",), box).collect()}
+        assert a == {tuple(r) for r in P.suppress(df, 3.0, ("r",), box, together=0, tile=8).collect()} == {tuple(r) for r in P.suppress(df, 3.0, ("r",), box, together=60, tile=8).collect()}
+
+
+def test_dense_scores_do_not_depend_on_scale_or_offset():
+    rng = np.random.default_rng(0)
+    target, g = rng.random((14, 12, 10)), rng.random((5, 5, 5))
+    m = np.ones_like(g)
+    rotations = [np.eye(3)]
+    for name in D.DENSE:
+        whole = next(D.fft_scores(target, g, m, rotations, name))
+        core = next(D.fft_scores(target, g, m, rotations, name, halo=2))
+        inner = (slice(2, -2),) * 3
+        for precision, close in ((np.float64, 1e-9), (np.float32, 2e-4)):
+            for scale in (1e-6, 1.0, 1e6):
+                factor = scale if name in ("CC", "LCC") else 1.0
+                other = next(D.fft_scores(target * scale, g, m, rotations, name, precision=precision)) / factor
+                assert np.abs(other - whole).max() <= close * np.abs(whole).max(), (name, precision, scale)
+        if name in ("FLC", "FLCSphericalMask", "MCC", "batchFLC", "batchFLCSpherical"):
+            moved = next(D.fft_scores(target + 1e4, g, m, rotations, name, precision=np.float32))
+            assert np.abs(moved - whole)[inner].max() < 1e-3, name
+            assert np.abs(core - whole[inner]).max() < 1e-6 or name == "MCC"
+    with pytest.raises(ValueError):
+        next(D.fft_scores(target, g, m, rotations, "nonsense"))
+
+
+def test_retiled_blocks(spark):
+    a = np.random.default_rng(4).random((11, 7, 9))
+    rows = [(f"{k}", [i * 4 for i in k], list(p.shape), [11, 7, 9], bytearray(np.ascontiguousarray(p).tobytes())) for k in np.ndindex(3, 2, 3) for p in [a[tuple(slice(i * 4, i * 4 + 4) for i in k)]]]
+    stored = spark.createDataFrame([("v", *r) for r in rows], "path string, block_id string, start array<int>, shape array<int>, volume array<int>, data binary")
+    for wrap in (0, 1):
+        padded = np.pad(a, 2)
+        if wrap:
+            for axis in range(3):
+                inner = [slice(2, -2)] * 3
+                low, high = list(inner), list(inner)
+                low[axis], high[axis] = slice(1, 2), slice(padded.shape[axis] - 2, padded.shape[axis] - 1)
+                padded[tuple(low)], padded[tuple(high)] = np.take(a, [-1], axis), np.take(a, [0], axis)
+        got = G.retile(stored, 5, 2, ("path",), wrap).collect()
+        assert len(got) == 3 * 2 * 2
+        for r in got:
+            whole = np.pad(padded, [(0, 30)] * 3)
+            assert np.array_equal(D.cells(r.asDict()), whole[tuple(slice(s + 2, s + 2 + n) for s, n in zip(r.start, r.shape))])
+            assert r.low == [0, 0, 0] and r.high == [10, 6, 8] and r.path == "v"
+
 
 
 @pytest.mark.parametrize("edge", [1, 2, 3, 4])

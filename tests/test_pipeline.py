@@ -52,8 +52,34 @@ def test_rotated_template_is_found(spark, tmp_path):
     row = best.orderBy(best.s.desc()).first()
     assert (row.tx, row.ty, row.tz) in ((10, 12, 9), (28, 20, 21)) and row.r == 0
     assert pipeline.rotation_set(180).shape == (1, 3, 3) and len(pipeline.rotation_set(30, cone=20)) > 10
+    (tmp_path / "tbad.mrc").write_bytes(b"no volume")
     folder = pipeline.match_folder(spark, str(tmp_path / "t*.mrc"), template, str(tmp_path / "all"), sampling=180)
-    assert set(folder) == {"target", "template"} and not folder["target"].startswith("error")
+    assert set(folder) == {"target", "template", "tbad"} and folder["tbad"].startswith("error")
+    alone = pipeline.match(spark, target, template, sampling=180)
+    scores, meta = pipeline.load_scores(spark, folder["target"])
+    assert meta["shape"] == [40, 36, 30]
+    close = {tuple(r)[:3]: r.s for r in scores.collect()}
+    assert all(abs(close[tuple(r)[:3]] - r.s) < 1e-4 for r in alone.collect()) and len(close) == 40 * 36 * 30
+
+
+def test_any_score_with_filters_and_seeds(spark, tmp_path):
+    target, template = scene(tmp_path)
+    tilts = [{"tilt": i, "angle": float(a), "weight": 1.0} for i, a in enumerate(range(-60, 61, 3))]
+    for score in ("CC", "LCC", "CORR", "CAM", "FLC", "FLCSphericalMask", "MCC"):
+        best = pipeline.match(spark, target, template, sampling=180, edge=24, score=score, threshold=-1e9)
+        row = best.where("tx between 4 and 35 and ty between 4 and 31 and tz between 4 and 25").orderBy(best.s.desc()).first()
+        assert (row.tx, row.ty, row.tz) in ((10, 12, 9), (28, 20, 21)), score
+    filtered = pipeline.match(spark, target, template, sampling=180, score="FLC", tilts=tilts, lowpass=2.0, target_highpass=30.0, target_lowpass=2.0)
+    assert tuple(filtered.orderBy(filtered.s.desc()).first())[:3] in ((10, 12, 9), (28, 20, 21))
+    (tmp_path / "seeds.txt").write_text("x\ty\tz\teuler_x\teuler_y\teuler_z\n27\t21\t20\t0\t0\t0\n")
+    seeds = pipeline.read_seeds(spark, str(tmp_path / "seeds.txt"))
+    near = pipeline.match(spark, target, template, sampling=180, seeds=seeds, radius=3.0, cone=10.0, edge=16).collect()
+    assert {(r.tx, r.ty, r.tz) for r in near} == {(x, y, z) for x in range(40) for y in range(36) for z in range(30) if (x - 27) ** 2 + (y - 21) ** 2 + (z - 20) ** 2 <= 9}
+    assert tuple(max(near, key=lambda r: r.s))[:3] == (28, 20, 21)
+    turned = np.array([[[1, 0, 0], [0, 0, -1], [0, 1, 0]]], float)
+    assert pipeline.match(spark, target, template, rotations=turned, seeds=seeds, radius=3.0, cone=10.0, edge=16).count() == 0
+    with pytest.raises(ValueError):
+        pipeline.match(spark, target, template, sampling=180, score="none", edge=16)
 
 
 def test_command_line(tmp_path, capsys):

@@ -85,7 +85,7 @@ def test_serials_and_bad_cells(spark):
 def test_star_mdoc_xml():
     star = "# v\ndata_particles\nloop_\n_rlnCoordinateX #1\n_rlnCoordinateY #2\n_rlnCoordinateZ #3\n1 2 3\n4 5 6\ndata_other\n_key value\n"
     assert Tx.star_sections(star) == {"data_particles": {"rlnCoordinateX": ["1", "4"], "rlnCoordinateY": ["2", "5"], "rlnCoordinateZ": ["3", "6"]}, "data_other": {"key": ["value"]}}
-    assert [r["x"] for r in Pk.parse_star(star)] == [1.0, 4.0] and Pk.parse_star(star)[0]["score"] == 0.0
+    assert [r["x"] for r in Pk.parse_star(star)] == [1.0, 4.0] and Pk.parse_star(star)[0]["score"] is None and Pk.parse_star(star, "rlnCoordinateZ")[1]["score"] == 6.0
     with pytest.raises(ValueError):
         Pk.parse_star("data_\nloop_\n_a\n1\n")
     settings, columns, comments = Tx.mdoc("PixelSpacing = 2.5\n[T = made]\n[ZValue = 0]\nTiltAngle = -60\nExposureDose = 2\n[ZValue = 1]\nTiltAngle = -57.5\nExposureDose = 2\nDefocus = -3\n")
