@@ -62,6 +62,16 @@ def euler_of_columns(m: list[Column]) -> list[Column]:
     return [F.degrees(F.atan2(m[7], -m[6])), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[8])))), F.degrees(F.atan2(m[5], m[2]))]
 
 
+def vector_to_matrix(vector) -> np.ndarray:
+    """The rotation about a vector by its length in radians."""
+    angle = float(np.linalg.norm(vector))
+    if angle == 0:
+        return np.eye(3)
+    x, y, z = np.asarray(vector, float) / angle
+    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + math.sin(angle) * k + (1 - math.cos(angle)) * k @ k
+
+
 def align_vectors(base, target=(0, 0, 1)) -> np.ndarray:
     """The smallest rotation that takes ``base`` to ``target``."""
     a, b = (np.asarray(v, float) / np.linalg.norm(v) for v in (base, target))

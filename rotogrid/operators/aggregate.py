@@ -58,6 +58,14 @@ def best_over_translations(scores: DataFrame, keep: Sequence[str] = ()) -> DataF
     return scores.groupBy("r", *keep).agg(F.max("s").alias("s"))
 
 
+def merge_translations(*states: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Merge partial maxima over translations, such as those of tiles."""
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out.groupBy("r", *keep).agg(F.max("s").alias("s"))
+
+
 def merge_best(*states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Merge partial best maps, such as those of tiles."""
     out = states[0]
@@ -91,10 +99,11 @@ def constrained(scores: DataFrame, seeds: DataFrame, rotations: Sequence[tuple],
 
 def stats(voxels: DataFrame, cells: int | None = None) -> DataFrame:
     """Mean, population deviation, minimum and maximum; over all ``cells`` of the volume if given, absent ones as 0."""
-    n = F.count(F.lit(1)) if cells is None else F.lit(cells)
-    mean = F.sum("v") / n
     extreme = (F.min("v"), F.max("v")) if cells is None else (F.when(F.count(F.lit(1)) < cells, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")), F.when(F.count(F.lit(1)) < cells, F.greatest(F.max("v"), F.lit(0.0))).otherwise(F.max("v")))
-    return voxels.agg(F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.sum(F.col("v") ** 2) / n - mean**2), 6).alias("std"), extreme[0].alias("min"), extreme[1].alias("max"))
+    share = F.lit(1.0) if cells is None else F.count("v") / F.lit(cells)
+    # absent cells are 0: their part of the variance is that of two groups with means apart
+    variance = share * F.var_pop("v") + share * (1 - share) * F.avg("v") ** 2
+    return voxels.agg((share * F.avg("v")).alias("mean"), F.sqrt(variance).alias("std"), extreme[0].alias("min"), extreme[1].alias("max"))
 
 
 def center_of_mass(voxels: DataFrame, cutoff: float | None = None, squared: bool = False, keys: Sequence[str] = ()) -> DataFrame:
@@ -105,11 +114,12 @@ def center_of_mass(voxels: DataFrame, cutoff: float | None = None, squared: bool
 
 
 def covariance(voxels: DataFrame) -> DataFrame:
-    """Weighted covariance of positions (six entries): one aggregation of raw moments."""
-    w = F.sum("v")
-    mean = {a: F.sum(F.col("v") * F.col(a)) / w for a in AXES}
+    """Weighted covariance of positions (six entries), about the centre of mass."""
+    center = voxels.agg(F.struct(*[(F.sum(F.col("v") * F.col(a)) / F.sum("v")).alias(a) for a in AXES]).alias("m")).scalar()
+    rows = voxels.withColumn("__m", center)
+    d = {a: F.col(a) - F.col("__m").getField(a) for a in AXES}
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    return voxels.agg(*[F.round(F.sum(F.col("v") * F.col(a) * F.col(b)) / w - mean[a] * mean[b], 6).alias(f"c{a}{b}") for a, b in pairs])
+    return rows.agg(*[(F.sum(F.col("v") * d[a] * d[b]) / F.sum("v")).alias(f"c{a}{b}") for a, b in pairs])
 
 
 def principal_rotation(voxels: DataFrame, axis: int = 2, flip: bool = False, eigenvector: int = 0) -> np.ndarray:
@@ -126,7 +136,7 @@ def principal_rotation(voxels: DataFrame, axis: int = 2, flip: bool = False, eig
 def radial_bins(voxels: DataFrame, center: Sequence[float], width: float = 1.0) -> DataFrame:
     """Mean power in shells about a centre."""
     d = F.sqrt(sum((F.col(a) - c) ** 2 for a, c in zip(AXES, center)))
-    return voxels.groupBy(F.floor(d / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("v") ** 2), 6).alias("power"))
+    return voxels.groupBy(F.floor(d / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("v") ** 2).alias("power"))
 
 
 def best_by_label(rows: DataFrame, label: str, score: str, order: str) -> DataFrame:
@@ -145,4 +155,4 @@ def mutual_information(pairs: DataFrame, a: Column, b: Column, bins: int, low: f
     total = F.sum("n").over(Window.partitionBy())  # over at most bins**2 rows
     p, pi, pj = F.col("n") / total, F.sum("n").over(Window.partitionBy("i")) / total, F.sum("n").over(Window.partitionBy("j")) / total
     ratio = p / (pi * pj)
-    return cells.select((p * (F.log(ratio) if log else ratio)).alias("t")).agg(F.round(F.sum("t"), 6).alias("information"))
+    return cells.select((p * (F.log(ratio) if log else ratio)).alias("t")).agg(F.sum("t").alias("information"))

@@ -103,6 +103,18 @@ def roll(voxels: DataFrame, shift: Sequence[int], shape: Sequence[int]) -> DataF
     return voxels.select(*[F.pmod(F.col(a) + s, F.lit(n)).cast("int").alias(a) for a, s, n in zip(AXES, shift, shape)], "v")
 
 
+def rot90(voxels: DataFrame, bounds: Bounds, times: int = 1, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Quarter turns in the plane of two axes, the first towards the second; the box turns with its voxels and begins where it did."""
+    a, b = axes
+    (la, ha), (lb, hb) = (bounds[AXES.index(c)] for c in axes)
+    out = voxels
+    for _ in range(times % 4):
+        # (a, b) -> (size of b - 1 - b, a)
+        out = out.withColumns({a: (F.lit(hb) - F.col(b) + la).cast("int"), b: (F.col(a) - la + lb).cast("int")})
+        (la, ha), (lb, hb) = (la, la + hb - lb), (lb, lb + ha - la)
+    return out
+
+
 def bin_voxels(voxels: DataFrame, factor: int) -> DataFrame:
     """Coarser voxels as sums over cubes of ``factor``."""
     return voxels.groupBy(*[F.floor(F.col(a) / factor).cast("int").alias(a) for a in AXES]).agg(F.sum("v").alias("v"))
@@ -162,17 +174,20 @@ def to_blocks(voxels: DataFrame, edge: int, halo: int = 0, origin: Sequence[int]
     return assign_tiles(voxels, (edge,) * 3, (halo,) * 3, origin).groupBy(*keys, "tile_x", "tile_y", "tile_z").applyInPandas(build, schema)
 
 
-def from_blocks(blocks: DataFrame) -> DataFrame:
-    """The non-zero voxels of blocks without halo."""
+def from_blocks(blocks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The non-zero voxels of blocks without halo: keys, x, y, z, v."""
+    keys = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i, row in enumerate(batch.to_pylist()):
                 data = np.frombuffer(row["data"], f"f{len(row['data']) // max(math.prod(row['shape']), 1) or 8}").reshape(row["shape"]).astype(float)
                 at = np.nonzero(data)
-                yield pa.RecordBatch.from_arrays([*[pa.array((i + s).astype(np.int32)) for i, s in zip(at, row["start"])], pa.array(data[at])], names=[*AXES, "v"])
+                own = [batch.column(k).take(pa.array(np.full(len(at[0]), i))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array((i + s).astype(np.int32)) for i, s in zip(at, row["start"])], pa.array(data[at])], names=[*keys, *AXES, "v"])
 
-    return blocks.mapInArrow(run, "x int, y int, z int, v double")
+    kinds = [f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys]
+    return blocks.mapInArrow(run, ", ".join([*kinds, "x int, y int, z int, v double"]))
 
 
 def wrap_faces(voxels: DataFrame, bounds: Bounds, width: int = 1) -> DataFrame:
@@ -254,16 +269,19 @@ def retile(blocks: DataFrame, edge: int, halo: int, keys: Sequence[str] = (), wr
     return slabs.repartition(*keys, "tile").sortWithinPartitions(*keys, "tile").mapInArrow(build, schema)
 
 
-#: Points that may end a diameter at most, beyond which :func:`diameter` gives up.
+#: Points that may end a diameter and are compared on the driver; more are compared by pairs of cells.
 MOST_ENDS = 50_000
+#: Cells of the grid of ends along the diameter found so far.
+END_CELLS = 12
 
 
 def diameter(points: DataFrame, most: int = MOST_ENDS) -> tuple[float, tuple, tuple] | None:
     """The largest distance between two points and its ends, exactly and without forming all pairs; None for no point.
 
     Walking from farthest point to farthest point gives a lower bound L. With R the largest distance from a centre, a
-    point nearer to it than L - R can't be an end; the others are compared block by block on the driver. More than
-    ``most`` of them (a cloud like a sphere's surface) raise ValueError.
+    point nearer to it than L - R can't be an end. Up to ``most`` others are compared block by block on the driver; more (a
+    cloud like a sphere's surface) are put into cells of L / ``END_CELLS``, of which the driver sees the numbers, and only points of
+    cells that lie as far apart as L meet, a pair of cells at a time.
     """
     xyz = points.select(*AXES).distinct()
     middle = xyz.agg(*[((F.min(a) + F.max(a)) / 2).alias(a) for a in AXES]).first()
@@ -277,16 +295,18 @@ def diameter(points: DataFrame, most: int = MOST_ENDS) -> tuple[float, tuple, tu
         return xyz.agg(F.max(F.struct(distance(p).alias("d"), *AXES)).alias("m")).first().m
 
     radius = farthest(middle).d
-    at, low = farthest(middle), 0.0
+    at, low, ends = farthest(middle), 0.0, None
     for _ in range(4):
         other = farthest((at.x, at.y, at.z))
+        if ends is None or other.d > low:
+            ends = ((at.x, at.y, at.z), (other.x, other.y, other.z))
         if other.d <= low:
             break
         low, at = other.d, other
-    ends = xyz.where(distance(middle) >= low - radius - 1e-9)
-    rows = ends.limit(most + 1).toPandas().to_numpy(float)
+    left = xyz.where(distance(middle) >= low - radius - 1e-9)
+    rows = left.limit(most + 1).toPandas().to_numpy(float)
     if len(rows) > most:
-        raise ValueError(f"more than {most} points may end the diameter")
+        return _by_cells(left, low, ends)
     rows = rows[np.lexsort(rows.T[::-1])]
     best = (0.0, tuple(rows[0]), tuple(rows[0]))
     for k in range(0, len(rows), 256):
@@ -297,6 +317,41 @@ def diameter(points: DataFrame, most: int = MOST_ENDS) -> tuple[float, tuple, tu
     return best
 
 
+def _by_cells(points: DataFrame, low: float, ends: tuple) -> tuple[float, tuple, tuple]:
+    """The farthest pair of points at least ``low`` apart, ``ends`` being such a pair."""
+    edge = low / END_CELLS if low > 0 else 1.0
+    celled = points.select(*AXES, *[F.floor(F.col(a) / edge).alias(f"c{a}") for a in AXES])
+    cells = np.array(sorted(tuple(r) for r in celled.select("cx", "cy", "cz").distinct().collect()), np.int64)  # a few thousand for any cloud
+    found = []
+    for i in range(len(cells)):
+        # the farthest that points of two cells can be apart
+        reach = np.sqrt(((np.abs(cells[i:] - cells[i]) + 1) ** 2).sum(1)) * edge
+        found += [(i, int(j) + i) for j in np.flatnonzero(reach >= low - 1e-9)]
+    spark = points.sparkSession
+    number = spark.createDataFrame([(*map(int, c), i) for i, c in enumerate(cells)], "cx bigint, cy bigint, cz bigint, cell int")
+    pairs = spark.createDataFrame([(k, i, j) for k, (i, j) in enumerate(found)], "pair int, a int, b int")
+    own = celled.join(number, ["cx", "cy", "cz"]).select("cell", *AXES)
+    sides = [own.join(pairs.select("pair", F.col(c).alias("cell")), "cell").select("pair", F.lit(c).alias("side"), *AXES) for c in ("a", "b")]
+
+    def run(pdf):
+        import pandas as pd
+
+        a, b = (pdf.loc[pdf["side"] == c, list(AXES)].to_numpy(float) for c in ("a", "b"))
+        best = (-1.0, 0, 0)
+        for k in range(0, len(a), 1024):
+            d = np.sqrt(((a[k : k + 1024, None] - b[None]) ** 2).sum(-1))
+            i, j = np.unravel_index(d.argmax(), d.shape)
+            if d[i, j] > best[0]:
+                best = (float(d[i, j]), k + i, j)
+        return pd.DataFrame([(best[0], *a[best[1]], *b[best[2]])], columns=["d", "ax", "ay", "az", "bx", "by", "bz"])
+
+    far = sides[0].unionByName(sides[1]).groupBy("pair").applyInPandas(run, "d double, ax double, ay double, az double, bx double, by double, bz double")
+    top = far.agg(F.max(F.struct("d", "ax", "ay", "az", "bx", "by", "bz")).alias("m")).first().m
+    if top is None or top.d < low:
+        return low, *ends
+    return top.d, (top.ax, top.ay, top.az), (top.bx, top.by, top.bz)
+
+
 def least_deviations(points: np.ndarray) -> np.ndarray:
     """Matrix of min over axes of the absolute differences of all pairs of a small set of points."""
     points = np.asarray(points, float)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import product
 from operator import add
 
@@ -90,18 +90,19 @@ TOGETHER = 200_000
 TILE = 64
 
 
-def decide(at: np.ndarray, score: np.ndarray, state: np.ndarray, whole: np.ndarray, distance: float, box: bool) -> np.ndarray:
+def decide(at: np.ndarray, score: np.ndarray, state: np.ndarray, whole: np.ndarray, distance: float, box: bool, turn: np.ndarray | None = None, shapes: Mapping[int, frozenset] | None = None) -> np.ndarray:
     """States (1 stays, -1 goes, 0 can't be told here) of peaks, walked from the best score down, of equal ones by position.
 
     ``whole``: all neighbours of the peak are here. A peak goes if a better one that stays is close, stays if every close
-    better one goes, and is left open otherwise. Only peaks that stay or are open are looked up, by cells of the distance.
+    better one goes, and is left open otherwise. With ``shapes`` a peak is close to a better one if its offset from that is in
+    the shape of the better one's rotation ``turn``. Only peaks that stay or are open are looked up, by cells of the distance.
     """
     out = np.zeros(len(score), np.int8)
     size = max(float(distance), 1e-9)
     order = np.lexsort((*at.T[::-1], -score))
     home = np.floor(at / size).astype(np.int64)
     offsets = list(product((-1, 0, 1), repeat=at.shape[1]))
-    held: dict[tuple, list[tuple[tuple, bool]]] = {}
+    held: dict[tuple, list[tuple[tuple, bool, frozenset | None]]] = {}
     limit = distance if box else distance**2
     for i, p, cell in zip(order.tolist(), at[order].tolist(), map(tuple, home[order].tolist())):
         found = 1 if whole[i] else 0
@@ -109,8 +110,8 @@ def decide(at: np.ndarray, score: np.ndarray, state: np.ndarray, whole: np.ndarr
             found = 1
         else:
             for o in offsets:
-                for q, stays in held.get(tuple(map(add, cell, o)), ()):
-                    near = max(abs(x - y) for x, y in zip(p, q)) <= limit if box else sum((x - y) ** 2 for x, y in zip(p, q)) < limit
+                for q, stays, shape in held.get(tuple(map(add, cell, o)), ()):
+                    near = tuple(int(x - y) for x, y in zip(p, q)) in shape if shape is not None else max(abs(x - y) for x, y in zip(p, q)) <= limit if box else sum((x - y) ** 2 for x, y in zip(p, q)) < limit
                     if near:
                         found = -1 if stays else min(found, 0)
                         if stays:
@@ -119,11 +120,11 @@ def decide(at: np.ndarray, score: np.ndarray, state: np.ndarray, whole: np.ndarr
                     break
         out[i] = found
         if found >= 0:
-            held.setdefault(cell, []).append((p, found == 1))
+            held.setdefault(cell, []).append((p, found == 1, None if shapes is None else shapes[int(turn[i])]))
     return out
 
 
-def _decider(columns: Sequence[str], edge: float, offset: Sequence[float] | None, distance: float, box: bool):
+def _decider(columns: Sequence[str], edge: float, offset: Sequence[float] | None, distance: float, box: bool, shapes: Mapping[int, frozenset] | None):
     """Decides the peaks of a tile's core, or of all that is left if there is no grid; what stayed before is then not repeated."""
 
     def run(key, pdf):
@@ -132,15 +133,16 @@ def _decider(columns: Sequence[str], edge: float, offset: Sequence[float] | None
         if offset is not None:
             core = (np.floor((at - np.array(offset)) / edge) == np.array(key[-3:], float)).all(1)
         keep = core if offset is not None else state != 1
-        return pdf.assign(state=decide(at, pdf["s"].to_numpy(float), state, core, distance, box)).loc[keep, columns]
+        return pdf.assign(state=decide(at, pdf["s"].to_numpy(float), state, core, distance, box, pdf["r"].to_numpy() if shapes else None, shapes)).loc[keep, columns]
 
     return run
 
 
-def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: bool = False, together: int = TOGETHER, tile: int = TILE) -> DataFrame:
+def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: bool = False, together: int = TOGETHER, tile: int = TILE, shapes: Mapping[int, frozenset] | None = None) -> DataFrame:
     """Greedy suppression in score order: a peak stays if no staying better peak is closer than ``distance``.
 
     ``box``: the distance is the largest coordinate difference, inclusive, as when a box around each peak is emptied.
+    ``shapes``: offsets around a peak of each rotation ``r`` that it empties; the distance must reach all of them.
     Defined cases: of equal scores the lower position is better; a worse score at the same position goes, equal rows stay or
     go together; keys may be null; an empty table gives no rows.
 
@@ -151,7 +153,11 @@ def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: b
     decided, so every round makes progress, and none is given up. No pairs are made.
     """
     keys = list(keys)
-    rows = cut(peaks.groupBy(*keys, *T).agg(F.max("s").alias("s")).withColumn("state", F.lit(0).cast("tinyint")))
+    best = F.max("s").alias("s") if shapes is None else F.max_by(F.struct("s", "r"), F.struct("s", -F.col("r"))).alias("b")
+    rows = peaks.groupBy(*keys, *T).agg(best)
+    if shapes is not None:
+        rows = rows.select(*keys, *T, "b.s", "b.r")
+    rows = cut(rows.withColumn("state", F.lit(0).cast("tinyint")))
     edge = max(float(tile), 8.0 * distance)
     schema = rows.schema
     columns = rows.columns
@@ -179,7 +185,7 @@ def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: b
                 number = lambda c: F.floor((c - o) / edge).cast("int")  # noqa: B023, E731
                 whole = whole.withColumn(f"k{t}", F.explode(F.sequence(number(F.col(t) - distance), number(F.col(t) + distance))))
 
-        run = _decider(columns, edge, offset, distance, box)
+        run = _decider(columns, edge, offset, distance, box, shapes)
         found = whole.groupBy(*keys, *[f"k{t}" for t in T]).applyInPandas(run, schema).where("state >= 0")
         # stayers that the last task saw are among the rows already
         rows = cut(rows.where("state = 1").unionByName(found) if small else found)
@@ -189,9 +195,23 @@ def suppress(peaks: DataFrame, distance: float, keys: Sequence[str] = (), box: b
     return peaks.alias("p").join(kept, same, "left_semi")
 
 
-def recursive_masking(scores: DataFrame, distance: int, n: int, low: float | None = None) -> DataFrame:
-    """Peaks found by taking the maximum and emptying a box around it, again and again: suppression by boxes, best n."""
-    return top(suppress(admissible(scores, low=low), distance, box=True), n)
+def rotated_shapes(mask: np.ndarray, rotations: Sequence[np.ndarray]) -> dict[int, frozenset]:
+    """The offsets from the centre (size // 2) that a mask covers in each rotation, interpolated linearly, half or more."""
+    from rotogrid.operators.dense import rotate
+
+    middle = np.array(mask.shape) // 2
+    return {r: frozenset(tuple(int(c) for c in at - middle) for at in np.argwhere(rotate(np.asarray(mask, float), m, 1) >= 0.5)) for r, m in enumerate(rotations)}
+
+
+def recursive_masking(scores: DataFrame, distance: int, n: int, low: float | None = None, mask: np.ndarray | None = None, rotations: Sequence[np.ndarray] = ()) -> DataFrame:
+    """Peaks found by taking the maximum and emptying its surroundings, again and again, best n: a box of ``distance`` around it,
+    or the cells of ``mask`` turned by the peak's own rotation ``r`` of ``rotations``."""
+    rows = admissible(scores, low=low)
+    if mask is None:
+        return top(suppress(rows, distance, box=True), n)
+    shapes = rotated_shapes(mask, rotations)
+    reach = max((max(map(abs, o)) for shape in shapes.values() for o in shape), default=0)
+    return top(suppress(rows, max(reach, 1), box=True, shapes=shapes), n)
 
 
 def clusters(peaks: DataFrame, least: int = 8) -> DataFrame:

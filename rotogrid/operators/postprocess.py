@@ -31,7 +31,7 @@ def subtract_background(foreground: DataFrame, backgrounds: DataFrame) -> DataFr
 
 
 def entity_stats(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("entity").agg(F.round(F.avg("s"), 3).alias("mean"), F.round(F.stddev_pop("s"), 3).alias("std"), F.round(F.max("s"), 3).alias("most"))
+    return scores.groupBy("entity").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.max("s").alias("most"))
 
 
 def mask_scores(scores: DataFrame, mask: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -92,6 +92,14 @@ def rank_visible(picks: DataFrame, low: float, high: float) -> DataFrame:
     return picks.where(F.col("score").between(F.lit(a).cast("double"), F.lit(b).cast("double")))
 
 
+def peaks_to_volume(peaks: DataFrame, bounds) -> DataFrame:
+    """Stored peaks as a sparse volume: their best score at each position within the bounds."""
+    from rotogrid.operators.grid import inside
+
+    rows = peaks.where(inside(bounds, ("tx", "ty", "tz")) & F.col("s").isNotNull())
+    return rows.groupBy(F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z")).agg(F.max("s").alias("v"))
+
+
 def join_attributes(points: DataFrame, originals: DataFrame) -> DataFrame:
     """Points with the attributes of equal originals; missing angles are 0, missing scores 1."""
     joined = points.join(originals, list(AXES), "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rotogrid.functions.lattice import euler_to_matrix
 from rotogrid.operators.grid import AXES
+from rotogrid.session import cut
 
 
 def sample(voxels: DataFrame, poses: DataFrame, points: Sequence[tuple[int, int, int, float]]) -> DataFrame:
@@ -71,19 +72,38 @@ def envelope(voxels: DataFrame, poses: DataFrame, points, threshold: float) -> D
     return sample(voxels, poses, points).groupBy("pose_id").agg(F.sum(F.when(F.col("v") > threshold, 1.0).otherwise(-1.0)).alias("s"))
 
 
-def chamfer(points: DataFrame, others: DataFrame, reach: float) -> DataFrame:
-    """Mean distance of each set's points (set_id) to the nearest of the others, ``reach`` at most.
+def chamfer(points: DataFrame, others: DataFrame, reach: float, limit: float | None = None) -> DataFrame:
+    """Mean distance of each set's points (set_id) to the nearest of the others, exactly; with ``limit``, that at most.
 
-    Neighbours meet by cells of ``reach``; a point without one within it counts as ``reach``.
+    Neighbours meet by cells of ``reach``, which decides every point with one within it; the others' cells are doubled until
+    all are decided, so far points cost rounds, not pairs. Without any others there are no rows.
     """
-    cell = float(reach)
-    a = points.withColumn("__n", F.xxhash64("set_id", *AXES)).select("set_id", "__n", *AXES, *[F.floor(F.col(c) / cell).alias(f"c{c}") for c in AXES])
-    b = others.select(*[F.col(c).alias(f"o{c}") for c in AXES])
-    for c in AXES:
-        b = b.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"o{c}") / cell) - 1, F.floor(F.col(f"o{c}") / cell) + 1)))
+    size = float(reach)
+    left = cut(points.select("set_id", *AXES).withColumn("__n", F.monotonically_increasing_id()))
+    apart = cut(others.select(*[F.col(c).alias(f"o{c}") for c in AXES]).distinct())
+    if apart.isEmpty() and limit is None:
+        return points.sparkSession.createDataFrame([], f"set_id {points.schema['set_id'].dataType.simpleString()}, distance double, n bigint")
     d = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in AXES))
-    nearest = a.join(b, ["cx", "cy", "cz"], "left").groupBy("set_id", "__n").agg(F.least(F.coalesce(F.min(d), F.lit(reach)), F.lit(float(reach))).alias("d"))
-    return nearest.groupBy("set_id").agg(F.avg("d").alias("distance"), F.count(F.lit(1)).alias("n"))
+    parts = []
+    while True:
+        size = size if limit is None else min(size, float(limit))
+        a = left.withColumns({f"c{c}": F.floor(F.col(c) / size) for c in AXES})
+        b = apart
+        for c in AXES:
+            b = b.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"o{c}") / size) - 1, F.floor(F.col(f"o{c}") / size) + 1)))
+        nearest = cut(a.join(b, ["cx", "cy", "cz"]).groupBy("set_id", "__n").agg(F.min(d).alias("d")).where(F.col("d") <= size))
+        parts.append(nearest.select("set_id", "d"))
+        left = cut(left.join(nearest.select("__n"), "__n", "left_anti"))
+        if left.isEmpty():
+            break
+        if limit is not None and size >= limit:
+            parts.append(left.select("set_id", F.lit(float(limit)).alias("d")))
+            break
+        size *= 2
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy("set_id").agg(F.avg("d").alias("distance"), F.count(F.lit(1)).alias("n"))
 
 
 def normal_scores(points: DataFrame, normals: DataFrame) -> DataFrame:
@@ -119,8 +139,11 @@ def _value(score: str, values: np.ndarray, weights: np.ndarray) -> float:
     return product / size if size > 0 else 0.0
 
 
-def optimise(data: np.ndarray, points: np.ndarray, weights: np.ndarray, start: np.ndarray, score: str = "NormalizedCrossCorrelation", steps=(2.0, 2.0, 2.0, 10.0, 10.0, 10.0), tolerance: float = 0.01) -> tuple[np.ndarray, float]:
-    """Pattern search over (translation, zyz angles) about the points' mean, halving the steps; the start if nothing is better."""
+def optimise(data: np.ndarray, points: np.ndarray, weights: np.ndarray, start: np.ndarray, score: str = "NormalizedCrossCorrelation", steps=(2.0, 2.0, 2.0, 10.0, 10.0, 10.0), tolerance: float = 0.01, bounds: Sequence[tuple[float, float]] | None = None) -> tuple[np.ndarray, float]:
+    """Pattern search over (translation, zyz angles) about the points' mean, halving the steps; the start if nothing is better.
+    ``bounds``: least and largest value of each of the six, which the start must keep."""
+    if bounds is not None and not all(a <= v <= b for v, (a, b) in zip(start, bounds)):
+        raise ValueError("the start isn't within the bounds")
     center = points.mean(0)
 
     def at(x):
@@ -135,6 +158,8 @@ def optimise(data: np.ndarray, points: np.ndarray, weights: np.ndarray, start: n
             for sign in (1, -1):
                 y = x.copy()
                 y[i] += sign * steps[i]
+                if bounds is not None:
+                    y[i] = min(max(y[i], bounds[i][0]), bounds[i][1])
                 if (v := at(y)) > best + 1e-12:
                     x, best, better = y, v, True
         if not better:
@@ -145,8 +170,10 @@ def optimise(data: np.ndarray, points: np.ndarray, weights: np.ndarray, start: n
 def refine_patches(patches: DataFrame, points: Sequence[tuple[float, float, float, float]], score: str = "NormalizedCrossCorrelation") -> DataFrame:
     """Refine each pick within its own dense patch: pick_id, data (float64 bytes), shape -> shift, angles and score.
 
-    Patches are independent and of fixed size, so any number of picks spreads evenly.
+    Patches are independent and of fixed size, so any number of picks spreads evenly. A patch is small and its search is
+    long, so patches are spread over four times the cluster's tasks, whatever their bytes.
     """
+    patches = patches.repartition(4 * patches.sparkSession.sparkContext.defaultParallelism, "pick_id")
     array = np.array(points, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +223,46 @@ def gradient(data: np.ndarray, points: np.ndarray, weights: np.ndarray, normalis
     return (weights @ step) / (np.linalg.norm(weights) * size) - (weights @ values) * (values @ step) / (np.linalg.norm(weights) * size**3)
 
 
+def ascend(data: np.ndarray, points: np.ndarray, weights: np.ndarray, rounds: int = 100, normalised: bool = True, bounds: Sequence[tuple[float, float]] | None = None) -> tuple[np.ndarray, float]:
+    """Gradient ascent of the (normalised) cross-correlation: the shift, the rotation vector (degrees) and the score reached.
+
+    Each step goes along the derivative of shift and turn, both scaled to voxels at the points' mean radius, and is halved until the
+    score rises; it ends where no step of a thousandth of a voxel does. ``bounds`` of the six values stop single ones.
+    """
+    from rotogrid.functions.lattice import vector_to_matrix
+
+    name = "NormalizedCrossCorrelation" if normalised else "CrossCorrelation"
+    center = points.mean(0)
+    radius = max(1.0, float(np.sqrt(((points - center) ** 2).sum(1).mean())))
+    x = np.zeros(6)
+
+    def moved(v):
+        return (points - center) @ vector_to_matrix(np.radians(v[3:])).T + center + v[:3]
+
+    best = _value(name, interpolate(data, moved(x)), weights)
+    size = 1.0
+    for _ in range(rounds):
+        slope = gradient(data, moved(x), weights, normalised)
+        slope[3:] /= radius
+        norm = np.linalg.norm(slope)
+        if norm == 0:
+            break
+        while size > 1e-3:
+            step = slope / norm * size
+            y = x.copy()
+            y[:3] += step[:3]
+            y[3:] += np.degrees(step[3:] / radius)
+            if bounds is not None:
+                y = np.clip(y, [a for a, _ in bounds], [b for _, b in bounds])
+            if (v := _value(name, interpolate(data, moved(y)), weights)) > best + 1e-12:
+                x, best, size = y, v, min(1.0, size * 1.5)
+                break
+            size /= 2
+        else:
+            break
+    return x, best
+
+
 def local_score(data: np.ndarray, template: np.ndarray, mask: np.ndarray, at: Sequence[int]) -> float:
     """FLC of one placement: the template's index size // 2 lies on ``at``; beyond the volume is 0."""
     low = [p - n // 2 for p, n in zip(at, template.shape)]
@@ -236,3 +303,11 @@ def match_volumes(target: DataFrame, template: DataFrame, cutoff_target: float =
     start = np.concatenate([coarse, np.zeros(3)])
     x, best = optimise(data, xyz - low, w, start, score)
     return x, best
+
+
+def match_structure(target: DataFrame, atoms: DataFrame, elements: DataFrame, rate: float = 1.0, resolution: float | None = None, bounds=None, cutoff_target: float = 0.0, score: str = "NormalizedCrossCorrelation") -> tuple[np.ndarray, float]:
+    """Fit a structure into a volume: its atoms' weights (blurred to ``resolution`` if given) as a volume, then :func:`match_volumes`."""
+    from rotogrid.operators.atoms import gaussian_map, to_volume
+
+    made = to_volume(atoms, elements, (rate,) * 3) if resolution is None else gaussian_map(atoms, elements, resolution, rate, bounds)
+    return match_volumes(target, made, cutoff_target, 0.0, score)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotogrid.plans import further, ingest, matching, streams, structures, volumes
+from rotogrid.plans import further, ingest, matching, spectra, streams, structures, volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (ingest, matching, volumes, structures, further, streams):
+for _module in (ingest, matching, volumes, structures, further, spectra, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

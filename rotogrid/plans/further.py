@@ -44,28 +44,17 @@ def _map2(s, d):
 
 
 def _top_poses(s, d):
-    best = P.top(t.volume(s, d).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), F.col("v").alias("s")), 60)
+    """Every local maximum of the volume."""
+    best = P.maximum_filter(t.volume(s, d).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), F.col("v").alias("s")), 3, t.V3_BOUNDS)
     return best.select(F.expr("tx * 1000 + ty * 10 + tz").cast("bigint").alias("pose_id"), "tx", "ty", "tz")
 
 
 add("merge_peaks", lambda s, d: P.merge(_map2(s, d).where("tx <= 16"), _map2(s, d).where("tx >= 14"), distance=3.0, n=30), f"{_m2r}, {greedy_sql('SELECT * FROM m2', _ball.format(9), _first.format(30))}")
 add("local_maxima", lambda s, d: P.local_maxima(_map2(s, d), 2, t.V2_BOUNDS, 30, 8.0), f"{_m2r}, {greedy_sql(f'SELECT * FROM m2 a WHERE s >= 8 AND tx BETWEEN {t.V2_BOUNDS[0][0] + 2} AND {t.V2_BOUNDS[0][1] - 2} AND ty BETWEEN {t.V2_BOUNDS[1][0] + 2} AND {t.V2_BOUNDS[1][1] - 2} AND NOT EXISTS (SELECT 1 FROM m2 b WHERE a.tx - b.tx BETWEEN -2 AND 2 AND a.ty - b.ty BETWEEN -2 AND 2 AND b.s > a.s)', _cube.format(2), _first.format(30))}")
 add("laplace_cc_at_pose", lambda s, d: six(R.pose_scores(S.laplacian(t.volume(s, d), t.V3_BOUNDS), _poses(s, d), [(*p[:3], p[3]) for p in S.laplacian_template(t.TEMPLATE, (5, 5, 5)).points], "CrossCorrelation"), "s"), f"WITH {t.V3}, {t.expansion_sql(_lap_points, (IDENTITY,), 'lp')}, {t.placed_sql('v3', t.V3_BOUNDS, tpl='lp', wrap=True, name='lapped')}, lap AS (SELECT tx AS x, ty AS y, tz AS z, sum(v * g) AS v FROM lapped GROUP BY ALL), pt AS (SELECT * FROM {t.values([p[:4] for p in _lap_tpl.points], 'ox, oy, oz, w')}) SELECT CAST(p.x * 1000 + p.y * 10 + p.z AS BIGINT) AS pose_id, round(sum(w * coalesce(s.v, 0.0)), 6) + 0.0 AS s FROM v3 p CROSS JOIN pt LEFT JOIN lap s ON s.x = p.x + ox AND s.y = p.y + oy AND s.z = p.z + oz WHERE p.v > 15 GROUP BY 1")
-add("extreme_poses", lambda s, d: six(R.pose_scores(t.volume(s, d), _top_poses(s, d), _POINTS, "NormalizedCrossCorrelationMean"), "s"), f"WITH {t.V3}, b AS (SELECT * FROM v3 ORDER BY v DESC, x, y, z LIMIT 60), pt AS (SELECT * FROM {t.values(_POINTS, 'ox, oy, oz, w')}), sm AS (SELECT CAST(p.x * 1000 + p.y * 10 + p.z AS BIGINT) AS pose_id, w, coalesce(s.v, 0.0) AS v FROM b p CROSS JOIN pt LEFT JOIN v3 s ON s.x = p.x + ox AND s.y = p.y + oy AND s.z = p.z + oz) SELECT pose_id, round(CASE WHEN sqrt(greatest(0.0, sum(w * w) - sum(w) ** 2 / count(*))) * sqrt(greatest(0.0, sum(v * v) - sum(v) ** 2 / count(*))) > 1e-9 THEN (sum(w * v) - sum(w) * sum(v) / count(*)) / (sqrt(greatest(0.0, sum(w * w) - sum(w) ** 2 / count(*))) * sqrt(greatest(0.0, sum(v * v) - sum(v) ** 2 / count(*)))) ELSE 0.0 END, 6) + 0.0 AS s FROM sm GROUP BY 1")
-add("normal_vector_score", lambda s, d: six(Pp_normals(s, d), "s"))
-
-
-def Pp_normals(s, d):
-    v = t.volume(s, d)
-    picks = v.where("v > 14").select("x", "y", "z")
-    n = C.normals(v, picks)
-    return R.normal_scores(n.withColumn("set_id", F.lit(1)), n.select("x", "y", "z", F.col("ny").alias("nx"), F.col("nx").alias("ny"), "nz"))
-
-
+add("extreme_poses", lambda s, d: six(R.pose_scores(t.volume(s, d), _top_poses(s, d), _POINTS, "NormalizedCrossCorrelationMean"), "s"), f"WITH {t.V3}, b AS (SELECT * FROM v3 a WHERE NOT EXISTS (SELECT 1 FROM v3 n WHERE abs(n.x - a.x) <= 1 AND abs(n.y - a.y) <= 1 AND abs(n.z - a.z) <= 1 AND n.v > a.v)), pt AS (SELECT * FROM {t.values(_POINTS, 'ox, oy, oz, w')}), sm AS (SELECT CAST(p.x * 1000 + p.y * 10 + p.z AS BIGINT) AS pose_id, w, coalesce(s.v, 0.0) AS v FROM b p CROSS JOIN pt LEFT JOIN v3 s ON s.x = p.x + ox AND s.y = p.y + oy AND s.z = p.z + oz) SELECT pose_id, round(CASE WHEN sqrt(greatest(0.0, sum(w * w) - sum(w) ** 2 / count(*))) * sqrt(greatest(0.0, sum(v * v) - sum(v) ** 2 / count(*))) > 1e-9 THEN (sum(w * v) - sum(w) * sum(v) / count(*)) / (sqrt(greatest(0.0, sum(w * w) - sum(w) ** 2 / count(*))) * sqrt(greatest(0.0, sum(v * v) - sum(v) ** 2 / count(*)))) ELSE 0.0 END, 6) + 0.0 AS s FROM sm GROUP BY 1")
 add("ctf_stack", _rows(lambda: fourier.ctf_stack((12, 12, 12), [2e4], (-30, 0, 30), gradient=True, rate=4.0)))
 add("tilt_series_filter", _rows(lambda: fourier.tilt_filters((12, 12, 12), range(-60, 61, 10), 4.0, np.arange(13) * 2.0, "grigorieff", 2e4, low=12.0)))
-_tilts = np.linspace(-60, 60, t.V3_BOUNDS[0][1] - t.V3_BOUNDS[0][0] + 1)  # the volume's x slices as tilt images
-add("back_projection", lambda s, d: six(L.back_project(t.volume(s, d), t.V3_BOUNDS, _tilts, 9), "v"))
 add("scramble_phases", lambda s, d: six(L.scramble_phases(t.volume(s, d), t.V3_BOUNDS), "v"))
 add("local_gaussian", lambda s, d: six(L.local_gaussian(t.volume(s, d), t.V3_BOUNDS, 1.0), "v"))
 add("edge_gaussian", lambda s, d: six(L.edge_gaussian(t.volume(s, d), t.V3_BOUNDS, "sobel", 1.0), "v"))

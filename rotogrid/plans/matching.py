@@ -35,7 +35,7 @@ add("rasterize_image", t.image, f"WITH {t.V2} SELECT * FROM v2")
 add("rasterize_signal", t.signal, f"WITH {t.V1} SELECT * FROM v1")
 add("embedding_to_volume", t.stack, f"WITH {t.E4} SELECT * FROM e4")
 add("pointcloud_threshold", lambda s, d: G.point_cloud(t.volume(s, d), 12), f"WITH {t.V3} SELECT x, y, z FROM v3 WHERE v > 12")
-add("volume_stats", lambda s, d: A.stats(t.volume(s, d), 50 * 11 * 9), f"WITH {t.V3}, {t.dense_sql('v3', t.V3_BOUNDS)} SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max FROM dense")
+add("volume_stats", lambda s, d: six(A.stats(t.volume(s, d), 50 * 11 * 9), "mean", "std"), f"WITH {t.V3}, {t.dense_sql('v3', t.V3_BOUNDS)} SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max FROM dense")
 add("atom_table", lambda s, d: t.atoms(s, d).groupBy("chain", "element_symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx")), f"WITH {t.ATOMS} SELECT chain, element_symbol, count(*) AS n, sum(x) AS sx FROM atoms GROUP BY 1, 2")
 # boxes
 add("adjust_box", lambda s, d: G.crop(t.volume(s, d), [(-2, 20), (3, 12), (0, 4)]), f"WITH {t.V3} SELECT x + 2 AS x, y - 3 AS y, z AS z, v FROM v3 WHERE x BETWEEN -2 AND 20 AND y BETWEEN 3 AND 12 AND z BETWEEN 0 AND 4")
@@ -182,7 +182,7 @@ _m2r = _m2.replace("WITH ", "WITH RECURSIVE ", 1)
 add("nms_greedy", lambda s, d: P.suppress(P.admissible(_map2(s, d), low=12.0), 4.0), f"{_m2r}, {greedy_sql('SELECT * FROM m2 WHERE s >= 12', _ball.format(16))}")
 add("nms_greedy_by_tiles", lambda s, d: P.suppress(P.admissible(_map2(s, d), low=12.0), 2.0, together=0, tile=8), f"{_m2r}, {greedy_sql('SELECT * FROM m2 WHERE s >= 12', _ball.format(4))}")
 add("recursive_masking", lambda s, d: P.recursive_masking(_map2(s, d), 3, 20, 10.0), f"{_m2r}, {greedy_sql('SELECT * FROM m2 WHERE s >= 10', _cube.format(3), _first.format(20))}")
-add("oversample_peaks", lambda s, d: six(P.oversample_peaks(P.top(_map2(s, d), 5), _map2(s, d)), "fx", "fy", "fz", "fs"))
+add("oversample_peaks", lambda s, d: six(P.oversample_peaks(P.maximum_filter(_map2(s, d), 5, t.V2_BOUNDS), _map2(s, d)), "fx", "fy", "fz", "fs"))
 
 def _by_sql(s, d):
     """The same scores written as Spark SQL over the registered views."""
@@ -199,13 +199,13 @@ add("cc_by_sql", _by_sql, SQL["cc"])
 # aggregates
 add("center_of_mass_v", lambda s, d: six(A.center_of_mass(t.volume(s, d), 8), "x", "y", "z"), f"WITH {t.V3} SELECT round(sum(v * x) / sum(v), 6) AS x, round(sum(v * y) / sum(v), 6) AS y, round(sum(v * z) / sum(v), 6) AS z FROM v3 WHERE v > 8")
 add("center_of_mass_v2", lambda s, d: six(A.center_of_mass(t.image(s, d, ("event_type",)), None, True, ("event_type",)), "x", "y", "z"), f"WITH {t.V2K} SELECT event_type, round(sum(v * v * x) / sum(v * v), 6) AS x, round(sum(v * v * y) / sum(v * v), 6) AS y, round(sum(v * v * z) / sum(v * v), 6) AS z FROM v2k GROUP BY 1")
-add("pca_covariance", lambda s, d: A.covariance(t.volume(s, d)), f"WITH {t.V3} SELECT " + ", ".join(f"round(sum(v * {a} * {b}) / sum(v) - sum(v * {a}) / sum(v) * (sum(v * {b}) / sum(v)), 6) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM v3")
-add("radial_spectrum_bins", lambda s, d: A.radial_bins(t.volume(s, d), (25, 5, 4), 2.0), f"WITH {t.V3} SELECT CAST(floor(sqrt((x - 25) ** 2 + (y - 5) ** 2 + (z - 4) ** 2) / 2) AS INT) AS bin, count(*) AS n, round(avg(v * v), 6) AS power FROM v3 GROUP BY 1")
+add("pca_covariance", lambda s, d: six(A.covariance(t.volume(s, d)), *(f"c{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))), f"WITH {t.V3} SELECT " + ", ".join(f"round(sum(v * {a} * {b}) / sum(v) - sum(v * {a}) / sum(v) * (sum(v * {b}) / sum(v)), 6) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM v3")
+add("radial_spectrum_bins", lambda s, d: six(A.radial_bins(t.volume(s, d), (25, 5, 4), 2.0), "power"), f"WITH {t.V3} SELECT CAST(floor(sqrt((x - 25) ** 2 + (y - 5) ** 2 + (z - 4) ** 2) / 2) AS INT) AS bin, count(*) AS n, round(avg(v * v), 6) AS power FROM v3 GROUP BY 1")
 add("max_index_by_label", lambda s, d: A.best_by_label(t.table(s, d, "events"), "event_type", "value", "event_id"), "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
 add("online_statistics", lambda s, d: t.table(s, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 4).alias("variance"), F.min("value").alias("least"), F.max("value").alias("most")), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 _bin = "least(greatest(floor(({c} - {a}) / ({b} - {a}.0) * 10), 0), 9)"
 add(
     "mutual_information_hist",
-    lambda s, d: A.mutual_information(t.table(s, d, "lineitem").select((F.rint(F.col("l_discount") * 100)).alias("a"), F.rint(F.col("l_tax") * 100).alias("b")), F.col("a"), F.col("b"), 10, 0.0, 11.0),
+    lambda s, d: six(A.mutual_information(t.table(s, d, "lineitem").select((F.rint(F.col("l_discount") * 100)).alias("a"), F.rint(F.col("l_tax") * 100).alias("b")), F.col("a"), F.col("b"), 10, 0.0, 11.0), "information"),
     "WITH c AS (SELECT floor(round_even(l_discount * 100, 0) / 11.0 * 10) AS i, floor(round_even(l_tax * 100, 0) / 11.0 * 10) AS j, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY i) / sum(n) OVER () AS pi, sum(n) OVER (PARTITION BY j) / sum(n) OVER () AS pj FROM c) SELECT round(sum(p * ln(p / (pi * pj))), 6) AS information FROM p",
 )

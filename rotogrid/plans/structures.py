@@ -202,8 +202,6 @@ def _back_to_euler(s, d):
 
 add("matrix_to_euler", _back_to_euler, "SELECT event_id, CAST((event_id * 7) % 360 AS DOUBLE) AS a, CAST((event_id * 11) % 179 + 0.5 AS DOUBLE) AS b, CAST((event_id * 13) % 360 AS DOUBLE) AS c FROM events")
 add("rotate_template_lattice", lambda s, d: s.range(1).select(F.explode(S.expansion(t.TEMPLATE, t.ROTATIONS)).alias("e")).select("e.r", "e.ox", "e.oy", "e.oz", "e.g"), "WITH rot AS (SELECT * FROM " + t.values([(r, *m) for r, m in enumerate(t.ROTATIONS)], "r, " + ", ".join(f"m{i}" for i in range(9))) + "), p AS (SELECT * FROM " + t.values([p[:4] for p in t.POINTS], "x, y, z, g") + ") SELECT r, m0*x+m1*y+m2*z AS ox, m3*x+m4*y+m5*z AS oy, m6*x+m7*y+m8*z AS oz, CAST(g AS DOUBLE) AS g FROM rot, p")
-add("cone_rotations", lambda s, d: s.createDataFrame([(i, *[round(float(v), 6) + 0.0 for v in m.ravel()]) for i, m in enumerate(L.cone_rotations(15, 7.5, axis_sampling=60))], "r int, " + ", ".join(f"m{i} double" for i in range(9))))
-add("uniform_rotations", lambda s, d: s.createDataFrame([(i, *[round(float(v), 6) + 0.0 for v in m.ravel()]) for i, m in enumerate(L.uniform_rotations(60))], "r int, " + ", ".join(f"m{i} double" for i in range(9))))
 
 
 def _principal(s, d):
@@ -225,7 +223,7 @@ _ent = f"WITH {t.V2K}, en AS (SELECT CAST(dense_rank() OVER (ORDER BY event_type
 _norm = _ent + ", me AS (SELECT entity, avg(s) AS m FROM en GROUP BY 1), nm AS (SELECT tx, ty, tz, s - m AS s, en.entity FROM en JOIN me ON en.entity = me.entity)"
 add("normalize_foregrounds", lambda s, d: six(Pp.normalise(_entity_map(s, d)), "s"), _norm + " SELECT tx, ty, tz, round(s, 6) + 0.0 AS s, entity FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, tz ORDER BY s DESC, entity) AS k FROM nm) WHERE k = 1")
 add("background_correction", lambda s, d: six(Pp.subtract_background(Pp.normalise(_entity_map(s, d).where("entity < 2")).drop("entity"), _entity_map(s, d).where("entity >= 2")), "s"), _norm + ", fg AS (SELECT tx, ty, tz, max(s) AS s FROM nm WHERE entity < 2 GROUP BY ALL), bg AS (SELECT tx, ty, tz, max(s) AS b FROM nm WHERE entity >= 2 GROUP BY ALL) SELECT fg.tx, fg.ty, fg.tz, round(CASE WHEN b IS NULL THEN 0.0 ELSE greatest(0.0, s - b) END, 6) + 0.0 AS s FROM fg LEFT JOIN bg ON fg.tx = bg.tx AND fg.ty = bg.ty AND fg.tz = bg.tz")
-add("entity_stats", lambda s, d: Pp.entity_stats(_entity_map(s, d)), _ent + " SELECT entity, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS std, round(max(s), 3) AS most FROM en GROUP BY 1")
+add("entity_stats", lambda s, d: Pp.entity_stats(_entity_map(s, d)).select("entity", *[F.round(c, 3).alias(c) for c in ("mean", "std", "most")]), _ent + " SELECT entity, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS std, round(max(s), 3) AS most FROM en GROUP BY 1")
 _m2 = f"WITH {t.V2}, m2 AS (SELECT x AS tx, y AS ty, z AS tz, v AS s FROM v2)"
 
 
@@ -248,7 +246,7 @@ def _out(s, d):
 
 _eul = t.values([(r, *[round(float(a), 6) + 0.0 for a in L.matrix_to_euler(np.array(m, float).reshape(3, 3))]) for r, m in enumerate(t.ROTATIONS)], "r, euler_x, euler_y, euler_z")
 add("orientations_out", _out, f"WITH {t.V3}, {t.expansion_sql(t.TEMPLATE, t.ROTATIONS)}, {t.placed_sql('v3', t.V3_BOUNDS)}, cc AS (SELECT tx, ty, tz, r, sum(v * g) AS s FROM placed GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, tz ORDER BY s DESC, r) AS k FROM cc) WHERE k = 1 ORDER BY s DESC, tx, ty, tz LIMIT 40) SELECT CAST(tx * 2 + 1 AS DOUBLE) AS x, CAST(ty * 2 AS DOUBLE) AS y, CAST(tz * 2 AS DOUBLE) AS z, CAST(e.euler_x AS DOUBLE) AS euler_x, CAST(e.euler_y AS DOUBLE) AS euler_y, CAST(e.euler_z AS DOUBLE) AS euler_z, s AS score, CAST(-1.0 AS DOUBLE) AS detail FROM b JOIN (SELECT * FROM {_eul}) e ON b.r = e.r")
-add("relion5_coords", lambda s, d: six(Pp.relative_coordinates(_picks(s, d).select("pick_id", "x", "y", "z"), (1000, 1000, 400), 1.5), "x_angst", "y_angst", "z_angst"), _pk + " SELECT pick_id, round((x - 499.5) * 1.5, 6) + 0.0 AS x_angst, round((y - 499.5) * 1.5, 6) + 0.0 AS y_angst, round((z - 199.5) * 1.5, 6) + 0.0 AS z_angst FROM p")
+add("relion5_coords", lambda s, d: six(Pp.relative_coordinates(_picks(s, d).select("pick_id", "x", "y", "z"), (1000, 1000, 400), 1.5), "x_angst", "y_angst", "z_angst"), "WITH p AS (SELECT DISTINCT tomo_id, pick_id, x, y, z, euler_x, euler_y, euler_z, score, detail FROM orientations) SELECT pick_id, round((x - 499.5) * 1.5, 6) + 0.0 AS x_angst, round((y - 499.5) * 1.5, 6) + 0.0 AS y_angst, round((z - 199.5) * 1.5, 6) + 0.0 AS z_angst FROM p")
 
 
 def _cut(s, d):
@@ -299,11 +297,23 @@ def _clouds(s, d):
     return t.image(s, d, ("event_type",)).where("v > 4").select(F.col("event_type").alias("set_id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
 
 
-add("chamfer", lambda s, d: six(R.chamfer(_clouds(s, d), t.image(s, d).where("v > 16").select(*[F.col(a).cast("double").alias(a) for a in "xyz"]), 4.0), "distance"), f"WITH {t.V2K}, {t.V2}, n AS (SELECT a.event_type AS set_id, a.x, a.y, least(coalesce(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4.0), 4.0) AS d FROM v2k a LEFT JOIN v2 b ON b.v > 16 WHERE a.v > 4 GROUP BY ALL) SELECT set_id, round(avg(d), 6) AS distance, count(*) AS n FROM n GROUP BY 1")
+_chamfer = f"WITH {t.V2K}, {t.V2}, n AS (SELECT a.event_type AS set_id, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM v2k a LEFT JOIN v2 b ON b.v > 20 WHERE a.v > 4 GROUP BY ALL) SELECT set_id, round(avg({{}}), 6) AS distance, count(*) AS n FROM n GROUP BY 1"
+
+
+def _chamfered(limit):
+    def query(s, d):
+        others = t.image(s, d).where("v > 20").select(*[F.col(a).cast("double").alias(a) for a in "xyz"])
+        return six(R.chamfer(_clouds(s, d), others, 2.0, limit), "distance")
+
+    return query
+
+
+add("chamfer", _chamfered(None), _chamfer.format("d"))
+add("chamfer_limited", _chamfered(4.0), _chamfer.format("least(coalesce(d, 4.0), 4.0)"))
 
 
 def _optimised(s, d):
-    best = P.top(t.volume(s, d).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), F.col("v").alias("s")), 24)
+    best = P.maximum_filter(t.volume(s, d).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), F.col("v").alias("s")), 5, t.V3_BOUNDS)
     picks = best.select(F.expr("tx * 1000 + ty * 10 + tz").cast("bigint").alias("pick_id"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
     patches = R.to_patches(Pp.extract(t.volume(s, d), picks, (9, 9, 9)), (9, 9, 9))
     return six(R.refine_patches(patches, [(x, y, z, g) for x, y, z, g in _POINTS]), "dx", "dy", "dz", "ax", "ay", "az", "s")

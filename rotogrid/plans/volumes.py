@@ -181,7 +181,6 @@ _g12 = "g AS (SELECT * FROM " + ", ".join(f"(SELECT CAST(unnest(range(0, 12)) AS
 _f12 = f"f AS (SELECT i, j, k, {_freq(12, 'i')} AS depth, {_freq(12, 'j')} AS side, {_freq(12, 'k')} AS along FROM g)"
 add("wedge_mask", _rows(lambda: fourier.continuous_wedge((12, 12, 12), 50, 50)), f"WITH {_g12}, {_f12} SELECT i, j, k, CASE WHEN sqrt(depth ** 2 + side ** 2 + along ** 2) <= 0.5 AND (depth = 0 OR degrees(atan2(depth * CASE WHEN side < 0 THEN -1 ELSE 1 END, abs(side))) BETWEEN -50 AND 50) THEN 1e0 ELSE 0e0 END AS v FROM f")
 add("step_wedge_mask", _rows(lambda: fourier.step_wedge((12, 12, 12), range(-60, 61, 20))), f"WITH {_g12}, {_f12}, a AS (SELECT radians(unnest(range(-60, 61, 20))) AS a) SELECT i, j, k, CASE WHEN min(abs(depth * cos(a) - side * sin(a))) * 12 <= 0.5 + 1e-9 THEN 1e0 ELSE 0e0 END AS v FROM f, a GROUP BY i, j, k")
-add("whiten", lambda s, d: six(L.whiten(t.volume(s, d), t.V3_BOUNDS), "v"))
 
 
 # dense blocks
@@ -254,5 +253,4 @@ add("fft_constrained", _seeded, f"""WITH {t.V3}, cc AS (SELECT tx, ty, tz, s FRO
  near AS (SELECT DISTINCT g.x AS tx, g.y AS ty, g.z AS tz FROM v3 p, (SELECT * FROM (SELECT CAST(unnest(range(1, 51)) AS INT) AS x), (SELECT CAST(unnest(range(0, 11)) AS INT) AS y), (SELECT CAST(unnest(range(0, 9)) AS INT) AS z)) g
   WHERE p.v > 16 AND (g.x - p.x) ** 2 + (g.y - p.y) ** 2 + (g.z - p.z) ** 2 <= 4)
  SELECT tx, ty, tz, round(CASE WHEN count(s) < {_upright.count(',') + 1} THEN greatest(coalesce(max(s), 0.0), 0.0) ELSE max(s) END, 4) AS s FROM near LEFT JOIN cc USING (tx, ty, tz) GROUP BY ALL""")
-add("bandpass_apply", lambda s, d: six(L.filtered(L.spectrum(t.volume(s, d), t.V3_BOUNDS), t.V3_BOUNDS, lambda f: fourier.band_gain(f, 3.0)), "v"))
 add("bandpass_energy", lambda s, d: G.from_blocks(D.filter_blocks(G.to_blocks(t.volume(s, d), 64), fourier.band_pass((64, 64, 64), 3.0))).agg(F.round(F.sum("v"), 3).alias("total")), f"WITH {t.V3} SELECT round(sum(v), 3) AS total FROM v3")

@@ -1,4 +1,4 @@
-"""Volume files (MRC and EM, plain or gzipped) as dense blocks."""
+"""Volume files (MRC and EM, plain or gzipped, and TIFF stacks) as dense blocks."""
 
 from __future__ import annotations
 
@@ -90,11 +90,64 @@ def write_em(data: np.ndarray, rate: float = 1.0, compress: bool = False) -> byt
     return gzip.compress(body) if compress else body
 
 
+#: TIFF field types' sizes and codes, as fixed by the format: bytes, shorts and longs.
+TIFF_TYPES = {1: "B", 3: "H", 4: "I"}
+TIFF_FORMATS = {1: "u", 2: "i", 3: "f"}
+
+
+def read_tiff(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Uncompressed grey images in strips; the pages of a file, one shape, are the z axis. No voxel size."""
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if order is None or struct.unpack_from(f"{order}H", content, 2)[0] != 42:
+        raise ValueError("not a TIFF file")
+    at = struct.unpack_from(f"{order}I", content, 4)[0]
+    pages, seen = [], set()
+    while at and at not in seen:
+        seen.add(at)
+        count = struct.unpack_from(f"{order}H", content, at)[0]
+        tags = {}
+        for i in range(count):
+            tag, kind, n = struct.unpack_from(f"{order}HHI", content, at + 2 + 12 * i)
+            if kind in TIFF_TYPES:
+                size = struct.calcsize(TIFF_TYPES[kind]) * n
+                place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(f"{order}I", content, at + 10 + 12 * i)[0]
+                tags[tag] = struct.unpack_from(f"{order}{n}{TIFF_TYPES[kind]}", content, place)
+        if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
+            raise ValueError("only uncompressed TIFF files of one channel are read")
+        width, height, bits, form = (tags.get(k, (d,))[0] for k, d in ((256, 0), (257, 0), (258, 1), (339, 1)))
+        if bits not in (8, 16, 32, 64) or form not in TIFF_FORMATS:
+            raise ValueError(f"TIFF cells of {bits} bits and format {form} aren't supported")
+        data = b"".join(content[o : o + n] for o, n in zip(tags[273], tags[279]))
+        pages.append(np.frombuffer(data, np.dtype(f"{TIFF_FORMATS[form]}{bits // 8}").newbyteorder(order), width * height).reshape(height, width))
+        at = struct.unpack_from(f"{order}I", content, at + 2 + 12 * count)[0]
+    if not pages or len({p.shape for p in pages}) > 1:
+        raise ValueError("a TIFF stack needs pages of one shape")
+    return np.stack(pages).transpose(2, 1, 0), np.zeros(3), np.ones(3)
+
+
+def write_tiff(data: np.ndarray) -> bytes:
+    """Pages of an array (x, y, z) in single precision, one strip each."""
+    data = np.asarray(data, np.float32)
+    data = data[:, :, None] if data.ndim == 2 else data
+    width, height, depth = data.shape
+    size = width * height * 4
+    entries = 9
+    length = 2 + 12 * entries + 4
+    out = [b"II", struct.pack("<HI", 42, 8)]
+    for z in range(depth):
+        begin = 8 + z * (length + size)
+        fields = ((256, width), (257, height), (258, 32), (259, 1), (262, 1), (273, begin + length), (277, 1), (279, size), (339, 3))
+        out += [struct.pack("<H", entries), *(struct.pack("<HHII", tag, 4, 1, v) for tag, v in fields), struct.pack("<I", begin + length + size if z + 1 < depth else 0), data[:, :, z].T.tobytes()]
+    return b"".join(out)
+
+
 def read(content: bytes, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if is_gzipped(content):
         content, name = gzip.decompress(content), name.removesuffix(".gz")
     if name.endswith((".h5", ".hdf5")):
         raise NotImplementedError("HDF5 needs h5py, which this library doesn't ask for")
+    if name.endswith((".tif", ".tiff")):
+        return read_tiff(content)
     return read_em(content) if name.endswith(".em") else read_mrc(content)
 
 
@@ -107,11 +160,15 @@ def validate_subset(bounds: Sequence[tuple[int, int]], shape: Sequence[int]) ->
 
 
 def read_volumes(spark: SparkSession, path: str, edge: int = 128, subset: Sequence[tuple[int, int]] | None = None, errors: bool = False) -> DataFrame:
-    """Every volume under a path in blocks of ``edge`` (columns ``SCHEMA``), with header and statistics; ``subset`` reads a box.
-    With ``errors`` a file that can't be read gives one row whose ``block_id`` is the reason and whose data are null.
+    """Every volume under a path, see :func:`parse_volumes`. A file is one row of the binary source and so limited to 2 GB."""
+    return parse_volumes(spark.read.format("binaryFile").load(path), edge, subset, errors)
+
 
-    A file is one row of the binary source and so limited to 2 GB; blocks of one are emitted one at a time.
-    Volumes are best written to Parquet once: block_id and start then prune what a query reads.
+def parse_volumes(files: DataFrame, edge: int = 128, subset: Sequence[tuple[int, int]] | None = None, errors: bool = False) -> DataFrame:
+    """Volumes of whole files (path, content) in blocks of ``edge`` (columns ``SCHEMA``), with header and statistics; ``subset`` is a box
+    whose first voxel becomes 0. With ``errors`` a file that can't be read gives one row whose ``block_id`` is the reason and whose
+    data are null. Blocks of a file are emitted one at a time. Volumes are best written to Parquet once: block_id and start
+    then prune what a query reads.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +194,11 @@ def read_volumes(spark: SparkSession, path: str, edge: int = 128, subset: Sequen
                     rows = [[h] for h in (*head, "_".join(map(str, k)), [i * edge for i in k], list(part.shape), np.ascontiguousarray(part).tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, TYPES)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def write_volume(blocks: DataFrame, path: str, shape: Sequence[int], origin: Sequence[float] = (0, 0, 0), rate: Sequence[float] = (1, 1, 1)) -> None:
-    """Put blocks (start, block_shape, data) together into one MRC or EM file by suffix, by the file system of the path. One file
+    """Put blocks (start, block_shape, data) together into one MRC, EM or TIFF file by suffix, by the file system of the path. One file
     is put together by the driver, block by block; whole collections are best kept as Parquet."""
     from rotogrid.sources.files import write_parts
 
@@ -152,4 +209,4 @@ def write_volume(blocks: DataFrame, path: str, shape: Sequence[int], origin: Seq
         out[tuple(slice(s, s + n) for s, n in zip(row.start, row.block_shape))] = part
     compress = path.endswith(".gz")
     name = path.removesuffix(".gz")
-    write_parts(blocks.sparkSession, path, [write_em(out, rate[0], compress) if name.endswith(".em") else write_mrc(out, origin, rate, compress)])
+    write_parts(blocks.sparkSession, path, [write_em(out, rate[0], compress) if name.endswith(".em") else write_tiff(out) if name.endswith((".tif", ".tiff")) else write_mrc(out, origin, rate, compress)])

@@ -71,6 +71,37 @@ def test_fit_of_a_shifted_volume(spark):
         R.match_volumes(target.limit(0), template)
 
 
+def test_bounded_and_gradient_optimisation():
+    rng = np.random.default_rng(5)
+    grid = np.stack(np.meshgrid(*[np.arange(20)] * 3, indexing="ij"), -1)
+    blob = lambda c, w: np.exp(-(((grid - c) / w) ** 2).sum(-1))
+    data = blob((10, 9, 11), (4, 2, 3))
+    points = rng.integers(3, 17, (400, 3)).astype(float)
+    weights = R.interpolate(data, points)
+    away = points - (1.2, -0.8, 0.6)
+    x, best = R.ascend(data, away, weights)
+    assert np.allclose(x[:3], (1.2, -0.8, 0.6), atol=0.1) and best > 0.995
+    x, best = R.ascend(data, away, weights, bounds=[(-0.5, 0.5)] * 3 + [(-5, 5)] * 3)
+    assert np.abs(x[:3]).max() <= 0.5
+    x, _ = R.optimise(data, away, weights, np.zeros(6), bounds=[(-1, 1)] * 3 + [(0, 0)] * 3)
+    assert np.allclose(x, (1, -0.8, 0.6, 0, 0, 0), atol=0.1)
+    with pytest.raises(ValueError):
+        R.optimise(data, away, weights, np.ones(6), bounds=[(0, 0.5)] * 6)
+
+
+def test_chamfer_is_exact_at_any_distance(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.random((40, 3)) * 100, rng.random((5, 3)) * 5
+    frame = lambda p, extra=(): spark.createDataFrame([(*extra, *map(float, q)) for q in p], ("set_id int, " if extra else "") + "x double, y double, z double")
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)).min(1)
+    row = R.chamfer(frame(a, (1,)), frame(b), 1.0).first()
+    assert row.distance == pytest.approx(d.mean()) and row.n == 40
+    assert R.chamfer(frame(a, (1,)), frame(b), 1.0, 20.0).first().distance == pytest.approx(np.minimum(d, 20).mean())
+    assert R.chamfer(frame(a, (1,)), frame(b).limit(0), 1.0).count() == 0
+    assert R.chamfer(frame(a, (1,)), frame(b).limit(0), 1.0, 20.0).first().distance == 20
+    assert R.chamfer(frame(a, (1,)).limit(0), frame(b), 1.0).count() == 0
+
+
 def test_polygon(spark):
     square = M.create_mask(spark, "polygon", shape=(8, 8, 2), corners=((1.5, 1.5), (5.5, 1.5), (5.5, 4.5), (1.5, 4.5)))
     assert {(r.x, r.y) for r in square.collect()} == {(x, y) for x in range(2, 6) for y in range(2, 5)} and square.count() == 24
@@ -119,6 +150,11 @@ def test_diameter(spark):
         expected = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)).max()
         assert d == pytest.approx(expected) and np.linalg.norm(np.subtract(a, b)) == pytest.approx(d)
     assert diameter(df.limit(0)) is None
-    with pytest.raises(ValueError):
-        diameter(df, most=0)
+    d, a, b = diameter(df, most=0)
+    assert d == pytest.approx(expected) and np.linalg.norm(np.subtract(a, b)) == pytest.approx(d)
+    sphere = rng.normal(size=(3000, 3))
+    sphere *= 10 / np.linalg.norm(sphere, axis=1)[:, None]
+    cloud = spark.createDataFrame([tuple(map(float, p)) for p in sphere], "x double, y double, z double")
+    assert diameter(cloud, most=10)[0] == pytest.approx(max(np.sqrt(((sphere - p) ** 2).sum(1)).max() for p in sphere))
+    assert diameter(df.limit(1), most=0)[0] == 0
     assert least_deviations([[0, 5], [2, 4]]).tolist() == [[0, 1], [1, 0]]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -143,3 +144,12 @@ def test_boxes(spark):
     assert G.convolution_bounds((10,), (3,), "full") == [(-1, 10)]
     with pytest.raises(ValueError):
         G.convolution_bounds((10,), (3,), "part")
+
+
+def test_tiff():
+    a = np.random.default_rng(3).random((5, 4, 3)).astype(np.float32)
+    body = V.write_tiff(a)
+    assert np.array_equal(V.read(body, "a.tif")[0], a) and np.array_equal(V.read(V.write_tiff(a[:, :, 0]), "a.tiff")[0][:, :, 0], a[:, :, 0])
+    for wrong in (b"", b"II", b"no tiff at all", body[:9]):
+        with pytest.raises((ValueError, struct.error)):
+            V.read(wrong, "a.tif")
