@@ -326,9 +326,9 @@ def best_blocks(
     blocks = blocks.select(*keys, "start", "shape", "data", "low", "high")
     if score == "LCC":
         blocks = _laplacians(blocks, keys)
-    stats = cut(volume_stats(blocks, halo, keys))
+    stats = volume_stats(blocks, halo, keys)
     if keys:
-        rows = join_small(blocks, stats, keys)
+        rows = join_small(blocks, cut(stats), keys)
     else:
         known = stats.first()
         rows = blocks.select("*", *[F.lit(float(known[c] or 0.0)).alias(c) for c in ("v_mean", "v_std", "v_peak")])
@@ -338,7 +338,9 @@ def best_blocks(
     parts = _parts(len(rotations), group)
     rows = rows.withColumn("__part", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in parts]))).select(*[c for c in rows.columns], "__part.a", "__part.b")
     if len(parts) > 1:
-        rows = rows.repartition(*keys, "start", "a")
+        # groups of a block are dealt to partitions in turn
+        count = 4 * blocks.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartitionById(count, F.pmod(F.xxhash64(*keys, "start") + F.expr(f"a div {group}"), F.lit(count)).cast("int"))
     kind = np.dtype(precision).type
     kinds = [f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys]
     tangent = float(np.tan(np.radians(min(cone, 89.999)))) if cone < 90 else None
@@ -404,7 +406,7 @@ def best_blocks(
         if held is not None:
             yield _map_row(held, row_type)
 
-    return out.repartition(*keys, "start").sortWithinPartitions(*keys, "start").mapInArrow(merge, schema)
+    return out.repartition(count, *keys, "start").sortWithinPartitions(*keys, "start").mapInArrow(merge, schema)
 
 
 def _map_row(held: tuple, schema: pa.Schema) -> pa.RecordBatch:
@@ -517,19 +519,38 @@ def memory_bytes(target: Sequence[int], template: Sequence[int], score: str, cor
     return cores * (4 * 8 * math.prod(target) + (spectra + kernels + 1) * half + maps * cell * math.prod(target) + (cell + 4) * math.prod(target))
 
 
-def plan_edge(shape: Sequence[int], template: Sequence[int], score: str, memory: int, cell: int = 8) -> int:
-    """The largest edge of cubic cores whose blocks, with halos of half the template, fit into a task's memory and are transformed
-    fast; the volume's longest axis at most."""
+#: Transforms that a block costs before its first rotation, and that merging a group's maps costs, in rotations of the same cells.
+SETUP, MERGING = 8, 2
+
+
+def plan_work(shape: Sequence[int], template: Sequence[int], score: str, memory: int, cell: int = 8, rotations: int = 1, tasks: int = 1, volumes: int = 1) -> tuple[int, int]:
+    """The edge of cubic cores and the number of groups of rotations that finish first.
+
+    Blocks have halos of half the template, sizes that are transformed fast, and fit into a task's ``memory``. Large
+    blocks waste less on halos; small ones and groups fill the ``tasks`` of a cluster, but each group sets its blocks up anew and has
+    its maps merged. All edges and powers of two of groups are weighed by the cells that the busiest task transforms.
+    """
     halo = max(template) // 2 + (score == "LCC")
     best = None
-    for size in range(2 * halo + 1, max(shape) + 2 * halo + 1):
+    for size in range(2 * halo + 1, max(shape) + 2 * halo + 32):
         if memory_bytes([size] * len(shape), [1] * len(shape), score, 1, cell) > memory:
             break
-        if fast_length(size) == size:
-            best = size - 2 * halo
-    if best is None or best < 1:
+        if fast_length(size) != size:
+            continue
+        edge = min(size - 2 * halo, max(shape))
+        blocks = volumes * math.prod(-(-n // edge) for n in shape)
+        groups = 1
+        while groups <= rotations:
+            each = -(-rotations // groups)
+            cost = -(-blocks * groups // tasks) * size ** len(shape) * math.log2(size) * (SETUP + each + MERGING * (groups > 1))
+            if best is None or cost < best[0]:
+                best = (cost, edge, groups)
+            groups *= 2
+        if size - 2 * halo >= max(shape):
+            break
+    if best is None:
         raise ValueError("not even a block of the template's size fits")
-    return min(best, max(shape))
+    return best[1], best[2]
 
 
 def plan_tiles(shape: Sequence[int], template: Sequence[int], score: str, memory: int, cores: int = 1) -> tuple[int, ...]:

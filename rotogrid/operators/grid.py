@@ -200,12 +200,13 @@ def wrap_faces(voxels: DataFrame, bounds: Bounds, width: int = 1) -> DataFrame:
     return out
 
 
-def retile(blocks: DataFrame, edge: int, halo: int, keys: Sequence[str] = (), wrap: int = 0, precision: str = "float64") -> DataFrame:
+def retile(blocks: DataFrame, edge: int, halo: int, keys: Sequence[str] = (), wrap: int = 0, precision: str = "float64", parts: int | None = None) -> DataFrame:
     """Dense blocks of edge + 2 halo from stored ones without halo (keys, start, shape, volume, data), beginning at 0.
 
     Every stored block is cut into the slabs that the new blocks want of it, and slabs of bytes are shuffled once, so the cost
     is the volume and its halos, not a row for each voxel. Cells beyond the volume are 0, but for ``wrap`` layers that
-    come from the opposite face. ``low`` and ``high`` tell where the volume ends. A task holds one block at a time.
+    come from the opposite face. ``low`` and ``high`` tell where the volume ends. A task holds one block at a time. Blocks are
+    dealt to ``parts`` partitions (four times the cluster's tasks by default) in turn, as the work that follows is by block, not by byte.
     """
     keys = list(keys)
     kinds = [f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys]
@@ -266,7 +267,11 @@ def retile(blocks: DataFrame, edge: int, halo: int, keys: Sequence[str] = (), wr
             yield done()
 
     slabs = blocks.select(*keys, "start", "shape", "volume", "data").mapInArrow(split, ", ".join([*kinds, slab]))
-    return slabs.repartition(*keys, "tile").sortWithinPartitions(*keys, "tile").mapInArrow(build, schema)
+    parts = parts or 4 * blocks.sparkSession.sparkContext.defaultParallelism
+    across = [F.ceil(F.col("volume")[i] / edge) for i in range(3)]
+    number = (F.col("tile")[0] * across[1] + F.col("tile")[1]) * across[2] + F.col("tile")[2]
+    turn = F.pmod(number + (F.hash(*keys).cast("bigint") if keys else F.lit(0)), F.lit(parts)).cast("int")
+    return slabs.repartitionById(parts, turn).sortWithinPartitions(*keys, "tile").mapInArrow(build, schema)
 
 
 #: Points that may end a diameter and are compared on the driver; more are compared by pairs of cells.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -85,7 +86,7 @@ def match(
     return dense.best_rows(maps)
 
 
-def _match(spark, stored, keys, head, template, mask, rotations, sampling, score, edge, lowpass, order, threshold, precision, group, highpass, tilts, weight, ctf, on_target, seeds, radius, cone, memory):
+def _match(spark, stored, keys, head, template, mask, rotations, sampling, score, edge, lowpass, order, threshold, precision, group, highpass, tilts, weight, ctf, on_target, seeds, radius, cone, memory, files=1):
     g, _, rate = volumes.read(read_bytes(spark, template), template)
     g = np.asarray(g, float)
     m = np.asarray(volumes.read(read_bytes(spark, mask), mask)[0], float) if mask else np.ones_like(g)
@@ -93,7 +94,12 @@ def _match(spark, stored, keys, head, template, mask, rotations, sampling, score
         raise ValueError("mask and template have different shapes")
     rotations = rotation_set(sampling) if rotations is None else rotations
     halo = max(g.shape) // 2 + (score == "LCC")
-    edge = edge or dense.plan_edge(head.shape, g.shape, score, memory, np.dtype(precision).itemsize)
+    planned = dense.plan_work(head.shape, g.shape, score, memory, np.dtype(precision).itemsize, len(rotations), spark.sparkContext.defaultParallelism, files)
+    if edge is None:
+        edge, parts = planned
+        group = group or (-(-len(rotations) // parts) if parts > 1 else None)
+    elif group is None:
+        group = groups(files * math.prod(-(-n // edge) for n in head.shape), len(rotations), spark.sparkContext.defaultParallelism)
     blocks = stored.select(*keys, "block_id", "start", F.col("block_shape").alias("shape"), F.col("shape").alias("volume"), "data")
     if any(on_target):
         bounds = [(0, n - 1) for n in head.shape]
@@ -101,10 +107,8 @@ def _match(spark, stored, keys, head, template, mask, rotations, sampling, score
         tiles = grid.to_blocks(grid.wrap_faces(voxels, bounds) if score == "LCC" else voxels, edge, halo)
         tiles = tiles.withColumn("low", F.array(*[F.lit(0)] * 3)).withColumn("high", F.array(*[F.lit(n - 1) for n in head.shape]))
     else:
-        tiles = grid.retile(blocks, edge, halo, keys, 1 if score == "LCC" else 0, precision)
+        tiles = grid.retile(blocks, edge, halo, keys, 1 if score == "LCC" else 0, precision, min(20_000, files * math.prod(-(-n // edge) for n in head.shape)))
     tiles = cut(tiles)
-    if group is None:
-        group = groups(tiles.count(), len(rotations), spark.sparkContext.defaultParallelism)
     keep = template_filters(g.shape, float(rate[0]), lowpass, highpass, tilts, weight, ctf)
     maps = dense.best_blocks(tiles, g, m, rotations, halo, score, threshold, order, precision, group, None, keys, keep, seeds, radius, cone)
     meta = {"shape": list(head.shape), "origin": list(head.origin), "rate": list(head.rate), "rotations": np.asarray(rotations).reshape(len(rotations), -1).tolist()}
@@ -210,7 +214,7 @@ def match_folder(spark: SparkSession, pattern: str, template: str, out: str, **o
     own = {k: options.pop(k, v) for k, v in (("mask", None), ("rotations", None), ("sampling", 60.0), ("score", "FLCSphericalMask"), ("edge", None), ("lowpass", None), ("order", 1), ("threshold", -1.0), ("precision", "float32"), ("group", None), ("highpass", None), ("tilts", None), ("weight", "none"), ("ctf", None))}
     if options.keys() - {"memory"}:
         raise ValueError(f"options that don't hold for all volumes: {', '.join(options)}")
-    maps, meta = _match(spark, stored.where("data is not null"), ("path",), largest, template, *own.values(), (None, None, False), None, 0.0, 180.0, options.get("memory", TASK_BYTES))
+    maps, meta = _match(spark, stored.where("data is not null"), ("path",), largest, template, *own.values(), (None, None, False), None, 0.0, 180.0, options.get("memory", TASK_BYTES), len(good))
     maps.withColumn("name", F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1)).write.mode("overwrite").partitionBy("name").parquet(f"{out}/maps")
     for h in good:
         _write_meta(spark, found[h.name], meta | {"shape": list(h.shape), "origin": list(h.origin), "rate": list(h.rate)})

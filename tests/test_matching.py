@@ -252,6 +252,12 @@ def test_planner():
     assert D.memory_bytes(tile, (40, 40, 40), "FLC") <= 500_000_000 and max(splits) > 1
     with pytest.raises(ValueError):
         D.plan_tiles((400, 400, 400), (390, 390, 390), "FLC", 1000)
+    edge, groups = D.plan_work((192,) * 3, (25,) * 3, "FLCSphericalMask", 1 << 30, 4, 64, 8)
+    assert D.memory_bytes([edge + 24] * 3, [1] * 3, "FLCSphericalMask", 1, 4) <= 1 << 30 and D.fast_length(edge + 24) == edge + 24 or edge == 192
+    assert -(-192 // edge) ** 3 * groups >= 8  # all tasks have work
+    assert D.plan_work((64,) * 3, (9,) * 3, "FLC", 1 << 30, 4, 10000, 1)[1] == 1 and D.plan_work((64,) * 3, (9,) * 3, "FLC", 1 << 30, 4, 10000, 64)[1] > 1
+    with pytest.raises(ValueError):
+        D.plan_work((64,) * 3, (25,) * 3, "FLC", 1000)
     assert D.choose_path(1000, 10, 24, 10**6) == "sparse" and D.choose_path(10**6, 10**4, 24, 10**6) == "dense"
     assert [D.fast_length(n) for n in (1, 7, 11, 31, 97)] == [1, 8, 12, 32, 100]
 
