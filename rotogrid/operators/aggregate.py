@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rotogrid.functions.lattice import rotate_offset
 from rotogrid.operators.grid import AXES, Bounds, inside
 from rotogrid.operators.score import T, Template
+from rotogrid.operators.skew import join_small
 
 #: Rotations whose sums fit into one row.
 MOST_SUMS = 64
@@ -97,6 +98,18 @@ def constrained(scores: DataFrame, seeds: DataFrame, rotations: Sequence[tuple],
     return rows.join(near, ["cx", "cy", "cz"]).where(distance <= radius**2).join(axes, "r").where(in_cone).select(*scores.columns).distinct()
 
 
+def near_seeds(voxels: DataFrame, seeds: DataFrame, reach: float) -> DataFrame:
+    """The voxels within ``reach`` of a seed's cell, to be taken before a constrained search scores anything: with the radius and
+    the template's own reach put together, scores near seeds stay complete."""
+    cell = max(1, int(np.ceil(reach)))
+    near = seeds
+    for a in AXES:
+        near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(a) / cell) - 1, F.floor(F.col(a) / cell) + 1)))
+    near = near.select("cx", "cy", "cz").distinct()
+    rows = voxels.withColumns({f"c{a}": F.floor(F.col(a) / cell) for a in AXES})
+    return join_small(rows, near, ["cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz")
+
+
 def stats(voxels: DataFrame, cells: int | None = None) -> DataFrame:
     """Mean, population deviation, minimum and maximum; over all ``cells`` of the volume if given, absent ones as 0."""
     extreme = (F.min("v"), F.max("v")) if cells is None else (F.when(F.count(F.lit(1)) < cells, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")), F.when(F.count(F.lit(1)) < cells, F.greatest(F.max("v"), F.lit(0.0))).otherwise(F.max("v")))

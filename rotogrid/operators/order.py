@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rotogrid.session import cut
+
 #: Bits of each digit of a key, from the highest; a round sees at most 2**16 counts a rank.
 DIGITS = (48, 32, 16, 0)
 MASK = 0x7FFFFFFFFFFFFFFF
@@ -32,7 +34,15 @@ def order_statistics(rows: DataFrame, column: str, ranks: Sequence[int]) -> list
     Four rounds of counts by 16-bit digits of an order-preserving key: a pass and a map-side combined aggregation
     each, of which the driver sees at most 65,536 counts a rank. No task holds or sorts the values.
     """
-    keys = rows.where(F.col(column).isNotNull()).select(order_key(F.col(column).cast("double")).alias("k"))
+    return _statistics(_keys(rows, column), ranks)
+
+
+def _keys(rows: DataFrame, column: str) -> DataFrame:
+    """The order keys alone, written, as they are read once a digit."""
+    return cut(rows.where(F.col(column).isNotNull()).select(order_key(F.col(column).cast("double")).alias("k")))
+
+
+def _statistics(keys: DataFrame, ranks: Sequence[int]) -> list[float | None]:
     state: dict[int, tuple[int | None, int]] = {r: (None, r) for r in ranks if r >= 0}
     for shift in DIGITS:
         prefixes = sorted({p for p, _ in state.values() if p is not None})
@@ -58,10 +68,11 @@ def order_statistics(rows: DataFrame, column: str, ranks: Sequence[int]) -> list
 
 def percentiles(rows: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
     """Percentiles (0 to 1) with linear interpolation between neighbours; None without values."""
-    n = rows.where(F.col(column).isNotNull()).count()
+    keys = _keys(rows, column)
+    n = keys.count()
     if not n:
         return [None] * len(shares)
     at = [s * (n - 1) for s in shares]
     wanted = sorted({k for a in at for k in (math.floor(a), math.ceil(a))})
-    values = dict(zip(wanted, order_statistics(rows, column, wanted)))
+    values = dict(zip(wanted, _statistics(keys, wanted)))
     return [values[math.floor(a)] + (values[math.ceil(a)] - values[math.floor(a)]) * (a - math.floor(a)) for a in at]

@@ -163,9 +163,9 @@ def parse_atom_lines(lines: DataFrame, loops: DataFrame) -> DataFrame:
             F.col("file_kind") == "cif", F.array_position("column_names", NEEDED["cif"][i])
         ).cast("int").alias(f"p{i}")
 
-    layouts = loops.where(F.col("structure_id").isNotNull()).select(
-        "structure_id", F.col("file_kind").alias("kind"), F.size("column_names").alias("width"), *[position(i) for i in range(5)]
-    ).dropDuplicates(["structure_id"])
+    layout = F.struct(F.col("file_kind").alias("kind"), F.size("column_names").alias("width"), *[position(i) for i in range(5)])
+    # of several layouts of a structure the least counts, whatever the order of rows
+    layouts = loops.where(F.col("structure_id").isNotNull()).groupBy("structure_id").agg(F.min(layout).alias("l")).select("structure_id", "l.*")
     records = lines.where(F.col("raw").rlike(RECORD)).select("line_id", "structure_id", "raw")
     return (
         join_small(records, layouts, ["structure_id"], "left")

@@ -132,7 +132,9 @@ add("merge_tiles", lambda s, d: A.merge_best(*[A.best_over_rotations(S.correlate
 
 def _constrained(s, d):
     seeds = t.volume(s, d).where("v > 16").select(F.expr("x * 1000 + y * 10 + z").alias("seed_id"), "x", "y", "z", *[F.lit(float(m)).alias(f"m{i}") for i, m in enumerate(IDENTITY)])
-    return A.best_over_rotations(A.constrained(_scores(s, d), seeds, t.ROTATIONS, 30.0, 2.0))
+    reach = max(math.dist(p[:3], (0, 0, 0)) for p in t.POINTS)
+    scores = S.correlate(A.near_seeds(t.volume(s, d), seeds, 2.0 + reach), t.TEMPLATE, t.ROTATIONS, t.V3_BOUNDS)
+    return A.best_over_rotations(A.constrained(scores, seeds, t.ROTATIONS, 30.0, 2.0))
 
 
 _upright = [r for r, m in enumerate(t.ROTATIONS) if m[8] == 1]
