@@ -92,10 +92,9 @@ add("mmcif_roundtrip", _cif, _written)
 
 
 def _gro(s, d):
-    rows = _records(s, d).withColumn("n", F.lit(1))
-    bodies = Pk.body_of(rows, St.format_gro(rows), ("atom_serial_number",))
-    whole = bodies.select("path", F.concat(F.lit("title t= 1.0\n"), (F.size(F.split("body", "\n"))).cast("string"), F.lit("\n"), "body", F.lit("\n 0.0 0.0 0.0\n")).alias("body"))
-    return St.parse_bodies(whole, "gro").select(F.col("atom_serial_number"), "atom_name", "residue", "x", "y", "z")
+    rows = _records(s, d)
+    lines = St.lines_of(rows, St.format_gro(rows), "atom_serial_number", [F.lit("title t= 1.0"), F.col("n").cast("string")], [F.lit(" 0.0 0.0 0.0")])
+    return St.parse_lines(lines, "gro", ("place", "line_no")).select(F.col("atom_serial_number"), "atom_name", "residue", "x", "y", "z")
 
 
 add("gro_roundtrip", _gro, f"{_at} SELECT (serial * 8 + part) % 100000 AS atom_serial_number, element_symbol AS atom_name, CAST(residue % 10000 AS INT) AS residue, x, y, z FROM atoms")

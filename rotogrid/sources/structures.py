@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from itertools import chain, count, groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,10 @@ PLACES = {
     "record_type": (0, 6), "atom_serial_number": (6, 11), "atom_name": (12, 16), "alternate_location_indicator": (16, 17), "residue_name": (17, 20), "chain": (21, 22), "residue": (22, 26),
     "code_for_residue_insertion": (26, 27), "x": (30, 38), "y": (38, 46), "z": (46, 54), "occupancy": (54, 60), "temperature_factor": (60, 66), "segment": (72, 76), "element_symbol": (76, 78), "charge": (78, 80),
 }
+#: Rows of a batch that a reader of text gives, and the characters of a body that it splits into lines at once.
+ROWS, CHARS = 10_000, 1 << 20
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in COLUMNS.split(", ")])
 KINDS = {"atom_serial_number": "bigint", "residue": "int", **dict.fromkeys(("x", "y", "z", "occupancy", "temperature_factor"), "double")}
 CIF = {
     "record_type": "group_PDB", "atom_serial_number": "id", "atom_name": "label_atom_id", "alternate_location_indicator": "label_alt_id", "residue_name": "label_comp_id", "chain": "label_asym_id", "residue": "label_seq_id",
@@ -135,43 +143,102 @@ def _cif_rows(path: str, body: str) -> Iterator[dict]:
         yield row
 
 
-def _gro_rows(path: str, body: str) -> Iterator[dict]:
+def _batch(n: int, columns: dict[str, Sequence], constants: dict) -> pa.RecordBatch:
+    """n atoms; what is in neither is null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.repeat(pa.scalar(constants.get(f.name), f.type), n) for f in SCHEMA], schema=SCHEMA)
+
+
+@lru_cache(4096)
+def _element(name: str) -> str:
+    return (re.match("[A-Za-z]", name) or [""])[0].upper()
+
+
+def _gro_batches(path: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
     """Frames one after the other; the frame's number is the chain and segment. Positions are kept in the file's unit."""
-    lines, at, frame = body.splitlines(), 0, 0
-    while at + 1 < len(lines):
+    lines = iter(lines)
+    for frame in map(str, count()):
+        next(lines, None)
         try:
-            n = int(lines[at + 1])
+            n = int(next(lines, ""))
         except ValueError:
             return
-        for line in lines[at + 2 : at + 2 + n]:
-            try:
-                row = dict.fromkeys(NAMES) | {"path": path, "record_type": "ATOM", "residue": int(line[:5]), "residue_name": line[5:10].strip(), "atom_name": line[10:15].strip(), "atom_serial_number": int(line[15:20]), "chain": str(frame), "segment": str(frame), "occupancy": 0.0, "temperature_factor": 0.0}
-                row |= {c: float(line[20 + 8 * k : 28 + 8 * k]) for k, c in enumerate("xyz")}
-                row["element_symbol"] = (re.match("[A-Za-z]", row["atom_name"]) or [""])[0].upper()
-            except ValueError:
-                continue
-            yield row
-        at, frame = at + n + 3, frame + 1
+        while n > 0 and (part := list(islice(lines, min(n, ROWS)))):
+            n, rows = n - len(part), []
+            for line in part:
+                try:
+                    rows.append((int(line[:5]), line[5:10].strip(), name := line[10:15].strip(), int(line[15:20]), float(line[20:28]), float(line[28:36]), float(line[36:44]), _element(name)))
+                except ValueError:
+                    continue
+            if rows:
+                columns = dict(zip(("residue", "residue_name", "atom_name", "atom_serial_number", "x", "y", "z", "element_symbol"), zip(*rows)))
+                yield _batch(len(rows), columns, {"path": path, "record_type": "ATOM", "chain": frame, "segment": frame, "occupancy": 0.0, "temperature_factor": 0.0})
+        next(lines, None)
+
+
+def _cif_batches(path: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    rows = list(_cif_rows(path, "\n".join(lines)))
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+
+#: For each kind of file, what makes batches of atoms of (path, lines).
+READERS = {"cif": _cif_batches, "gro": _gro_batches}
+
+
+def _reader(kind: str):
+    if kind not in READERS:
+        raise NotImplementedError(kind)
+    return READERS[kind]
+
+
+def _lines(body: str) -> Iterator[str]:
+    """Lines of a text, of which only a part is split at a time."""
+    at = 0
+    while at < len(body):
+        end = body.find("\n", at + CHARS) + 1 or len(body)
+        yield from body[at:end].splitlines()
+        at = end
 
 
 def parse_bodies(files: DataFrame, kind: str) -> DataFrame:
     """Atoms of whole files (path, body) of kind ``cif`` or ``gro``."""
-    if kind not in ("cif", "gro"):
-        raise NotImplementedError(kind)
-    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in COLUMNS.split(", ")])
-    rows_of = _cif_rows if kind == "cif" else _gro_rows
+    read = _reader(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(rows_of(path, body or ""))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                yield from read(path, _lines(body or ""))
 
     return files.select("path", "body").mapInArrow(run, COLUMNS)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """Neighbouring lines of one path in a batch."""
+    for batch in batches:
+        paths, start = pc.run_end_encode(batch.column(0)), 0
+        for path, end in zip(paths.values.to_pylist(), paths.run_ends.to_pylist()):
+            yield path, pc.fill_null(batch.column(1).slice(start, end - start), "").to_pylist()
+            start = end
+
+
+def parse_lines(lines: DataFrame, kind: str, order: Sequence[str] = ("line_no",)) -> DataFrame:
+    """Atoms of files of kind ``cif`` or ``gro`` as lines (path, value) in ``order``. A task reads a file from its first line to its last and holds a batch of it, so files may be of any size."""
+    read = _reader(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, runs in groupby(_runs(batches), itemgetter(0)):
+            yield from read(path, chain.from_iterable(values for _, values in runs))
+
+    return lines.repartition("path").sortWithinPartitions("path", *order).select("path", "value").mapInArrow(run, COLUMNS)
+
+
+def lines_of(rows: DataFrame, text: Column, order: str, header: Sequence[Column] = (), footer: Sequence[Column] = ()) -> DataFrame:
+    """Files (path, place, line_no, value) of a line for each row: by ``place`` the header, the rows by ``order``, the footer. Header and footer may use ``n``, the rows of the file."""
+    ends = [F.struct(F.lit(place).alias("place"), F.lit(k).cast("bigint").alias("line_no"), t.alias("value")) for place, texts in ((0, header), (2, footer)) for k, t in enumerate(texts)]
+    body = rows.select("path", F.lit(1).alias("place"), F.col(order).cast("bigint").alias("line_no"), text.alias("value"))
+    return body.unionByName(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", F.inline(F.array(*ends)))) if ends else body
+
+
 def quote(value: Column) -> Column:
     """mmCIF quoting of values with blanks or quotes; empty and null become '.'."""
     value = F.coalesce(F.when(value == "", None).otherwise(value), F.lit("."))
