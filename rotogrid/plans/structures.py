@@ -84,7 +84,8 @@ def _pdb(s, d):
 
 def _cif(s, d):
     rows = _records(s, d)
-    return St.parse_bodies(Pk.body_of(rows, St.format_cif(rows), ("atom_serial_number",), St.cif_header()), "cif").select(*_back)
+    lines = St.lines_of(rows, St.format_cif(rows), "atom_serial_number", [F.lit(h) for h in St.cif_header()])
+    return St.parse_lines(lines, "cif", ("place", "line_no")).select(*_back)
 
 
 add("pdb_roundtrip", _pdb, _written)

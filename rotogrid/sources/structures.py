@@ -74,52 +74,68 @@ def split_cif(line: str) -> list[str]:
     return [m.group(1) or m.group(2) or m.group(3) or "" for m in re.finditer(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(\S+)""", line)]
 
 
-def cif_categories(body: str) -> dict[str, dict[str, list[str]]]:
-    """Categories of an mmCIF text: loops and single items as columns of strings."""
-    lines, folded = body.splitlines(), []
-    i = 0
-    while i < len(lines):
-        if lines[i].startswith(";"):
-            text = [lines[i][1:]]
-            i += 1
-            while i < len(lines) and not lines[i].startswith(";"):
-                text.append(lines[i])
-                i += 1
-            folded.append("\x00" + " ".join(t.strip() for t in text))
-        elif lines[i].strip() and not lines[i].lstrip().startswith("#"):
-            folded.append(lines[i])
-        i += 1
-    out: dict[str, dict[str, list[str]]] = {}
+def cif_loops(lines: Iterable[str]) -> Iterator[tuple[bool, list[tuple[str, str]], list[str]]]:
+    """(loop or not, (category, name) of each column, cells) of an mmCIF text in order: of a loop whole rows, some thousands at a time, of a single item its value."""
     names: list[tuple[str, str]] = []
     cells: list[str] = []
-    loop = False
-
-    def flush() -> None:
-        width = len(names) if loop else 1
-        for k in range(0, len(cells) - width + 1, width):
-            for (category, name), cell in zip(names if loop else names[-1:], cells[k : k + width] if loop else [" ".join(cells)]):
-                out.setdefault(category, {}).setdefault(name, []).append(cell)
-            if not loop:
-                break
-        cells.clear()
-
-    for line in folded:
-        first = "" if line[0] == "\x00" else line.split(None, 1)[0]
+    loop = begun = False
+    text: list[str] | None = None
+
+    def ready() -> list[tuple[bool, list[tuple[str, str]], list[str]]]:
+        """What is whole, taken from the cells."""
+        if not names or not cells:
+            return []
+        if not loop:
+            return [(False, names[-1:], [" ".join(cells)])]
+        whole = cells[: len(cells) - len(cells) % len(names)]
+        del cells[: len(whole)]
+        return [(True, names, whole)] if whole else []
+
+    for line in lines:
+        if text is not None and not line.startswith(";"):
+            text.append(line)
+            continue
+        if text is not None:
+            words, text, first = [" ".join(t.strip() for t in text)], None, ""
+        elif line.startswith(";"):
+            text = [line[1:]]
+            continue
+        else:
+            words = line.split()
+            if not words or words[0][0] == "#":
+                continue
+            first = words[0]
+            if "'" in line or '"' in line:
+                words = split_cif(line)
         if first.startswith("data_") or first == "loop_":
-            flush()
-            names, loop = [], first == "loop_"
+            yield from ready()
+            cells.clear()
+            names, loop, begun = [], first == "loop_", False
         elif first.startswith("_"):
             category, _, name = first[1:].partition(".")
-            if loop and (cells or names and names[0][0] != category):
-                flush()
-                names, loop = [], False
-            elif not loop:
-                flush()
+            if not loop or begun or names and names[0][0] != category:
+                yield from ready()
+                cells.clear()
+                names, loop, begun = [], False, False
             names.append((category, name))
-            cells += split_cif(line)[1:]
+            cells += words[1:]
+            begun = begun or len(words) > 1
         else:
-            cells += [line[1:]] if line[0] == "\x00" else split_cif(line)
-    flush()
+            cells += words
+            begun = True
+            if loop and len(cells) >= ROWS * len(names):
+                yield from ready()
+    if text is not None:
+        cells.append(" ".join(t.strip() for t in text))
+    yield from ready()
+
+
+def cif_categories(body: str) -> dict[str, dict[str, list[str]]]:
+    """Categories of an mmCIF text: loops and single items as columns of strings."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for _, names, cells in cif_loops(_lines(body)):
+        for k, (category, name) in enumerate(names):
+            out.setdefault(category, {}).setdefault(name, []).extend(cells[k :: len(names)])
     return out
 
 
@@ -132,15 +148,41 @@ def _cast(value: str | None, kind: str):
         return None
 
 
+def _casts(cells: list[str], kind: str) -> list:
+    if kind != "string":
+        try:
+            return list(map(float if kind == "double" else int, cells))
+        except ValueError:
+            pass
+    return [_cast(c, kind) for c in cells]
+
+
+def _site_batch(path: str, site: dict[str, list[str]]) -> pa.RecordBatch:
+    """Atoms of columns of one length; those that are missing are null, numbers 0."""
+    columns = {ours: _casts(site[theirs], KINDS.get(ours, "string")) for ours, theirs in CIF.items() if theirs in site}
+    return _batch(len(next(iter(site.values()))), columns, {"path": path} | dict.fromkeys(KINDS, 0))
+
+
+def _cif_batches(path: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    item: dict[str, list[str]] = {}
+    for loop, names, cells in cif_loops(lines):
+        if names[0][0] != "atom_site":
+            continue
+        if item and (loop or names[0][1] in item):
+            yield _site_batch(path, item)
+            item = {}
+        site = {name: cells[k :: len(names)] for k, (_, name) in enumerate(names)}
+        if loop:
+            yield _site_batch(path, site)
+        else:
+            item |= site
+    if item:
+        yield _site_batch(path, item)
+
+
 def _cif_rows(path: str, body: str) -> Iterator[dict]:
-    site = cif_categories(body).get("atom_site", {})
-    n = max(map(len, site.values()), default=0)
-    for i in range(n):
-        row = {"path": path}
-        for ours, theirs in CIF.items():
-            column = site.get(theirs, [])
-            row[ours] = _cast(column[i] if i < len(column) else None, KINDS.get(ours, "string"))
-        yield row
+    for batch in _cif_batches(path, _lines(body)):
+        yield from batch.to_pylist()
 
 
 def _batch(n: int, columns: dict[str, Sequence], constants: dict) -> pa.RecordBatch:
@@ -175,12 +217,6 @@ def _gro_batches(path: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
         next(lines, None)
 
 
-def _cif_batches(path: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
-    rows = list(_cif_rows(path, "\n".join(lines)))
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-
-
 #: For each kind of file, what makes batches of atoms of (path, lines).
 READERS = {"cif": _cif_batches, "gro": _gro_batches}
 
